@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varloom.llm import licenses, mixing, rules, shards
+from varloom.llm import licenses, mixing, quality, rules, shards, simhash, toxicity
 from varloom.llm.common import table
 
 
+def op1_nbsvm_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mix_sources(spark, sf_dir):
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity_chain(spark, sf_dir):
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_golay(spark, sf_dir):
+    d = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_external_shuffle(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     placed = shards.shard(docs, "doc_id", shards.record_size(F.col("text")))
@@ -39,8 +52,11 @@ def op10_adaptive_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_mix_sources": op2_mix_sources,
+    "op4_toxicity_chain": op4_toxicity_chain,
     "op5_license_scan": op5_license_scan,
+    "op8_simhash_golay": op8_simhash_golay,
     "op9_external_shuffle": op9_external_shuffle,
     "op10_adaptive_rules": op10_adaptive_rules,
 }
