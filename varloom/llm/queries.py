@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varloom.llm import licenses, mixing, quality, rules, shards, simhash, toxicity
+from varloom.llm import licenses, mixing, pieces, quality, rules, shards, simhash, tokencount, toxicity
 from varloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_mix_sources(spark, sf_dir):
     return m.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op3_separator_scan(spark, sf_dir):
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity_chain(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,6 +29,11 @@ def op5_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_nbest_pieces(spark, sf_dir):
+    d = pieces.digests(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_pieces", "best_score", "scores", "crcs", "round_trip")
+
+
 def op8_simhash_golay(spark, sf_dir):
     d = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -54,8 +63,10 @@ def op10_adaptive_rules(spark, sf_dir):
 QUERIES = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_mix_sources": op2_mix_sources,
+    "op3_separator_scan": op3_separator_scan,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_license_scan": op5_license_scan,
+    "op7_nbest_pieces": op7_nbest_pieces,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_external_shuffle": op9_external_shuffle,
     "op10_adaptive_rules": op10_adaptive_rules,
