@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varloom.llm import licenses, mixing, pieces, quality, rules, shards, simhash, tokencount, toxicity
+from varloom.llm import images, licenses, mixing, pieces, quality, rules, shards, simhash, tokencount, toxicity
 from varloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_image_copies(spark, sf_dir):
+    return images.copies(images.pictures(table(spark, sf_dir, "embeddings")))
+
+
 def op7_nbest_pieces(spark, sf_dir):
     d = pieces.digests(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_pieces", "best_score", "scores", "crcs", "round_trip")
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_separator_scan": op3_separator_scan,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_license_scan": op5_license_scan,
+    "op6_image_copies": op6_image_copies,
     "op7_nbest_pieces": op7_nbest_pieces,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_external_shuffle": op9_external_shuffle,
