@@ -60,3 +60,52 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """l_orderkey, l_linenumber, chrom, pos, ref, svtype, end_pos, alt."""
     views(spark, sf_dir, "lineitem", "nation")
     return spark.sql(f"with r as ({GENOME_SPARK}) {variants_sql('string')}")
+
+
+def lines_sql(string: str) -> str:
+    """VCF data lines from line items, as text: one informative or reference record each, with two samples."""
+    return f"""
+select l_orderkey, l_linenumber, concat_ws(chr(9), case when l_suppkey % 26 = 25 then 'GL' else concat('chr', cast(l_suppkey % 26 as {string})) end,
+  cast(100 + l_partkey % 1800 as {string}), case when l_partkey % 3 = 0 then concat('rs', cast(l_partkey as {string})) else '.' end,
+  substr('ACGTACGT', cast(1 + l_partkey % 4 as int), cast(1 + l_partkey % 3 as int)),
+  case l_partkey % 6 when 0 then '.' when 1 then '<NON_REF>' when 2 then 'T,<NON_REF>' when 3 then 'GA,C' when 4 then '*' else 'TTA' end,
+  case when l_partkey % 5 = 0 then '.' when l_partkey % 5 = 1 then '12x' else cast(l_partkey % 90 as {string}) end,
+  case when l_suppkey % 3 = 0 then 'PASS' when l_suppkey % 3 = 1 then '.' else 'q10;s50' end,
+  concat(case when l_partkey % 4 = 0 then concat('END=', cast(200 + l_partkey % 900 as {string}), ';') else '' end,
+    'SVTYPE=', case when l_suppkey % 2 = 0 then 'DEL' else 'DUP' end, ';SVLEN=-', cast(l_suppkey % 50 as {string}), ';SVLEN=',
+    cast(-(l_suppkey % 70) as {string}), case when l_partkey % 7 = 0 then ';IMPRECISE' else '' end, ';CIPOS=-', cast(l_suppkey % 9 as {string}), ',',
+    cast(l_suppkey % 8 as {string}), ';CIEND=5;MQ=', cast(l_suppkey % 60 as {string}), '.5;REF=', case when l_suppkey % 4 = 0 then 'x' else '12' end),
+  'GT:DP:AD:VF:CN:MCN:FT:GQ',
+  concat(case l_partkey % 3 when 0 then '0/1' when 1 then '1|2' else '1/2' end, ':', cast(l_suppkey % 40 as {string}), ':', cast(l_partkey % 20 as {string}), ',',
+    cast(l_suppkey % 21 as {string}), ':', case when l_partkey % 2 = 0 then '0.25' else '.' end, ':', cast(l_suppkey % 4 as {string}), ':',
+    cast(l_partkey % 2 as {string}), ':', case when l_suppkey % 5 = 0 then 'LowQ' else 'PASS' end),
+  case when l_suppkey % 6 = 0 then '.' else concat('0/0:', cast(l_partkey % 30 as {string}), ':', case when l_partkey % 10 = 0 then '3,x' else '7,2' end) end) as value
+from lineitem"""
+
+
+#: Exons of transcripts, one for each line number of an order; strand by the order.
+EXONS = """
+select cast(l_orderkey % 25 as int) as ref_index, concat('tx', l_orderkey) as tx, l_orderkey % 2 = 1 as reverse,
+  cast(l_linenumber * 1000 + min(l_partkey) % 300 as int) as start,
+  cast(l_linenumber * 1000 + min(l_partkey) % 300 + 50 + min(l_suppkey) % 200 as int) as "end"
+from lineitem group by l_orderkey, l_linenumber"""
+
+#: Intervals of orders on 25 chromosomes of 40 million bases, and of customers.
+ORDER_SPANS = """
+select o_orderkey as id, cast(o_custkey % 25 as int) as chrom, cast(1 + (o_orderkey * 7919) % 40000000 as bigint) as start,
+  cast(1 + (o_orderkey * 7919) % 40000000 + (o_orderkey * 31) % 60000 as bigint) as "end" from orders"""
+CUSTOMER_SPANS = """
+select c_custkey as id, cast(c_nationkey as int) as chrom, cast(1 + (c_custkey * 104729) % 40000000 as bigint) as start,
+  cast(1 + (c_custkey * 104729) % 40000000 + 200000 + (c_custkey % 7) * 300000 as bigint) as "end" from customer"""
+#: Bands of 130 bases with a gap of 20 after each.
+BANDS_SPARK = """
+select cast(n_nationkey as string) as chrom, cast(1 + i * 150 as bigint) as begin, cast(130 + i * 150 as bigint) as end, concat('p', n_nationkey, '.', i) as name
+from nation lateral view explode(sequence(0, 13)) t as i"""
+BANDS_DUCK = """
+select cast(n_nationkey as varchar) as chrom, cast(1 + i * 150 as bigint) as begin, cast(130 + i * 150 as bigint) as "end", concat('p', n_nationkey, '.', i) as name
+from nation, range(0, 14) t(i)"""
+
+
+def table_sql(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    views(spark, sf_dir, *names)
+    return spark.sql(sql.replace('"end"', "end"))

@@ -28,15 +28,13 @@ def translate(bases: Column, mt: Column | None = None) -> Column:
     digits = F.translate(F.translate(F.upper(bases), "U", "T"), "ACGT", "1234")
     table = F.lit(STANDARD) if mt is None else F.when(mt, F.lit(mitochondrial())).otherwise(F.lit(STANDARD))
 
-    def residue(k: Column) -> Column:
-        codon = F.substring(digits, k * 3 + 1, F.lit(3))
+    def residue(codon: Column) -> Column:
         digit = lambda i: F.ascii(F.substring(codon, i, 1)) - 49
         place = digit(1) * 16 + digit(2) * 4 + digit(3)
         return F.when(codon.rlike("^[1-4]{3}$"), F.substring(table, place + 1, F.lit(1))).otherwise(F.lit("X"))
 
-    n = F.floor(F.length(bases) / 3).cast("int")
-    whole = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), residue), "")).otherwise("")
-    return F.concat(whole, F.when(F.length(bases) % 3 > 0, "X").otherwise(""))
+    codons = F.regexp_extract_all(digits, F.lit("(?s).{3}"), F.lit(0))
+    return F.concat(F.array_join(F.transform(codons, residue), ""), F.when(F.length(bases) % 3 > 0, "X").otherwise(""))
 
 
 def without_trailing_x(protein: Column) -> Column:

@@ -6,8 +6,18 @@ from pyspark.sql import functions as F
 
 from varloom import bridge
 from varloom.functions import alleles as A
+from varloom.functions.codons import translate
+from varloom.functions.ids import after_colon, bin_of, contig, ensembl_number, fingerprint_id, gene_flags, release_date, transcript_flags, versioned
+from varloom.functions.text import unescape
+from varloom.operators.cache import binned, numbered, overlaps
 from varloom.operators.chunks import cut_sequences
+from varloom.operators.evaluate import evaluated
+from varloom.operators.transcripts import along_cigar, coding_regions, exon_regions, named_genes, shared_designations, with_introns
 from varloom.plans.annotate import annotated, classified
+from varloom.plans.positions import annotate_positions, json_lines
+from varloom.sources.flat import fasta_records, genbank_records, gene_names
+from varloom.sources.gff3 import cigar, features, hierarchy
+from varloom.sources.vcf import informative, parse_lines, scattered_chromosomes, with_alias, with_locus
 
 #: Small chunks, so that the short synthetic chromosomes have several.
 SIZE, MARGIN = 256, 640
@@ -44,10 +54,250 @@ def annotate_variants_anchored(spark, sf_dir):
     return v.select("l_orderkey", "l_linenumber", "vid")
 
 
+def band_locus(spark, sf_dir):
+    v = bridge.variants(spark, sf_dir).select("l_orderkey", "l_linenumber", "chrom", "pos")
+    return with_locus(v, bridge.table_sql(spark, sf_dir, bridge.BANDS_SPARK, "nation"))
+
+
+def _lines(spark, sf_dir):
+    return bridge.table_sql(spark, sf_dir, bridge.lines_sql("string"), "lineitem")
+
+
+def vcf_records(spark, sf_dir):
+    r = parse_lines(_lines(spark, sf_dir), 2)
+    i = lambda f: F.col(f"info.{f}")
+    return r.select(
+        "l_orderkey", "l_linenumber", "chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alts"), "quality",
+        F.array_join("filters", ",").alias("filters"), "is_reference", "end_pos", i("svtype").alias("svtype"), i("svlen").alias("svlen"),
+        i("cipos.lo").alias("ci_lo"), i("cipos.hi").alias("ci_hi"), i("ciend").isNull().alias("no_ciend"), i("mq").alias("mq"),
+        i("ref_count").alias("ref_count"), i("imprecise").alias("imprecise"), F.size("samples").alias("n_samples"),
+    )
+
+
+def vcf_samples(spark, sf_dir):
+    r = informative(parse_lines(_lines(spark, sf_dir), 2))
+    s = r.select("l_orderkey", "l_linenumber", "alts", F.posexplode("samples").alias("k", "s"))
+    return s.select(
+        "l_orderkey", "l_linenumber", "k", F.col("s.genotype").alias("genotype"), F.col("s.totalDepth").alias("depth"),
+        F.array_join(F.transform("s.variantFrequencies", lambda x: F.round(x, 6).cast("string")), ",").alias("frequencies"),
+        F.array_join("s.alleleDepths", ",").alias("depths"), F.col("s.failedFilter").alias("failed"),
+        F.col("s.lossOfHeterozygosity").alias("loh"), F.col("s.isEmpty").alias("is_empty"),
+    )
+
+
+def vcf_counters(spark, sf_dir):
+    """Positions, alleles and skipped rows; chr25 and GL are unknown here."""
+    n = spark.range(25).select(F.concat(F.lit("chr"), "id").alias("name"), F.col("id").cast("int").alias("ref_index"))
+    r = with_alias(informative(parse_lines(_lines(spark, sf_dir), 2)), n)
+    known = F.col("ref_index").isNotNull()
+    return r.agg(
+        F.count_if(known).alias("positions"), F.sum(F.when(known, F.size("alts")).otherwise(0)).alias("variants"), F.count_if(~known).alias("skipped")
+    )
+
+
+def scattered(spark, sf_dir):
+    e = bridge.table_sql(spark, sf_dir, "select event_id, cast(case when event_id % 997 = 0 then 3 else event_id div 400 end as string) as chrom from events", "events")
+    return scattered_chromosomes(e, "event_id")
+
+
+def position_json(spark, sf_dir):
+    lines = _lines(spark, sf_dir).withColumn("order", F.xxhash64("value", "l_orderkey", "l_linenumber")).dropDuplicates(["order"]).select("order", "value")
+    aliases = spark.range(25).select(F.concat(F.lit("chr"), "id").alias("name"), F.col("id").cast("int").alias("ref_index"))
+    bands = bridge.table_sql(spark, sf_dir, bridge.BANDS_SPARK, "nation")
+    return json_lines(annotate_positions(lines, _chunks(spark, sf_dir), bands, aliases, 2, SIZE))
+
+
+def _exons(spark, sf_dir):
+    return bridge.table_sql(spark, sf_dir, bridge.EXONS, "lineitem")
+
+
+def transcript_regions(spark, sf_dir):
+    return with_introns(exon_regions(_exons(spark, sf_dir))).drop("cigar", "reverse")
+
+
+def coding_spans(spark, sf_dir):
+    e = _exons(spark, sf_dir)
+    cds = e.withColumns({"start": F.col("start") + 7, "end": F.col("end") - 5})
+    stated = e.select("tx").distinct().withColumn("stated_start", (F.length("tx") % 7 + 1).cast("int"))
+    return coding_regions(cds, exon_regions(e), stated)
+
+
+def cigar_places(spark, sf_dir):
+    li = bridge.table_sql(spark, sf_dir, "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem", "lineitem")
+    gap = F.concat(F.lit("M"), F.col("l_suppkey") % 30 + 5, F.lit(" I3 M20 D"), F.col("l_partkey") % 6 + 1, F.lit(" M100"))
+    place = (1000 + F.col("l_partkey") % 120).cast("int")
+    at = along_cigar(place, F.lit(1000), F.lit(1130), F.lit(51), cigar(gap), F.col("l_partkey") % 2 == 1)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", at.alias("cdna"))
+
+
+def translated(spark, sf_dir):
+    v = bridge.variants(spark, sf_dir).select("l_orderkey", "l_linenumber", "chrom", "pos")
+    v = v.join(bridge.genome(spark, sf_dir), "chrom")
+    bases = F.substring(F.col("seq"), F.col("pos").cast("int"), (20 + F.col("l_orderkey") % 14).cast("int"))
+    mt = F.col("chrom") == "24"
+    return v.select(
+        "l_orderkey", "l_linenumber", "pos", "chrom", translate(bases, mt).alias("protein"), A.reverse_complement(bases).alias("reversed")
+    )
+
+
+def evaluated_outcomes(spark, sf_dir):
+    """Coding regions from orders: proteins are the translation, some with edits, shifts or another frame."""
+    o = bridge.table_sql(spark, sf_dir, "select o_orderkey, o_custkey from orders", "orders")
+    g = bridge.genome(spark, sf_dir).withColumnRenamed("chrom", "g")
+    c = o.join(g, (F.col("o_custkey") % 25).cast("string") == F.col("g"))
+    cdna = F.substring(F.col("seq"), (1 + F.col("o_orderkey") % 1500).cast("int"), F.lit(300))
+    c = c.select(F.concat(F.lit("tx"), "o_orderkey").alias("tx"), cdna.alias("cdna"), (F.col("g") == "24").alias("mt"), (F.col("o_custkey") % 20000).alias("hgnc_id"), "o_orderkey")
+    c = c.withColumns({"cdna_start": F.lit(10), "cdna_end": F.lit(279)})
+    right = translate(F.substring("cdna", 10, 270), F.col("mt"))
+    other = translate(F.substring("cdna", 9, 271), F.col("mt"))
+    c = c.withColumn("right", right).withColumn("other", other)
+    kind = F.col("o_orderkey") % 5
+    protein = (
+        F.when(kind == 1, F.concat(F.substring("right", 1, 20), F.lit("?"), F.substring("right", 22, 200)))
+        .when(kind == 2, F.substring("right", 4, 80))
+        .when(kind == 3, F.substring("other", 2, 60))
+        .when(kind == 4, F.reverse("right"))
+        .otherwise(F.col("right"))
+    )
+    e = evaluated(c.withColumn("protein", protein).drop("right", "other"))
+    return e.select("tx", "outcome", "wrong_frame", "padding", "offset", F.size("edits").alias("n_edits"))
+
+
+def designations(spark, sf_dir):
+    c = bridge.table_sql(
+        spark, sf_dir,
+        "select c_custkey, concat('tx', c_custkey % 997) as tx, c_custkey % 5 = 0 as mane_select, c_custkey % 7 = 0 as mane_plus_clinical, "
+        "c_custkey % 11 = 0 as refseq_select, c_custkey % 13 = 0 as ensembl_canonical from customer", "customer",
+    )
+    d = shared_designations(c)
+    low = lambda c: F.col(c)
+    flags = transcript_flags(F.lit(True), low("newly_set") > 0, low("mane_plus_clinical"), low("mane_select"), low("refseq_select"), low("ensembl_canonical"))
+    return d.select("c_custkey", "tx", "newly_set", flags.alias("flags"))
+
+
+def numbered_sequences(spark, sf_dir):
+    p = bridge.table_sql(spark, sf_dir, "select p_brand as brand, upper(p_name) as seq from part", "part")
+    return numbered(p, "brand", ["seq"], ["seq"]).select("brand", "seq", F.col("index").cast("long").alias("number"))
+
+
+def numbered_regions(spark, sf_dir):
+    r = bridge.table_sql(spark, sf_dir, "select cast(l_orderkey % 25 as int) as chrom, cast(l_partkey % 400 as int) as start, cast(l_partkey % 400 + l_suppkey % 9 as int) as stop, l_linenumber as id, l_orderkey * 10 + l_linenumber as seen from lineitem", "lineitem")
+    n = numbered(r, "chrom", ["start", "stop", "id"], ["start", "stop"], "seen")
+    return n.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.max("index").cast("long").alias("last"), F.sum(F.col("index") * F.col("start")).alias("mark"))
+
+
+def span_overlaps(spark, sf_dir):
+    a, b = bridge.table_sql(spark, sf_dir, bridge.ORDER_SPANS, "orders"), bridge.table_sql(spark, sf_dir, bridge.CUSTOMER_SPANS, "customer")
+    m = overlaps(a, b, "chrom")
+    return m.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("b_id").alias("ids"))
+
+
+def span_bins(spark, sf_dir):
+    return binned(bridge.table_sql(spark, sf_dir, bridge.CUSTOMER_SPANS, "customer")).groupBy("chrom", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def genome_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("chrom", "chunk", "lo", F.md5("seq").alias("sum"), "length")
+
+
+def scalar_ids(spark, sf_dir):
+    c = bridge.table_sql(spark, sf_dir, "select c_custkey, c_name from customer", "customer")
+    k = F.col("c_custkey")
+    stable = F.concat(F.lit("ENSG"), F.lpad(k.cast("string"), 11, "0"))
+    name = F.concat(F.when(k % 3 == 0, "chr").otherwise(""), F.when(k % 25 == 24, "M").otherwise((k % 25).cast("string")))
+    note = F.concat(F.lit("a%252C"), k, F.lit("%3Bb%25"))
+    day = F.concat_ws("-", (1990 + k % 40).cast("string"), (k % 14).cast("string"), F.when(k % 9 == 0, "x").otherwise("7"))
+    return c.select(
+        "c_custkey", fingerprint_id(F.col("c_name")).alias("sha_id"), ensembl_number(stable).alias("number"), contig(name).alias("contig"),
+        unescape(note).alias("note"), release_date(day)["month"].alias("month"), bin_of(k * 1000003 + 1).alias("bin"),
+        gene_flags(k % 2 == 1, F.when(k % 3 == 0, k), F.when(k % 5 == 0, k), F.when(k % 7 == 0, k)).alias("flags"),
+        after_colon(F.concat(F.lit("gene:"), stable)).alias("stable_id"), versioned(stable, F.when(k % 2 == 0, k % 9)).alias("versioned"),
+    )
+
+
+def gff3_models(spark, sf_dir):
+    """RefSeq features from orders and line items: genes, NM, NR and XM transcripts, exons; counted by chromosome."""
+    f = gff3_features(spark, sf_dir)
+    h = hierarchy(f, "refseq")
+    per = lambda n: h[n].groupBy("ref_index").agg(F.count(F.lit(1)).alias(n))
+    out = per("genes")
+    for n in ("transcripts", "exons"):
+        out = out.join(per(n), "ref_index", "left")
+    return out.select("ref_index", "genes", F.coalesce("transcripts", F.lit(0)).alias("transcripts"), F.coalesce("exons", F.lit(0)).alias("exons"))
+
+
+def gff3_features(spark, sf_dir):
+    bridge.views(spark, sf_dir, "orders", "lineitem")
+    lines = spark.sql("""
+      select concat_ws('\t', concat('NC_', o_custkey % 25), 'x', 'gene', o_orderkey, o_orderkey + 5000, '.', if(o_orderkey % 2 = 0, '+', '-'), '.',
+        concat('ID=g', o_orderkey, ';Dbxref=GeneID:', o_orderkey, ',HGNC:HGNC:', o_custkey, ';gene=S', o_orderkey)) as value from orders
+      union all
+      select concat_ws('\t', concat('NC_', o_custkey % 25), 'x', if(o_orderkey % 7 = 0, 'lncRNA', 'mRNA'), o_orderkey, o_orderkey + 5000, '.', '+', '.',
+        concat('ID=t', o_orderkey, ';Parent=g', o_orderkey, ';Name=', if(o_orderkey % 3 = 0, 'XM', if(o_orderkey % 3 = 1, 'NM', 'NR')), '_', o_orderkey, '.1;tag=MANE Select')) from orders
+      union all
+      select concat_ws('\t', concat('NC_', o_custkey % 25), 'x', 'exon', o_orderkey + l_linenumber * 100, o_orderkey + l_linenumber * 100 + 50, '.', '+', '.',
+        concat('ID=e', l_orderkey, '-', l_linenumber, ';Parent=t', l_orderkey, ';transcript_id=T', l_orderkey)) from lineitem join orders on l_orderkey = o_orderkey
+      union all select concat_ws('\t', 'NC_1', 'x', 'centromere', o_orderkey, o_orderkey, '.', '+', '.', concat('ID=c', o_orderkey)) from orders where o_orderkey % 50 = 0""")
+    aliases = spark.range(25).select(F.concat(F.lit("NC_"), "id").alias("name"), F.col("id").cast("int").alias("ref_index"))
+    return features(lines, aliases, "refseq")
+
+
+def gene_name_joins(spark, sf_dir):
+    s = bridge.table_sql(
+        spark, sf_dir,
+        "select concat('HGNC:', p_partkey) as hgnc_id, concat('S', p_size, '-', p_partkey) as symbol, cast(p_partkey % 700 as string) as entrez_id, "
+        "if(p_partkey % 4 = 0, '', concat('ENSG', p_partkey % 900)) as ensembl_gene_id, '' as refseq_accession, p_partkey as line from part", "part",
+    )
+    names = gene_names(s, "line")
+    g = bridge.table_sql(spark, sf_dir, "select c_custkey, cast(c_custkey % 1000 as string) as ncbi, c_name as symbol, cast(null as bigint) as hgnc_id, cast(null as string) as ensembl from customer", "customer")
+    return named_genes(g, by_ncbi=names["by_ncbi"])
+
+
+def fasta_sequences(spark, sf_dir):
+    r = bridge.table_sql(
+        spark, sf_dir,
+        "select concat(case p_partkey % 3 when 0 then concat('>gi|', p_partkey, '|ref|NC_', p_partkey, '|x') when 1 then concat('ref|NM_', p_partkey, '|') "
+        "else concat('NR_', p_partkey, ' some words') end, '\n', substr('acgtnacgta', 1, cast(1 + p_partkey % 9 as int)), '\n', p_name, '\n') as value from part", "part",
+    )
+    return fasta_records(r).select("accession", "seq")
+
+
+def genbank_regions(spark, sf_dir):
+    r = bridge.table_sql(
+        spark, sf_dir,
+        "select concat('LOCUS       X\nVERSION     ', if(s_suppkey % 5 = 0, 'XM_', 'NM_'), s_suppkey, '.1\nFEATURES             Location\n     gene            1..900\n', "
+        "'     CDS             ', if(s_suppkey % 2 = 0, concat('join(', s_suppkey + 1, '..', s_suppkey + 50, ',', s_suppkey + 90, '..', s_suppkey + 300, ')'), "
+        "concat(s_suppkey + 2, '..', s_suppkey + 200)), '\n                     /codon_start=', s_suppkey % 3 + 1, '\nORIGIN\n        1 acgt\n') as value from supplier", "supplier",
+    )
+    return genbank_records(r).select("id", "start", "end", "codon_start")
+
+
 QUERIES = {
     "trim_alleles": trim_alleles,
     "variant_categories": variant_categories,
     "variant_type_counts": variant_type_counts,
     "annotate_variants": annotate_variants,
     "annotate_variants_anchored": annotate_variants_anchored,
+    "band_locus": band_locus,
+    "vcf_records": vcf_records,
+    "vcf_samples": vcf_samples,
+    "vcf_counters": vcf_counters,
+    "scattered_chromosomes": scattered,
+    "position_json": position_json,
+    "transcript_regions": transcript_regions,
+    "coding_spans": coding_spans,
+    "cigar_places": cigar_places,
+    "translated": translated,
+    "evaluated_outcomes": evaluated_outcomes,
+    "designations": designations,
+    "numbered_sequences": numbered_sequences,
+    "numbered_regions": numbered_regions,
+    "span_overlaps": span_overlaps,
+    "span_bins": span_bins,
+    "genome_chunks": genome_chunks,
+    "scalar_ids": scalar_ids,
+    "gff3_models": gff3_models,
+    "gene_name_joins": gene_name_joins,
+    "fasta_sequences": fasta_sequences,
+    "genbank_regions": genbank_regions,
 }

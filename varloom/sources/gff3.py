@@ -82,8 +82,8 @@ def experiment(text: Column) -> Column:
     )
 
 
-def refseq_attributes(text: Column) -> Column:
-    a = pairs(text)
+def refseq_attributes(a: Column) -> Column:
+    """Attributes from the pairs, which should be a column of their own, as each attribute looks through it."""
     xref = last_value(a, "Dbxref")
     t = target(last_value(a, "Target"))
     known = [*REFSEQ_READ, *REFSEQ_SKIPPED]
@@ -112,8 +112,7 @@ def refseq_attributes(text: Column) -> Column:
     )
 
 
-def ensembl_attributes(text: Column) -> Column:
-    a = pairs(text)
+def ensembl_attributes(a: Column) -> Column:
     tags = F.flatten(F.transform(F.filter(a, lambda p: p["k"] == "tag"), lambda p: F.split(p["v"], ",")))
     has = lambda t: F.array_contains(tags, t)
     none = F.lit(None).cast("string")
@@ -162,9 +161,10 @@ def features(lines: DataFrame, aliases: DataFrame, style: str, order: str | None
     d = d.join(t, F.get(F.col("_c"), 2) == F.col("spelling"), "left")
     d = d.where(F.coalesce(~F.col("category").isin("not_useful", "unsupported"), F.lit(True)))
     read = refseq_attributes if style == "refseq" else ensembl_attributes
+    d = d.withColumn("_pairs", pairs(F.coalesce(F.get(F.col("_c"), 8), F.lit(""))))
     d = d.withColumns(
         {
-            "attr": read(F.coalesce(F.get(F.col("_c"), 8), F.lit(""))),
+            "attr": read(F.col("_pairs")),
             "start": strict_int(F.get(F.col("_c"), 3)),
             "end": strict_int(F.get(F.col("_c"), 4)),
             "reverse": F.coalesce(F.get(F.col("_c"), 6) == "-", F.lit(False)),
@@ -177,7 +177,7 @@ def features(lines: DataFrame, aliases: DataFrame, style: str, order: str | None
         .when(F.coalesce(F.col("attr.id"), F.lit("")) == "", "no ID")
         .when(F.col("attr.unknown_key").isNotNull(), F.concat(F.lit("key "), F.col("attr.unknown_key")))
     )
-    return d.withColumn("error", error).drop("_c", "a_name", "spelling")
+    return d.withColumn("error", error).drop("_c", "_pairs", "a_name", "spelling")
 
 
 def regulatory(f: DataFrame) -> DataFrame:

@@ -96,16 +96,19 @@ def _pair(x: Column) -> Column:
 
 
 def int_list(x: Column, sep: str = ",") -> Column:
-    return all_or_null(F.transform(F.split(x, sep, -1), strict_int))
+    return all_or_null(F.transform(F.split(x, sep, -1), lambda v: strict_int(v)))
 
 
 def double_list(x: Column) -> Column:
-    return all_or_null(F.transform(F.split(x, ",", -1), strict_double))
+    return all_or_null(F.transform(F.split(x, ",", -1), lambda v: strict_double(v)))
 
 
-def info(text: Column) -> Column:
-    """struct of the INFO values that annotation uses; a key's last value counts, numbers that don't parse are null."""
-    tokens = F.split(text, ";", -1)
+def info(tokens: Column) -> Column:
+    """struct of the INFO values that annotation uses, from the array of its parts.
+
+    A key's last value counts, numbers that don't parse are null. ``tokens`` should be a
+    column of its own, as each value looks through it.
+    """
     get = lambda k: _info(tokens, k)
     return F.struct(
         strict_int(get("END"), "long").alias("end"),
@@ -136,10 +139,9 @@ def frequencies(vf: Column, depths: Column, total: Column, n_alts: Column) -> Co
     return F.when(vf.isNotNull() & (n_alts == 1), F.array(vf)).otherwise(from_depths)
 
 
-def sample(keys: Column, text: Column, n_alts: Column) -> Column:
-    """struct of one sample column by the FORMAT keys; a dot or nothing at all is an empty sample."""
-    values = F.split(text, ":", -1)
-    blank = (text == ".") | (text == "")
+def sample(keys: Column, values: Column, n_alts: Column) -> Column:
+    """struct of one sample by the FORMAT keys, from the array of its values; a dot or nothing at all is an empty sample."""
+    blank = (F.size(values) == 1) & F.get(values, 0).isin(".", "")
 
     def get(key: str) -> Column:
         v = F.get(values, (F.array_position(keys, key) - 1).cast("int"))
@@ -194,11 +196,12 @@ def parse_lines(lines: DataFrame, n_samples: int = 0, strict: bool = True) -> Da
     )
     if strict:
         d = d.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")))
-    d = d.withColumns({"_info": info(F.coalesce(col(7), F.lit(""))), "pos": pos, "ref": col(3)})
+    d = d.withColumns({"_tokens": F.split(F.coalesce(col(7), F.lit("")), ";", -1), "pos": pos, "ref": col(3)})
+    d = d.withColumn("_info", info(F.col("_tokens")))
     texts = F.slice(F.col("_c"), F.lit(10), F.when(F.col("_ref"), F.lit(0)).otherwise(count))
     keys = F.split(F.coalesce(col(8), F.lit("")), ":", -1)
     n_alts = F.size("_alts")
-    d = d.withColumns({"_keys": keys, "_texts": texts})
+    d = d.withColumns({"_keys": keys, "_values": F.transform(texts, lambda t: F.split(t, ":", -1))})
     out = {
         "chrom": col(0),
         "id": F.when(col(2) != ".", col(2)),
@@ -208,9 +211,9 @@ def parse_lines(lines: DataFrame, n_samples: int = 0, strict: bool = True) -> Da
         "info": F.col("_info"),
         "is_reference": F.col("_ref"),
         "end_pos": F.coalesce(F.col("_info.end"), F.col("pos") + F.length("ref") - 1),
-        "samples": F.transform("_texts", lambda t: sample(F.col("_keys"), t, n_alts)),
+        "samples": F.transform("_values", lambda v: sample(F.col("_keys"), v, n_alts)),
     }
-    return d.withColumns(out).drop("_c", "_alts", "_ref", "_info", "_keys", "_texts")
+    return d.withColumns(out).drop("_c", "_alts", "_ref", "_info", "_tokens", "_keys", "_values")
 
 
 def informative(rows: DataFrame) -> DataFrame:
