@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that Python works on at a time.
+ROWS = 256
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -47,6 +50,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_columns(docs: DataFrame, text_col: str, rest: list[str], added: list, make) -> DataFrame:
+    """The columns ``rest`` of ``docs``, unchanged, and what ``make`` makes of lists of whole texts.
+
+    ``make(texts)`` gives a list of values for each of ``added`` (name, type). Rows go to
+    Python in Arrow batches of which ``ROWS`` at a time are worked on.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = T.StructType([*docs.select(*rest).schema.fields, *[T.StructField(n, t) for n, t in added]])
+    types = [to_arrow_type(t) for _, t in added]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
+                values = make(some.column(0).to_pylist())
+                columns = [*some.columns[1:], *[pa.array(v, t) for v, t in zip(values, types, strict=True)]]
+                yield pa.RecordBatch.from_arrays(columns, names=[*some.schema.names[1:], *[n for n, _ in added]])
+
+    inner = [F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields[: len(rest)])] + list(schema.fields[len(rest) :]))
+    out = docs.select(F.col(text_col).alias("_text"), *inner).mapInArrow(run, plain)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], *[F.col(n) for n, _ in added])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession

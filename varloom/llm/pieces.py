@@ -25,11 +25,12 @@ from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varloom.llm.common import with_columns
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of a text.
 N_BEST = 3
@@ -234,33 +235,20 @@ def encoded(docs: DataFrame, path: str = MODEL, n: int = N_BEST) -> DataFrame:
     """
     added = ["ids", "n_pieces", "scores", "crcs", "round_trip"]
     rest = [c for c in docs.columns if c not in (*added, "text")]
-    schema = docs.select(*rest).schema
     kinds = (T.ArrayType(T.IntegerType()), T.LongType(), T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType()), T.BooleanType())
-    for name, kind in zip(added, kinds, strict=True):
-        schema = schema.add(name, kind)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list) -> list:
         p = pieces(path)
-        for b in batches:
-            for at in range(0, len(b), 256):
-                some = b.iloc[at : at + 256]
-                rows = []
-                for text in some["text"]:
-                    ways = p.encode(text, n)
-                    rows.append(
-                        (
-                            ways[0][1].astype(np.int32),
-                            len(ways[0][1]),
-                            [w[0] for w in ways],
-                            [zlib.crc32(w[1].tobytes()) for w in ways],
-                            all(p.decode(w[1]) == (text or "") for w in ways),
-                        )
-                    )
-                yield pd.concat(
-                    [some[rest].reset_index(drop=True), pd.DataFrame(rows, columns=added)], axis=1
-                )
-
-    return docs.select(*rest, "text").mapInPandas(run, schema)
+        found = [p.encode(t, n) for t in texts]
+        return [
+            [ways[0][1].astype(np.int32) for ways in found],
+            [len(ways[0][1]) for ways in found],
+            [[w[0] for w in ways] for ways in found],
+            [[zlib.crc32(w[1].tobytes()) for w in ways] for ways in found],
+            [all(p.decode(w[1]) == (t or "") for w in ways) for t, ways in zip(texts, found, strict=True)],
+        ]
+
+    return with_columns(docs, "text", rest, list(zip(added, kinds, strict=True)), make)
 
 
 def digests(docs: DataFrame, path: str = MODEL, n: int = N_BEST) -> DataFrame:

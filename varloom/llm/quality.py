@@ -9,14 +9,14 @@ every whole text once, without a shuffle, with the model (below 2 MB) sent along
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varloom.llm import ngrams
+from varloom.llm.common import with_columns
 from varloom.llm.labelled import fitted, held_out, sample
 
 #: Labelled rows to fit on at most.
@@ -130,15 +130,14 @@ def predict(model: dict, texts: list[str | None], keep: np.ndarray) -> np.ndarra
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score) of every row: null and blank texts get the score of no features; repeated rows score alike."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = ngrams.table(model["features"])
-        for b in batches:
-            for at in range(0, len(b), 256):
-                some = b.iloc[at : at + 256]
-                yield pd.DataFrame({"doc_id": some["doc_id"], "score": predict(model, some["text"].tolist(), keep)})
+    table = []
+
+    def make(texts: list) -> list:
+        if not table:
+            table.append(ngrams.table(model["features"]))
+        return [predict(model, texts, table[0])]
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return with_columns(docs, "text", ["doc_id"], [("score", T.DoubleType())], make)
 
 
 def classify(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:

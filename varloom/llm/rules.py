@@ -184,9 +184,11 @@ def judged(docs: DataFrame) -> DataFrame:
     replaced.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *SLACKS]
-    d = metrics(docs.drop(*own))
-    d = stored(_rates(d.withColumn("base_failed", base_failed())), "rules")
-    return verdicts(d)
+    rest = [c for c in docs.columns if c not in own]
+    packed = docs.select(F.struct(*rest).alias("row"), "lang", "source", "text")
+    d = metrics(packed).drop("text")
+    d = verdicts(stored(_rates(d.withColumn("base_failed", base_failed())), "rules"))
+    return d.select(*[F.col("row").getField(c).alias(c) for c in rest], *own)
 
 
 def judged_ids(docs: DataFrame) -> DataFrame:

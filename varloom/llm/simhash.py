@@ -22,9 +22,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varloom.llm import golay
-from varloom.llm.common import cut
+from varloom.llm.common import cut, with_columns
 from varloom.llm.graph import components
 
 SHINGLE = 3
@@ -55,14 +56,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.array([fingerprint(t) for t in b["text"]], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps})
+    def make(texts: list) -> list:
+        return [np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64)]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, fp long")
+    return with_columns(rows, "text", ["doc_id"], [("fp", T.LongType())], make)
 
 
 def _keys(fps: DataFrame, side: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varloom.llm.common import stored
 
@@ -73,38 +74,46 @@ def flat_blocks(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) ->
     Rows are (stream, number, tokens binary, null) for blocks and (stream, null, null,
     doc_id) in order, with ``ordinal`` counting documents; neither holds a length.
     """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"stream int, number long, tokens binary, ordinal long, doc_id {kind}"
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
 
         stream, ordinal, number = TaskContext.get().partitionId(), 0, 0
         held, size = [], 0
 
-        def out(tokens: np.ndarray, n: int) -> pd.DataFrame:
-            row = {"stream": stream, "number": n, "tokens": tokens.astype("<u2").tobytes(), "ordinal": None, "doc_id": None}
-            return pd.DataFrame([row]).astype({"number": "Int64", "ordinal": "Int64"})
+        def batch(**columns) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            columns["stream"] = [stream] * n
+            made = [columns.get(f.name, pa.nulls(n, f.type)) for f in fields]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, fields, strict=True)], schema=fields)
+
+        def out(tokens: np.ndarray) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            return batch(number=[number - 1], tokens=[tokens.astype("<u2").tobytes()])
 
         for b in batches:
-            order = np.arange(ordinal, ordinal + len(b))
-            names = pd.DataFrame({"stream": stream, "number": None, "tokens": None, "ordinal": order, "doc_id": b["doc_id"].to_numpy()})
-            yield names.astype({"number": "Int64", "ordinal": "Int64"})
-            ordinal += len(b)
-            for t in b["text"]:
-                held += [encode(t, path), np.array([END], np.uint16)]
+            yield batch(ordinal=list(range(ordinal, ordinal + b.num_rows)), doc_id=b.column(0))
+            ordinal += b.num_rows
+            for t in b.column(1):
+                held += [encode(t.as_py(), path), np.array([END], np.uint16)]
                 size += len(held[-2]) + 1
                 if size >= block:
                     flat = np.concatenate(held)
                     whole = len(flat) // block * block
                     for at in range(0, whole, block):
-                        yield out(flat[at : at + block], number)
-                        number += 1
+                        yield out(flat[at : at + block])
                     held, size = [flat[whole:]], len(flat) - whole
         if size:
-            yield out(np.concatenate(held), number)
+            yield out(np.concatenate(held))
 
-    schema = f"stream int, number long, tokens binary, ordinal long, doc_id {kind}"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def read_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:

@@ -9,14 +9,14 @@ toxicity in documents of low form.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varloom.llm import ngrams
+from varloom.llm.common import with_columns
 from varloom.llm.labelled import fitted, held_out, sample
 
 #: Labelled rows to fit on at most.
@@ -133,19 +133,14 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     """
     names = [f"p_{c}" for c in CHAIN]
     rest = [c for c in docs.columns if c not in (*names, "toxic")]
-    schema = docs.select(*rest).schema
-    for c in names:
-        schema = schema.add(c, "double")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = ngrams.table(model["features"])
-        for b in batches:
-            for at in range(0, len(b), 256):
-                some = b.iloc[at : at + 256]
-                p = predict(model, some["text"].tolist(), keep)
-                yield some.assign(**{c: p[:, k] for k, c in enumerate(names)})
-
-    out = docs.select(*rest).mapInPandas(run, schema)
+    table = []
+
+    def make(texts: list) -> list:
+        if not table:
+            table.append(ngrams.table(model["features"]))
+        return list(predict(model, texts, table[0]).T)
+
+    out = with_columns(docs, "text", rest, [(c, T.DoubleType()) for c in names], make)
     return out.withColumn("toxic", F.when(F.col("p_toxic") >= THRESHOLD, 1).otherwise(0))
 
 
