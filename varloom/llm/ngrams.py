@@ -11,8 +11,8 @@ BITS = 20
 STEP = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POW = np.cumprod(np.full(256, 0x100000001B3, np.uint64), dtype=np.uint64)
-#: Feature of a word that stands three times in a row.
-RUN = 1
+#: Lengths of runs of one word that are features of their own.
+RUNS = (3, 4, 5, 6, 8, 10, 12)
 
 
 def _pieces(texts: list[str | None], lower: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -85,8 +85,11 @@ def indicators(
             of = doc[start]
             found.append(_kept(of, _hash(code, 101), keep))
             same = (of[1:] == of[:-1]) & (code[1:] == code[:-1])
-            run = np.flatnonzero(same[1:] & same[:-1])
-            found.append(_kept(of[run], np.full(len(run), RUN, np.int32), keep))
+            at = np.arange(len(of))
+            begun = np.maximum.accumulate(np.where(np.append(False, same), 0, at))
+            for k, n in enumerate(RUNS):
+                run = np.flatnonzero(at - begun == n - 1)
+                found.append(_kept(of[run], np.full(len(run), k + 1, np.int32), keep))
             if pairs:
                 two = of[1:] == of[:-1]
                 found.append(_kept(of[1:][two], _hash((code[:-1] * _MIX + code[1:])[two], 102), keep))

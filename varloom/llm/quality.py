@@ -73,18 +73,17 @@ def logistic_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def _unit(offsets: np.ndarray, places: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Values r of each row's features, scaled to length one."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    norm = np.sqrt(np.bincount(row, r[places] ** 2, len(offsets) - 1))
-    return r[places] / np.maximum(norm, 1e-12)[row]
+def _scaled(row: np.ndarray, r: np.ndarray, n: int, floor: float) -> np.ndarray:
+    """Values r of the rows' features, scaled to length one; rows below ``floor`` stay shorter, as they tell little."""
+    norm = np.sqrt(np.bincount(row, r**2, n))
+    return r / np.maximum(norm, floor)[row]
 
 
 def fit(rows: pd.DataFrame, c: float = C) -> dict:
     """Model of rows (doc_id, text, quality). Without rows of both classes, all scores are the smoothed share of class 1."""
     y = rows["quality"].to_numpy(dtype=float) > 0
     n1, n0 = int(y.sum()), int((~y).sum())
-    none = {"features": np.zeros(0, np.int32), "r": np.zeros(0), "w": np.zeros(0), "bias": 0.0}
+    none = {"features": np.zeros(0, np.int32), "r": np.zeros(0), "w": np.zeros(0), "bias": 0.0, "floor": 1.0}
     if not n1 or not n0:
         return none | {"a": 0.0, "b": float(np.log((n1 + 1) / (n0 + 1)))}
     texts = rows["text"].tolist()
@@ -96,7 +95,9 @@ def fit(rows: pd.DataFrame, c: float = C) -> dict:
     features = np.sort(best[worth[best] > 0]).astype(np.int32)
     r = r[features]
     offsets, places = ngrams.rows(texts, ngrams.table(features), **HOW)
-    values, sign = _unit(offsets, places, r), np.where(y, 1.0, -1.0)
+    row = np.repeat(np.arange(len(y)), np.diff(offsets))
+    floor = max(float(np.median(np.sqrt(np.bincount(row, r[places] ** 2, len(y))))), 1e-12)
+    values, sign = _scaled(row, r[places], len(y), floor), np.where(y, 1.0, -1.0)
     bound = np.where(y, c * len(y) / (2 * n1), c * len(y) / (2 * n0))
     fold = np.arange(len(y)) % FOLDS
     margin = np.zeros(len(y))
@@ -104,11 +105,11 @@ def fit(rows: pd.DataFrame, c: float = C) -> dict:
         ins = np.flatnonzero(fold != k)
         o, p, v = _rows_of(offsets, places, values, ins)
         w, bias = descend(o, p, v, sign[ins], bound[ins], EPOCHS, len(r))
-        all_m = np.bincount(np.repeat(np.arange(len(y)), np.diff(offsets)), w[places] * values, len(y)) + bias
+        all_m = np.bincount(row, w[places] * values, len(y)) + bias
         margin[fold == k] = all_m[fold == k]
     w, bias = descend(offsets, places, values, sign, bound, EPOCHS, len(r))
     a, b = logistic_curve(margin, sign)
-    return {"features": features, "r": r, "w": w, "bias": bias, "a": a, "b": b}
+    return {"features": features, "r": r, "w": w, "bias": bias, "floor": floor, "a": a, "b": b}
 
 
 def _rows_of(offsets, places, values, which):
@@ -121,9 +122,8 @@ def _rows_of(offsets, places, values, which):
 def predict(model: dict, texts: list[str | None], keep: np.ndarray) -> np.ndarray:
     n = len(texts)
     d, f = ngrams.indicators(texts, keep=keep, **HOW)
-    r = model["r"][f]
-    norm = np.sqrt(np.bincount(d, r**2, n))
-    margin = np.bincount(d, model["w"][f] * r, n) / np.maximum(norm, 1e-12) + model["bias"]
+    values = _scaled(d, model["r"][f], n, model["floor"])
+    margin = np.bincount(d, model["w"][f] * values, n) + model["bias"]
     return 1 / (1 + np.exp(-np.clip(model["a"] * margin + model["b"], -30, 30)))
 
 
