@@ -36,8 +36,8 @@ def _untrimmed(ref: Column, alt: Column) -> Column:
 
 def trimmed(v: DataFrame, position: str = "pos") -> DataFrame:
     """Replaces ref and alt of ``v`` by the trimmed alleles and adds ``position``, one step a projection."""
-    v = v.withColumn("_lead", F.when(_untrimmed(F.col("ref"), F.col("alt")), 0).otherwise(common_prefix(F.col("ref"), F.col("alt"))))
     v = v.withColumn("_go", ~_untrimmed(F.col("ref"), F.col("alt")))
+    v = v.withColumn("_lead", F.when(F.col("_go"), common_prefix(F.col("ref"), F.col("alt"))).otherwise(0))
     v = v.withColumns({c: F.substring(F.col(c), F.col("_lead") + 1, F.length(c)) for c in ("ref", "alt")})
     v = v.withColumn("_back", F.when(F.col("_go"), common_suffix(F.col("ref"), F.col("alt"))).otherwise(0))
     v = v.withColumns({c: F.substring(F.col(c), F.lit(1), F.length(c) - F.col("_back")) for c in ("ref", "alt")})
@@ -100,18 +100,18 @@ def _choose(x: Column, table: dict, default) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), x), F.lit(default))
 
 
-def variant_type(alt: Column, svtype: Column, n_ref: Column, n_alt: Column) -> Column:
-    """Type by category; the lengths are those of trimmed alleles."""
-    cat = category(alt, svtype)
+def variant_type(alt: Column, svtype: Column, n_ref: Column, n_alt: Column, cat: Column | None = None) -> Column:
+    """Type by category (computed where it isn't given); the lengths are those of trimmed alleles."""
+    cat = category(alt, svtype) if cat is None else cat
     tandem = (svtype == "DUP") & (alt == "<DUP:TANDEM>")
     sv = F.when(tandem, "tandem_duplication").otherwise(_choose(F.coalesce(svtype, F.lit("")), SV_TYPES, "unknown"))
     cnv = _choose(alt, {"<DEL>": "copy_number_loss", "<DUP>": "copy_number_gain"}, "copy_number_variation")
     return (
-        F.when(is_breakend(alt), "translocation")
+        F.when(cat == SMALL, small_type(n_ref, n_alt))
+        .when(is_breakend(alt), "translocation")
         .when(cat == STR, "short_tandem_repeat_variation")
         .when(cat == CNV, cnv)
-        .when(cat == SV, sv)
-        .otherwise(small_type(n_ref, n_alt))
+        .otherwise(sv)
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from varloom.functions.alleles import CNV, SMALL, STR, SV, is_reverse_complement
+from varloom.functions.alleles import SMALL, STR, is_reverse_complement
 
 #: Types and their codes in identifiers (fixed values); any other type is SV.
 CODES = {
@@ -42,15 +42,15 @@ def variant_id(chrom: Column, begin: Column, end: Column, ref: Column, alt: Colu
     An empty allele takes ``base`` in front of both where that is known, and places one
     base earlier where the name has no end. A reference allele N becomes ``base``.
     """
-    ref = F.when((ref == "N") & base.isNotNull(), base).otherwise(ref)
-    padded = ((ref == "") | (alt == "")) & base.isNotNull()
+    pad = F.when(((ref == "") | (alt == "")) & base.isNotNull(), base)
     plain = (cat == SMALL) | (kind == "translocation")
-    pad = F.when(padded, base).otherwise(F.lit(""))
-    at = F.when(padded & plain, begin - 1).otherwise(begin).cast("string")
-    short = F.concat_ws("-", chrom, at, F.concat(pad, ref), F.concat(pad, alt))
-    long = F.concat_ws("-", chrom, at, end.cast("string"), F.concat(pad, ref), F.concat(pad, alt))
-    code = F.when(cat == STR, F.lit("STR")).otherwise(sv_code(kind))
-    return F.when(plain, short).when(cat.isin(SV, CNV, STR), F.concat_ws("-", long, code))
+    at = F.when(pad.isNotNull() & plain, begin - 1).otherwise(begin).cast("string")
+    # parts that are null are left out
+    stop = F.when(~plain, end.cast("string"))
+    code = F.when(~plain, F.when(cat == STR, F.lit("STR")).otherwise(sv_code(kind)))
+    known = F.when((ref == "N") & base.isNotNull(), base).otherwise(ref)
+    shown = lambda x: F.concat(F.coalesce(pad, F.lit("")), x)
+    return F.concat_ws("-", chrom, at, stop, shown(known), shown(alt), code)
 
 
 def _range(a: Column, b: Column) -> Column:

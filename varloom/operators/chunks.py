@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.text import common_prefix, common_suffix, head, tail
-from varloom.operators.shared import checkpointed
+from varloom.operators.shared import checkpointed, settled
 
 CHUNK = 1 << 20
 MARGIN = 1 << 13
@@ -86,7 +86,7 @@ def left_aligned(v: DataFrame, window: int = 48, size: int = CHUNK) -> DataFrame
     # the allele read from the moved place on: bases before, then the allele itself
     turn = F.col("_shift") % F.greatest(n, F.lit(1))
     turned = F.concat(tail(F.col("_allele"), turn), head(F.col("_allele"), n - turn))
-    return v.withColumns(
+    v = v.withColumns(
         {
             "open_left": (F.col("_allele") != "") & (F.col("_shift") == F.col("_before")) & (F.col("lo") > 0),
             "position": F.col("position") - F.col("_shift"),
@@ -94,6 +94,7 @@ def left_aligned(v: DataFrame, window: int = 48, size: int = CHUNK) -> DataFrame
             "alt": F.when((F.col("alt") != "") & (F.col("_allele") != ""), turned).otherwise(F.col("alt")),
         }
     ).drop("_allele", "_before", "_near", "_shift")
+    return settled(v, "position", "ref", "alt", "open_left")
 
 
 def align(variants: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,6 +18,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the columns ``names`` computed once, whatever filters follow.
+
+    A filter on a computed column is pushed below it and computes it again; it cannot pass
+    a generator, so the columns leave here through one that makes one row of one.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

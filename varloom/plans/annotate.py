@@ -13,18 +13,16 @@ from pyspark.sql import functions as F
 from varloom.functions import alleles as A
 from varloom.functions.naming import hgvs_genomic, span, variant_id
 from varloom.operators.chunks import CHUNK, align, bases, placed, rotated
+from varloom.operators.shared import settled
 
 
 def classified(v: DataFrame) -> DataFrame:
     """Adds position, ref, alt (trimmed), category, variant_type, repeat_count to (chrom, pos, ref, alt, svtype, end_pos)."""
     v = A.trimmed(v.withColumn("_alt", F.col("alt")))
-    return v.withColumns(
-        {
-            "category": A.category(F.col("_alt"), F.col("svtype")),
-            "repeat_count": A.repeat_count(F.col("_alt")),
-            "variant_type": A.variant_type(F.col("_alt"), F.col("svtype"), F.length("ref"), F.length("alt")),
-        }
-    ).drop("_alt")
+    v = v.withColumns({"category": A.category(F.col("_alt"), F.col("svtype")), "repeat_count": A.repeat_count(F.col("_alt"))})
+    kind = A.variant_type(F.col("_alt"), F.col("svtype"), F.length("ref"), F.length("alt"), F.col("category"))
+    v = v.withColumn("variant_type", kind).drop("_alt")
+    return settled(v, "position", "ref", "alt", "category", "repeat_count", "variant_type")
 
 
 def _finished(v: DataFrame, accession: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.text import strict_int, unescape
+from varloom.operators.shared import checkpointed, settled
 from varloom.sources.biotypes import dimension
 
 #: Attribute keys that are known and passed over (fixed values).
@@ -177,7 +178,8 @@ def features(lines: DataFrame, aliases: DataFrame, style: str, order: str | None
         .when(F.coalesce(F.col("attr.id"), F.lit("")) == "", "no ID")
         .when(F.col("attr.unknown_key").isNotNull(), F.concat(F.lit("key "), F.col("attr.unknown_key")))
     )
-    return d.withColumn("error", error).drop("_c", "_pairs", "a_name", "spelling")
+    d = d.withColumn("error", error).drop("_c", "_pairs", "a_name", "spelling")
+    return settled(d, "attr", "start", "end", "reverse", "error")
 
 
 def regulatory(f: DataFrame) -> DataFrame:
@@ -192,6 +194,7 @@ def hierarchy(f: DataFrame, style: str) -> dict[str, DataFrame]:
     them; ``orphans`` are children whose parent is nowhere in the file.
     """
     rows = f.where(F.col("error").isNull()).select("ref_index", "biotype", "category", "coding", "code", "start", "end", "reverse", "attr")
+    rows = checkpointed(rows)  # read many times below
     genes = rows.where("category = 'gene'")
     tx = rows.where("category = 'transcript'")
     if style == "refseq":

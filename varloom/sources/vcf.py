@@ -195,7 +195,8 @@ def parse_lines(lines: DataFrame, n_samples: int = 0, strict: bool = True) -> Da
         .when(wrong, F.concat(F.lit("samples: "), count.cast("string"))),
     )
     if strict:
-        d = d.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")))
+        # a filter, as a column nobody reads would not be computed
+        d = d.where(F.coalesce(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")), F.lit(True)))
     d = d.withColumns({"_tokens": F.split(F.coalesce(col(7), F.lit("")), ";", -1), "pos": pos, "ref": col(3)})
     d = d.withColumn("_info", info(F.col("_tokens")))
     texts = F.slice(F.col("_c"), F.lit(10), F.when(F.col("_ref"), F.lit(0)).otherwise(count))
