@@ -24,7 +24,7 @@ MIN_GROUP = 30
 #: Fence: quartile plus or minus this many interquartile ranges, and the metric's slack.
 FENCE = 3
 #: metric -> (slack above, slack below or None where only large values are bad)
-SLACKS = {"symbol_rate": (500, None), "dup_rate": (300, None), "repeat_rate": (3000, None), "word_length": (200, 200)}
+SLACKS = {"symbol_rate": (500, None), "dup_rate": (300, None), "repeat_rate": (4500, None), "word_length": (200, 200)}
 
 
 def _windows(w: Column) -> Column:
