@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.ids import contig
 from varloom.functions.text import all_or_null, strict_double, strict_int
+from varloom.operators.shared import settled
 
 #: Alternative alleles that say nothing (fixed values).
 UNINFORMATIVE = ("*", "<*>", "<M>", "<NON_REF>")
@@ -139,37 +140,42 @@ def frequencies(vf: Column, depths: Column, total: Column, n_alts: Column) -> Co
     return F.when(vf.isNotNull() & (n_alts == 1), F.array(vf)).otherwise(from_depths)
 
 
-def sample(keys: Column, values: Column, n_alts: Column) -> Column:
-    """struct of one sample by the FORMAT keys, from the array of its values; a dot or nothing at all is an empty sample."""
-    blank = (F.size(values) == 1) & F.get(values, 0).isin(".", "")
+#: FORMAT keys that are read (fixed values); others are passed over.
+SAMPLE_KEYS = ("GT", "DP", "AD", "GQ", "VF", "CN", "MCN", "REPCN", "FT", "SR", "PR", "DN", "SQ", "DS", "GP", "BC")
 
-    def get(key: str) -> Column:
-        v = F.get(values, (F.array_position(keys, key) - 1).cast("int"))
-        return F.when((F.array_position(keys, key) > 0) & ~blank & (v != ".") & (v != ""), v)
 
-    gt, cn, mcn = get("GT"), strict_int(get("CN")), strict_int(get("MCN"))
-    depths, total = int_list(get("AD")), strict_int(get("DP"))
-    loss = (mcn == 0) & (cn >= 2) & gt.isin("1/2", "1|2")
-    return F.struct(
-        gt.alias("genotype"),
-        frequencies(strict_double(get("VF")), depths, total, n_alts).alias("variantFrequencies"),
-        total.alias("totalDepth"),
-        strict_double(get("GQ")).alias("genotypeQuality"),
-        cn.alias("copyNumber"),
-        mcn.alias("minorHaplotypeCopyNumber"),
-        int_list(get("REPCN"), "/").alias("repeatUnitCounts"),
-        depths.alias("alleleDepths"),
-        F.coalesce(get("FT") != "PASS", F.lit(False)).alias("failedFilter"),
-        int_list(get("SR")).alias("splitReadCounts"),
-        int_list(get("PR")).alias("pairedEndReadCounts"),
-        F.coalesce(get("DN") == "DeNovo", F.lit(False)).alias("isDeNovo"),
-        F.coalesce(loss, F.lit(False)).alias("lossOfHeterozygosity"),
-        strict_double(get("SQ")).alias("somaticQuality"),
-        gt.isNull().alias("isEmpty"),
-        strict_double(get("DS")).alias("genotypeDosage"),
-        double_list(get("GP")).alias("genotypePosteriors"),
-        strict_int(get("BC")).alias("binCount"),
-    )
+def samples(values: Column, at: Column, n_alts: Column) -> Column:
+    """array of structs of sample columns, from arrays of their values and the keys' places (struct, 0 if absent).
+
+    Three steps, each made once: texts by key, parsed values, and what follows from those.
+    A sample of one dot or nothing at all is empty.
+    """
+
+    def texts(v: Column) -> Column:
+        present = lambda x: F.when((x != ".") & (x != ""), x)
+        return F.struct(*[present(F.get(v, (at[k] - 1).cast("int"))).alias(k) for k in SAMPLE_KEYS])
+
+    def parsed(t: Column) -> Column:
+        return F.struct(
+            t["GT"].alias("gt"), strict_double(t["VF"]).alias("vf"), strict_int(t["DP"]).alias("dp"), strict_double(t["GQ"]).alias("gq"),
+            strict_int(t["CN"]).alias("cn"), strict_int(t["MCN"]).alias("mcn"), int_list(t["REPCN"], "/").alias("repcn"),
+            int_list(t["AD"]).alias("ad"), F.coalesce(t["FT"] != "PASS", F.lit(False)).alias("failed"), int_list(t["SR"]).alias("sr"),
+            int_list(t["PR"]).alias("pr"), F.coalesce(t["DN"] == "DeNovo", F.lit(False)).alias("dn"), strict_double(t["SQ"]).alias("sq"),
+            strict_double(t["DS"]).alias("ds"), double_list(t["GP"]).alias("gp"), strict_int(t["BC"]).alias("bc"),
+        )
+
+    def finished(p: Column) -> Column:
+        loss = (p["mcn"] == 0) & (p["cn"] >= 2) & p["gt"].isin("1/2", "1|2")
+        return F.struct(
+            p["gt"].alias("genotype"), frequencies(p["vf"], p["ad"], p["dp"], n_alts).alias("variantFrequencies"), p["dp"].alias("totalDepth"),
+            p["gq"].alias("genotypeQuality"), p["cn"].alias("copyNumber"), p["mcn"].alias("minorHaplotypeCopyNumber"),
+            p["repcn"].alias("repeatUnitCounts"), p["ad"].alias("alleleDepths"), p["failed"].alias("failedFilter"),
+            p["sr"].alias("splitReadCounts"), p["pr"].alias("pairedEndReadCounts"), p["dn"].alias("isDeNovo"),
+            F.coalesce(loss, F.lit(False)).alias("lossOfHeterozygosity"), p["sq"].alias("somaticQuality"), p["gt"].isNull().alias("isEmpty"),
+            p["ds"].alias("genotypeDosage"), p["gp"].alias("genotypePosteriors"), p["bc"].alias("binCount"),
+        )
+
+    return F.transform(F.transform(F.transform(values, texts), parsed), finished)
 
 
 def parse_lines(lines: DataFrame, n_samples: int = 0, strict: bool = True) -> DataFrame:
@@ -181,6 +187,7 @@ def parse_lines(lines: DataFrame, n_samples: int = 0, strict: bool = True) -> Da
     """
     least = 9 if n_samples else 8
     d = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).withColumn("_c", F.split("value", "\t", -1))
+    d = settled(d, "_c")  # split once, whatever filters follow
     col = lambda i: F.get(F.col("_c"), i)
     alts = F.split(col(4), ",", -1)
     d = d.withColumns({"_alts": F.filter(alts, lambda a: ~a.isin(*UNINFORMATIVE)), "_ref": F.coalesce(col(4).isin(".", "<NON_REF>"), F.lit(False))})
@@ -203,6 +210,7 @@ def parse_lines(lines: DataFrame, n_samples: int = 0, strict: bool = True) -> Da
     keys = F.split(F.coalesce(col(8), F.lit("")), ":", -1)
     n_alts = F.size("_alts")
     d = d.withColumns({"_keys": keys, "_values": F.transform(texts, lambda t: F.split(t, ":", -1))})
+    d = d.withColumn("_at", F.struct(*[F.array_position("_keys", k).alias(k) for k in SAMPLE_KEYS]))
     out = {
         "chrom": col(0),
         "id": F.when(col(2) != ".", col(2)),
@@ -212,9 +220,9 @@ def parse_lines(lines: DataFrame, n_samples: int = 0, strict: bool = True) -> Da
         "info": F.col("_info"),
         "is_reference": F.col("_ref"),
         "end_pos": F.coalesce(F.col("_info.end"), F.col("pos") + F.length("ref") - 1),
-        "samples": F.transform("_values", lambda v: sample(F.col("_keys"), v, n_alts)),
+        "samples": samples(F.col("_values"), F.col("_at"), n_alts),
     }
-    return d.withColumns(out).drop("_c", "_alts", "_ref", "_info", "_tokens", "_keys", "_values")
+    return d.withColumns(out).drop("_c", "_alts", "_ref", "_info", "_tokens", "_keys", "_values", "_at")
 
 
 def informative(rows: DataFrame) -> DataFrame:
