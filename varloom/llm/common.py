@@ -50,11 +50,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_columns(docs: DataFrame, text_col: str, rest: list[str], added: list, make) -> DataFrame:
+def with_columns(docs: DataFrame, text_col: str, rest: list[str], added: list, make, rows: int = ROWS) -> DataFrame:
     """The columns ``rest`` of ``docs``, unchanged, and what ``make`` makes of lists of whole texts.
 
     ``make(texts)`` gives a list of values for each of ``added`` (name, type). Rows go to
-    Python in Arrow batches of which ``ROWS`` at a time are worked on.
+    Python in Arrow batches of which ``rows`` at a time are worked on.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
@@ -64,8 +64,8 @@ def with_columns(docs: DataFrame, text_col: str, rest: list[str], added: list, m
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                some = b.slice(at, ROWS)
+            for at in range(0, b.num_rows, rows):
+                some = b.slice(at, rows)
                 values = make(some.column(0).to_pylist())
                 columns = [*some.columns[1:], *[pa.array(v, t) for v, t in zip(values, types, strict=True)]]
                 yield pa.RecordBatch.from_arrays(columns, names=[*some.schema.names[1:], *[n for n, _ in added]])

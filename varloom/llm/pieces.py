@@ -36,8 +36,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: An unknown character scores the least score of a piece less this.
 UNKNOWN_PENALTY = 10.0
-#: Cells in either of the two generations of a worker's cache.
-CACHE = 300_000
+#: Cells in a worker's cache.
+CACHE = 1_000_000
+#: Texts whose new cells are solved together; the more, the more prefixes they share.
+TEXTS = 1024
 CELL = re.compile(" *[^ ]+| +")
 
 
@@ -75,21 +77,32 @@ class Pieces:
         ids = range(m.get_piece_size())
         self.byte = {int(m.id_to_piece(i)[3:5], 16): i for i in ids if m.is_byte(i)}
         normal = [i for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
-        self.text = {i: m.id_to_piece(i).replace("▁", " ").encode() for i in normal}
-        self.text |= {i: bytes([b]) for b, i in self.byte.items()}
+        self.text = [b""] * m.get_piece_size()
+        for i in normal:
+            self.text[i] = m.id_to_piece(i).replace("▁", " ").encode()
+        for b, i in self.byte.items():
+            self.text[i] = bytes([b])
+        self.packed = [i.to_bytes(4, "little") for i in ids]
         self.unknown = min((m.get_score(i) for i in normal), default=0.0) - UNKNOWN_PENALTY
         self.unk_id = m.unk_id()
-        self.trie: dict = {}
         self.crossing = False
+        # nodes [id, score, children], pieces read from their last character to their first
+        self.ends: list = [0, None, {}]
         for i in normal:
             piece = m.id_to_piece(i).replace("▁", " ")
             self.crossing |= " " in piece.lstrip(" ")
-            node = self.trie
-            for ch in piece:
-                node = node.setdefault(ch, {})
-            node[""] = (i, m.get_score(i))
-        self.young: dict = {}
-        self.old: dict = {}
+            node = self.ends
+            for ch in reversed(piece):
+                node = node[2].setdefault(ch, [0, None, {}])
+            node[0], node[1] = i, m.get_score(i)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache: cells by number, and by number their scores, costs and places in the pool of identifiers."""
+        self.number: dict[str, int] = {}
+        self.score, self.cost = np.zeros(0), np.zeros(0)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
 
     def ids_of(self, payload) -> list[int]:
         """Identifiers of an edge: a piece, or an unknown character's bytes."""
@@ -98,60 +111,76 @@ class Pieces:
         return [self.byte.get(b, self.unk_id) for b in payload.encode("utf-8", "surrogatepass")]
 
     def edges(self, s: str) -> Iterator[tuple[int, int, object, float]]:
-        """(start, end, payload, score), by start and then by length."""
-        n = len(s)
-        for i in range(n):
-            node, j, single = self.trie, i, False
-            while j < n:
-                node = node.get(s[j])
-                if node is None:
-                    break
-                j += 1
-                if "" in node:
-                    single |= j == i + 1
-                    yield i, j, *node[""]
-            if not single:
-                yield i, i + 1, s[i], self.unknown
-
-    def solve(self, s: str) -> tuple[bytes, float, float]:
-        """Identifiers (4 bytes each) and score of the cell's best path, and what its second costs more (inf: no second)."""
-        n, low, root, unknown = len(s), float("-inf"), self.trie, self.unknown
-        best, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
-        best[0] = 0.0
-        for i in range(n):
-            a, b, node, j, single = best[i], second[i], root, i, False
-            while j < n:
-                node = node.get(s[j])
+        """(start, end, payload, score), by end and then by length."""
+        for j in range(1, len(s) + 1):
+            node, i, single = self.ends, j, False
+            while i:
+                node = node[2].get(s[i - 1])
                 if node is None:
                     break
-                j += 1
-                if "" in node:
-                    payload, score = node[""]
-                    x = a + score
-                    if x > best[j]:
-                        y = b + score
-                        second[j] = y if y > best[j] else best[j]
-                        best[j], back[j] = x, (i, payload)
-                    elif x > second[j]:
-                        second[j] = x
-                    if j == i + 1:
-                        single = True
+                i -= 1
+                if node[1] is not None:
+                    single |= i == j - 1
+                    yield i, j, node[0], node[1]
             if not single:
-                x, j = a + unknown, i + 1
-                if x > best[j]:
-                    y = b + unknown
-                    second[j] = y if y > best[j] else best[j]
-                    best[j], back[j] = x, (i, s[i])
-                elif x > second[j]:
-                    second[j] = x
-        ids, at = [], n
-        while at:
-            at, payload = back[at]
-            if isinstance(payload, int):
-                ids.append(payload)
-            else:
-                ids += self.ids_of(payload)[::-1]
-        return np.array(ids[::-1], "<u4").tobytes(), best[n], best[n] - second[n]
+                yield j - 1, j, s[j - 1], self.unknown
+
+    def solve(self, cells: list[str]) -> Iterator[tuple[str, tuple[bytes, float, float]]]:
+        """Each cell with its best path's identifiers (4 bytes each) and score, and what its second path costs more (inf: none).
+
+        What the forward pass has at a node depends on the characters before it alone, so
+        cells are taken in order and go on from the prefix they share with the one before.
+        """
+        low, ends, unknown = float("-inf"), self.ends, self.unknown
+        best, second, back = [0.0], [low], [(0, 0)]
+        before = ""
+        for s in sorted(cells):
+            n, k = len(s), 0
+            most = min(n, len(before))
+            while k < most and s[k] == before[k]:
+                k += 1
+            del best[k + 1 :], second[k + 1 :], back[k + 1 :]
+            before = s
+            for j in range(k + 1, n + 1):
+                first, next_, link, node, i, single = low, low, None, ends, j, False
+                while i:
+                    node = node[2].get(s[i - 1])
+                    if node is None:
+                        break
+                    i -= 1
+                    score = node[1]
+                    if score is not None:
+                        x = best[i] + score
+                        if x > first:
+                            y = second[i] + score
+                            next_ = y if y > first else first
+                            first, link = x, (i, node[0])
+                        elif x > next_:
+                            next_ = x
+                        if i == j - 1:
+                            single = True
+                if not single:
+                    x = best[j - 1] + unknown
+                    if x > first:
+                        y = second[j - 1] + unknown
+                        next_ = y if y > first else first
+                        first, link = x, (j - 1, s[j - 1])
+                    elif x > next_:
+                        next_ = x
+                best.append(first)
+                second.append(next_)
+                back.append(link)
+            path, at = [], n
+            while at:
+                at, payload = back[at]
+                path.append(payload)
+            yield s, (self.bytes_of(path[::-1]), best[n], best[n] - second[n])
+
+    def bytes_of(self, path: list) -> bytes:
+        try:
+            return b"".join([self.packed[p] for p in path])
+        except TypeError:  # unknown characters
+            return b"".join([self.packed[i] for p in path for i in self.ids_of(p)])
 
     def alternatives(self, s: str, n: int) -> list[tuple[float, bytes]]:
         """The n best paths of a cell, best first."""
@@ -162,56 +191,71 @@ class Pieces:
             into[j].append((i, payload, score))
             reach[j] = max(reach[j], reach[i] + score)
         paths = n_best_paths(into.__getitem__, reach, len(s), n)
-        return [(score, np.array([i for p in path for i in self.ids_of(p)], "<u4").tobytes()) for score, path in paths]
+        return [(score, self.bytes_of(path)) for score, path in paths]
 
     def cells(self, text: str) -> list[str]:
         return [] if not text else [" " + text] if self.crossing else CELL.findall(" " + text)
 
-    def solved(self, cells: list[str]) -> list[tuple[bytes, float, float]]:
-        out = []
-        for c in cells:
-            x = self.young.get(c)
-            if x is None:
-                x = self.old.get(c)
-                if x is None:
-                    x = self.solve(c)
-                if len(c) <= 64:
-                    if len(self.young) >= CACHE:
-                        self.old, self.young = self.young, {}
-                    self.young[c] = x
-            out.append(x)
-        return out
+    def learn(self, cells: set[str]) -> None:
+        """Solves what the cache lacks of some cells; a cache that would grow too large starts anew with these."""
+        missing = [c for c in cells if c not in self.number]
+        if len(self.number) + len(missing) > CACHE and self.number:
+            self.forget()
+            missing = list(cells)
+        if not missing:
+            return
+        names, found = zip(*self.solve(missing), strict=True)
+        ids, scores, costs = zip(*found, strict=True)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.start = np.append(self.start, len(self.pool) + np.cumsum(length) - length)
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), "<u4"))
+        self.length, self.score, self.cost = np.append(self.length, length), np.append(self.score, scores), np.append(self.cost, costs)
+        self.number.update(zip(names, range(len(self.number), len(self.number) + len(names)), strict=True))
 
     def encode(self, text: str | None, n: int = N_BEST) -> list[tuple[float, np.ndarray]]:
         """Up to n best segmentations (score, identifiers) of a whole text; a null or empty text has one, without pieces."""
         cells = self.cells(text or "")
-        rows = self.solved(cells)
-        parts = [r[0] for r in rows]
-        total = sum(r[1] for r in rows)
-        first = np.frombuffer(b"".join(parts), "<u4")
-        if n <= 1 or not cells:
-            return [(total, first)]
-        gaps = [(r[2], k) for k, r in enumerate(rows) if r[2] != float("inf")]
-        chosen = sorted(k for _, k in heapq.nsmallest(n - 1, gaps))
+        self.learn(set(cells))
+        return [(score, np.frombuffer(ids, "<u4")) for score, ids in self.assembled(cells, n)[0]]
+
+    def assembled(self, cells: list[str], n: int) -> tuple[list[tuple[float, bytes]], bool]:
+        """Up to n best segmentations of a chain of known cells, and whether all but the best give their cells' text."""
+        if not cells:
+            return [(0.0, b"")], True
+        k = np.fromiter(map(self.number.__getitem__, cells), np.int64, len(cells))
+        length = self.length[k]
+        ends = np.cumsum(length)
+        total = float(self.score[k].sum())
+        best = self.pool[np.repeat(self.start[k] - ends + length, length) + np.arange(ends[-1])].tobytes()
+        found, sound = [(total, best)], True
+        if n <= 1:
+            return found, sound
+        gaps = self.cost[k]
+        few = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) > n - 1 else np.arange(len(gaps))
+        chosen = sorted(k for k in few.tolist() if gaps[k] != np.inf)
         ways = [self.alternatives(cells[k], n) for k in chosen]
         reach = [total - sum(w[0][0] for w in ways)]
         for w in ways:
             reach.append(reach[-1] + w[0][0])
+        spans = [(4 * int(ends[k] - length[k]), 4 * int(ends[k])) for k in chosen]
         steps = lambda p: [(p - 1, way, way[0]) for way in ways[p - 1]]
-        found = [(total, first)]
         for rank, (score, path) in enumerate(n_best_paths(steps, reach, len(ways), n)):
             if rank == 0:
                 continue  # the best path of every cell
-            own = list(parts)
-            for k, way in zip(chosen, path, strict=True):
-                own[k] = way[1]
-            found.append((reach[0] + score, np.frombuffer(b"".join(own), "<u4")))
-        return found
+            own, at = [], 0
+            for k, (start, end), way in zip(chosen, spans, path, strict=True):
+                own += [best[at:start], way[1]]
+                at = end
+                sound &= self.raw(way[1]) == cells[k].encode("utf-8", "surrogatepass")
+            found.append((reach[0] + score, b"".join([*own, best[at:]])))
+        return found, sound
+
+    def raw(self, ids: bytes) -> bytes:
+        return b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def decode(self, ids) -> str:
         """The text of identifiers; control and unknown identifiers have none."""
-        text = b"".join([self.text.get(i, b"") for i in np.asarray(ids).tolist()])
-        return text.decode("utf-8", "replace").removeprefix(" ")
+        return b"".join(map(self.text.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace").removeprefix(" ")
 
 
 _loaded: dict[str, Pieces] = {}
@@ -239,16 +283,19 @@ def encoded(docs: DataFrame, path: str = MODEL, n: int = N_BEST) -> DataFrame:
 
     def make(texts: list) -> list:
         p = pieces(path)
-        found = [p.encode(t, n) for t in texts]
-        return [
-            [ways[0][1].astype(np.int32) for ways in found],
-            [len(ways[0][1]) for ways in found],
-            [[w[0] for w in ways] for ways in found],
-            [[zlib.crc32(w[1].tobytes()) for w in ways] for ways in found],
-            [all(p.decode(w[1]) == (t or "") for w in ways) for t, ways in zip(texts, found, strict=True)],
-        ]
-
-    return with_columns(docs, "text", rest, list(zip(added, kinds, strict=True)), make)
+        chains = [p.cells(t or "") for t in texts]
+        p.learn(set().union(*chains))
+        ids, scores, crcs, same = [], [], [], []
+        for t, cells in zip(texts, chains, strict=True):
+            ways, sound = p.assembled(cells, n)
+            ids.append(np.frombuffer(ways[0][1], "<i4"))
+            scores.append([w[0] for w in ways])
+            crcs.append([zlib.crc32(w[1]) for w in ways])
+            # the others differ from the best in cells that were looked at one by one
+            same.append(sound and p.raw(ways[0][1]) == (" " + t if t else "").encode("utf-8", "surrogatepass"))
+        return [ids, [len(x) for x in ids], scores, crcs, same]
+
+    return with_columns(docs, "text", rest, list(zip(added, kinds, strict=True)), make, TEXTS)
 
 
 def digests(docs: DataFrame, path: str = MODEL, n: int = N_BEST) -> DataFrame:
