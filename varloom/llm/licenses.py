@@ -81,18 +81,20 @@ TEMPLATES = [
 ]
 
 
+#: Words of lower-case text: letters and digits, with dots inside.
+TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
+
+
 def normalised_words(text: Column) -> Column:
-    """Lower-case runs of a-z, 0-9 and dots within numbers; all else separates."""
-    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9.]+", " ")
-    plain = F.regexp_replace(plain, r"\.( |$)", " ")
-    return F.filter(F.split(plain, " +"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def bigrams(w: Column) -> Column:
+    """64-bit digests of neighbouring words."""
     return F.when(
         F.size(w) >= 2,
-        F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))),
-    ).otherwise(F.array().cast("array<string>"))
+        F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))),
+    ).otherwise(F.array().cast("array<long>"))
 
 
 def size_bounds(n: Column, t: float) -> tuple[Column, Column]:
@@ -117,22 +119,19 @@ def matches(docs: DataFrame, templates=TEMPLATES, t: float = THRESHOLD) -> DataF
     spark = docs.sparkSession
     known = template_bigrams(spark, templates, t)
     least, most = known.agg(F.min("lo"), F.max("hi")).first()  # of the fixed templates
-    text = F.coalesce(F.col("text"), F.lit(""))
-    parts = F.flatten(
-        F.array(
-            F.array(F.struct(F.lit("text").alias("kind"), text.alias("part"))),
-            F.transform(
-                F.when(F.size(F.split(text, r"\n\s*\n")) > 1, F.split(text, r"\n\s*\n")).otherwise(F.array().cast("array<string>")),
-                lambda x: F.struct(F.lit("paragraph").alias("kind"), x.alias("part")),
-            ),
-            F.transform(
-                F.when(F.instr(text, "\n") > 0, F.split(text, "\n")).otherwise(F.array().cast("array<string>")),
-                lambda x: F.struct(F.lit("line").alias("kind"), x.alias("part")),
-            ),
-        )
-    )
-    units = docs.select("row", F.posexplode(parts).alias("unit", "u"))
-    units = units.select("row", "unit", F.col("u.kind").alias("kind"), normalised_words(F.col("u.part")).alias("w"))
+    d = docs.select("row", F.coalesce("text", F.lit("")).alias("text"))
+    # words are made before the rows are exploded, so that the filter on their number doesn't make them again
+    part = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), normalised_words(x).alias("w"))
+    none = F.array().cast("array<struct<kind:string,w:array<string>>>")
+    # whole texts with too many words for any template are known by a count, without making words of them
+    whole = F.when(
+        F.regexp_count(F.lower("text"), F.lit(TOKEN)) <= most + 1, F.array(part("text")(F.col("text")))
+    ).otherwise(none)
+    blank = r"\n\s*\n"
+    paragraphs = F.when(F.col("text").rlike(blank), F.transform(F.split("text", blank), part("paragraph"))).otherwise(none)
+    lines = F.when(F.instr("text", "\n") > 0, F.transform(F.split("text", "\n"), part("line"))).otherwise(none)
+    units = d.select("row", F.posexplode(F.concat(whole, paragraphs, lines)).alias("unit", "u"))
+    units = units.select("row", "unit", "u.kind", "u.w")
     units = units.withColumn("size", F.size("w") - 1).where(F.col("size").between(least, most))
     made = units.select("row", "unit", "kind", "size", F.explode(bigrams(F.col("w"))).alias("bigram"))
     k = F.broadcast(known.withColumnsRenamed({"size": "t_size", "bigram": "t_bigram"}))
@@ -147,14 +146,14 @@ def matches(docs: DataFrame, templates=TEMPLATES, t: float = THRESHOLD) -> DataF
 def scan(docs: DataFrame, templates=TEMPLATES, t: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, license, dice, kind, n_units, licenses.
 
-    ``license`` is the best match (highest coefficient, then name), ``n_units`` the units
+    ``license`` is the best match (highest coefficient, then first template, then the largest unit), ``n_units`` the units
     that match any template, ``licenses`` the distinct names, sorted and joined by commas.
     Null, empty and unmatched texts have null license and kind, 0 units and coefficient 0.
     Rows that repeat a doc_id pool their units; an empty table gives an empty result; other
     columns are ignored.
     """
     found = matches(docs.select(F.col("doc_id").alias("row"), "text"), templates, t)
-    best = F.max_by(F.struct("license", "kind"), F.struct("dice", F.col("template") * -1))
+    best = F.max_by(F.struct("license", "kind"), F.struct("dice", F.col("template") * -1, "kind"))
     found = found.groupBy("row").agg(
         best.alias("best"),
         F.max("dice").alias("dice"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from varloom.llm.licenses import TEMPLATES, TOKEN
+
 OP2 = r"""
 with sized as (
   select doc_id, source, n as size, 1.0::double / (1.0::double + sym::double / greatest(n, 1)::double) as weight
@@ -39,6 +41,29 @@ select doc_id, source, size, source_size, target,
 from o
 """
 
+_ROWS = ", ".join("({}, '{}', '{}')".format(i, a, t.replace("'", "''")) for i, (a, t) in enumerate(TEMPLATES))
+OP5 = f"""
+with t(template, license, text) as (values {_ROWS}),
+tw as (select template, license, regexp_extract_all(lower(text), '{TOKEN}') as w from t),
+tb as (select template, license, len(w) - 1 as t_size, w[i] || ' ' || w[i + 1] as g, count(*) as n from (select *, unnest(range(1, len(w))) as i from tw) group by all),
+parts as (
+  select doc_id, 'text' as kind, 0 as unit, coalesce(text, '') as part from documents
+  union all select doc_id, 'paragraph', generate_subscripts(p, 1), unnest(p) from (select doc_id, regexp_split_to_array(text, '\\n\\s*\\n') as p from documents) where len(p) > 1
+  union all select doc_id, 'line', generate_subscripts(p, 1), unnest(p) from (select doc_id, string_split(text, chr(10)) as p from documents) where len(p) > 1),
+uw as (select doc_id, kind, unit, regexp_extract_all(lower(part), '{TOKEN}') as w from parts),
+us as (select *, len(w) - 1 as size from uw where len(w) - 1 between 2 and 400),
+ub as (select doc_id, kind, unit, size, w[i] || ' ' || w[i + 1] as g, count(*) as n from (select *, unnest(range(1, len(w))) as i from us) group by all),
+m as (
+  select doc_id, kind, unit, template, license, sum(least(ub.n, tb.n)) * 2 / (size + t_size)::double as dice
+  from ub join tb using (g) group by doc_id, kind, unit, size, template, license, t_size),
+b as (
+  select doc_id, arg_max(license, (dice, -template, kind)) as license, round(max(dice), 6) as dice, arg_max(kind, (dice, -template, kind)) as kind,
+    count(distinct (kind, unit)) as n_units, array_to_string(list_sort(list(distinct license)), ',') as licenses
+  from m where dice >= 0.8 group by doc_id)
+select d.doc_id, license, coalesce(dice, 0.0) as dice, kind, coalesce(n_units, 0) as n_units, coalesce(licenses, '') as licenses
+from documents d left join b using (doc_id)
+"""
+
 OP10 = r"""
 with base as (
   select doc_id, lang, source, coalesce(text, '') as text from documents),
@@ -82,7 +107,7 @@ f as (
   select level, lang, source, max(total) as total,
     max(q3 + 3 * (q3 - q1) + 500) filter (metric = 'symbol_rate') as symbol_max,
     max(q3 + 3 * (q3 - q1) + 300) filter (metric = 'dup_rate') as dup_max,
-    max(q3 + 3 * (q3 - q1) + 3000) filter (metric = 'repeat_rate') as repeat_max,
+    max(q3 + 3 * (q3 - q1) + 4500) filter (metric = 'repeat_rate') as repeat_max,
     max(q3 + 3 * (q3 - q1) + 200) filter (metric = 'word_length') as length_max,
     max(q1 - 3 * (q3 - q1) - 200) filter (metric = 'word_length') as length_min from q2 group by all),
 own as (select distinct lang, source from f where level = 0),
@@ -100,4 +125,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from r left join lim on lim.lang is not distinct from r.lang and lim.source is not distinct from r.source
 """
 
-ORACLES = {"op2_mix_sources": OP2, "op10_adaptive_rules": OP10}
+ORACLES = {"op2_mix_sources": OP2, "op5_license_scan": OP5, "op10_adaptive_rules": OP10}
