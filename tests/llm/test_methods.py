@@ -267,6 +267,26 @@ def test_image_matches_equal_brute_force(spark, monkeypatch):
     assert all(c[2 * i] == 2 * i for i in range(24))
 
 
+def test_crowded_image_matches_equal_brute_force(spark):
+    """With the shipped settings, and keys that stand under far more than 16 descriptors."""
+    img = images.render(np.random.default_rng(6).normal(0, 0.15, 64))
+    rows = [(i, 64, 64, bytearray(images.edited(img, i).tobytes())) for i in range(60)]
+    d = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
+    desc = images.descriptors(d).localCheckpoint()
+    found = [(r.image_id_a, r.k_a, r.image_id_b, r.k_b) for r in images.matches(desc).collect()]
+    p = desc.toPandas()
+    bits = np.ascontiguousarray(p[["d0", "d1", "d2", "d3"]].to_numpy().astype(np.int64)).view(np.uint64)
+    parts = bits.view(np.uint32)
+    ids, ks = p.image_id.to_numpy(), p.k.to_numpy()
+    want = set()
+    for i in range(len(p)):
+        near = np.bitwise_count(bits[i] ^ bits).sum(axis=1) <= images.MAX_BITS
+        for j in np.flatnonzero(near & (parts[i] == parts).any(axis=1) & (ids > ids[i])):
+            want.add((ids[i], ks[i], ids[j], ks[j]))
+    assert max(np.unique(parts[:, k], return_counts=True)[1].max() for k in range(8)) > 16
+    assert set(found) == want and len(found) == len(want)
+
+
 def test_a_large_group_of_crops_is_one_component(spark):
     img = images.render(np.random.default_rng(5).normal(0, 0.15, 64))
     rows = [(i, 64, 64, bytearray(images.edited(img, i).tobytes())) for i in range(400)]
