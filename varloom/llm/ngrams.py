@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 
 BITS = 20
-#: Bytes of text that one vectorised step works on; a longer text takes several steps.
-STEP = 1 << 20
+#: Bytes of text that one vectorised step works on, few enough for a processor's cache; a longer text takes several steps.
+STEP = 1 << 17
+#: Texts whose features are marked in one table.
+MARKED = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POW = np.cumprod(np.full(256, 0x100000001B3, np.uint64), dtype=np.uint64)
 #: Lengths of runs of one word that are features of their own.
@@ -95,8 +97,20 @@ def indicators(
                 found.append(_kept(of[1:][two], _hash((code[:-1] * _MIX + code[1:])[two], 102), keep))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = np.unique(np.concatenate([(d.astype(np.int64) << BITS) | f for d, f in found]))
-    return key >> BITS, key & ((1 << BITS) - 1)
+    if keep is None:
+        key = np.unique(np.concatenate([(d.astype(np.int64) << BITS) | f for d, f in found]))
+        return key >> BITS, key & ((1 << BITS) - 1)
+    # with few features a table of marks is cheaper than sorting; texts come in order, so their pairs can be cut into runs
+    wide, docs, places = int(keep.max()) + 1, [], []
+    d, f = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+    for lo in range(0, len(texts), MARKED):
+        some = (d >= lo) & (d < lo + MARKED) if len(texts) > MARKED else slice(None)
+        marks = np.zeros(MARKED * wide, bool)
+        marks[(d[some] - lo) * wide + f[some]] = True
+        key = np.flatnonzero(marks)
+        docs.append(key // max(wide, 1) + lo)
+        places.append(key % max(wide, 1))
+    return np.concatenate(docs), np.concatenate(places)
 
 
 def _kept(doc: np.ndarray, feature: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:

@@ -98,7 +98,8 @@ def fit(rows: pd.DataFrame, c: float = C) -> dict:
     row = np.repeat(np.arange(len(y)), np.diff(offsets))
     floor = max(float(np.median(np.sqrt(np.bincount(row, r[places] ** 2, len(y))))), 1e-12)
     values, sign = _scaled(row, r[places], len(y), floor), np.where(y, 1.0, -1.0)
-    bound = np.where(y, c * len(y) / (2 * n1), c * len(y) / (2 * n0))
+    # every row counts alike: weighing classes would push the bias, and with it short texts, to the rarer class
+    bound = np.full(len(y), c)
     fold = np.arange(len(y)) % FOLDS
     margin = np.zeros(len(y))
     for k in range(FOLDS):
