@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="varloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -82,3 +84,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/varloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that may be broadcast; lines of a key and a few numbers, so below 100 MB.
+FEW = 1_000_000
+#: Parts into which each key's rows are dealt where the other side is too large to broadcast.
+SALTS = 16
+
+
+def with_line_of(rows: DataFrame, lines: DataFrame, keys: list[tuple[str, str]], few: int = FEW) -> DataFrame:
+    """``rows`` left-joined (null-safe) to ``lines``, which has one line a key; ``keys`` pairs a column of each.
+
+    ``lines`` must be cut or stored. They are counted, and broadcast while they are few, so
+    that whole texts stay where they are; beyond that both sides are shuffled with a salt
+    from the row's content, so that a key with a third of all rows is spread over tasks.
+    """
+    on = [F.col(a).eqNullSafe(F.col(b)) for a, b in keys]
+    if lines.count() <= few:
+        return rows.join(F.broadcast(lines), on, "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t]), F.lit(SALTS)))
+    copies = lines.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [*on, F.col("_salt") == F.col("_copy")], "left").drop("_salt", "_copy")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from varloom.llm.common import cut, word_count
+from varloom.llm.common import cut, with_line_of, word_count
 
 #: Weights that the sources take in turn, ordered by code point with null last.
 CYCLE = (5, 2, 1)
@@ -148,8 +148,7 @@ def with_copies(rows: DataFrame, plan: DataFrame, cells: int) -> DataFrame:
         .when((at == F.col("end_cell")) & (here <= F.col("end_key")), F.lit(1))
         .otherwise(F.lit(0))
     )
-    # the plan has a line for each source; the optimizer broadcasts it while it is small
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("t_source")))
+    joined = with_line_of(rows, plan, [("source", "t_source")])
     return joined.withColumn("copies", F.col("epochs") + F.coalesce(fraction, F.lit(0))).drop(
         "t_source", "epochs", "end_cell", "end_key"
     )

@@ -45,23 +45,32 @@ _ROWS = ", ".join("({}, '{}', '{}')".format(i, a, t.replace("'", "''")) for i, (
 OP5 = f"""
 with t(template, license, text) as (values {_ROWS}),
 tw as (select template, license, regexp_extract_all(lower(text), '{TOKEN}') as w from t),
-tb as (select template, license, len(w) - 1 as t_size, w[i] || ' ' || w[i + 1] as g, count(*) as n from (select *, unnest(range(1, len(w))) as i from tw) group by all),
-parts as (
-  select doc_id, 'text' as kind, 0 as unit, coalesce(text, '') as part from documents
-  union all select doc_id, 'paragraph', generate_subscripts(p, 1), unnest(p) from (select doc_id, regexp_split_to_array(text, '\\n\\s*\\n') as p from documents) where len(p) > 1
-  union all select doc_id, 'line', generate_subscripts(p, 1), unnest(p) from (select doc_id, string_split(text, chr(10)) as p from documents) where len(p) > 1),
-uw as (select doc_id, kind, unit, regexp_extract_all(lower(part), '{TOKEN}') as w from parts),
-us as (select *, len(w) - 1 as size from uw where len(w) - 1 between 2 and 400),
-ub as (select doc_id, kind, unit, size, w[i] || ' ' || w[i + 1] as g, count(*) as n from (select *, unnest(range(1, len(w))) as i from us) group by all),
+tb as (select template, license, len(w) - 1 as size, w[i] || ' ' || w[i + 1] as g, count(*) as times from (select *, unnest(range(1, len(w))) as i from tw) group by all),
+d as (select row_number() over () as rid, doc_id, text from documents),
+dw as (select rid, regexp_extract_all(lower(text), '{TOKEN}') as w from d where text is not null),
+db as (select rid, i - 1 as at_, w[i] || ' ' || w[i + 1] as g from (select *, unnest(range(1, len(w))) as i from dw)),
+hit as (select rid, template, license, size, g, times, at_, count(*) over (partition by rid, template) as hits from db join tb using (g)),
+h as (
+  select *, lead(at_, -times, -1) over (partition by rid, template, g order by at_) as back from hit where hits >= ceil(size * (0.8 / 1.2) - 1e-9)),
+p as (
+  select a.rid, a.template, a.license, a.size, a.at_ as first, b.at_ as last, (b.back < a.at_)::int as fresh
+  from h a join h b on a.rid = b.rid and a.template = b.template and b.at_ between a.at_ and a.at_ + floor(a.size * (1.2 / 0.8) + 1e-9)::bigint - 1),
+s as (
+  select *, sum(fresh) over (partition by rid, template, first order by last rows between unbounded preceding and current row) * 2
+    / (size + last - first + 1)::double as dice from p),
+f as (
+  select rid, template, license, size, arg_max({{'first': first, 'last': last, 'dice': dice}}, (dice, -first, -last)) as b
+  from s where dice >= 0.8 and last - first + 1 >= ceil(size * (0.8 / 1.2) - 1e-9) group by all),
+u as (select rid, template, license, size, b.first as first, b.last as last, b.dice as dice from f),
 m as (
-  select doc_id, kind, unit, template, license, sum(least(ub.n, tb.n)) * 2 / (size + t_size)::double as dice
-  from ub join tb using (g) group by doc_id, kind, unit, size, template, license, t_size),
-b as (
-  select doc_id, arg_max(license, (dice, -template, kind)) as license, round(max(dice), 6) as dice, arg_max(kind, (dice, -template, kind)) as kind,
-    count(distinct (kind, unit)) as n_units, array_to_string(list_sort(list(distinct license)), ',') as licenses
-  from m where dice >= 0.8 group by doc_id)
-select d.doc_id, license, coalesce(dice, 0.0) as dice, kind, coalesce(n_units, 0) as n_units, coalesce(licenses, '') as licenses
-from documents d left join b using (doc_id)
+  select * from u where not exists (select 1 from u v where v.rid = u.rid and v.first <= u.last and u.first <= v.last
+    and (v.dice, v.size, -v.template) > (u.dice, u.size, -u.template))),
+r as (
+  select rid, arg_max({{'l': license, 'a': first, 'z': last}}, (dice, size, -template)) as b, max(dice) as dice, count(*) as n_matches,
+    array_to_string(list_sort(list(distinct license)), ',') as licenses from m group by rid)
+select doc_id, r.b.l as license, round(coalesce(dice, 0.0), 6) as dice, r.b.a::bigint as first_word, (r.b.z - r.b.a + 2)::bigint as n_words,
+  coalesce(n_matches, 0) as n_matches, coalesce(licenses, '') as licenses
+from d left join r using (rid)
 """
 
 OP10 = r"""
@@ -93,35 +102,31 @@ x as (
   union all select lang, source, 'word_length', word_length from r where not base_failed),
 c as (
   select lang, source, metric, v - v % (1::bigint << greatest(length(bin(v)) - 7, 0)::bigint) as cell, count(*) as n from x group by all),
-lv as (
-  select 0 as level, * from c
-  union all select 1, lang, null, metric, cell, sum(n) from c group by all
-  union all select 2, null, null, metric, cell, sum(n) from c group by all),
-q as (
-  select *, sum(n) over (partition by level, lang, source, metric) as total,
-    sum(n) over (partition by level, lang, source, metric order by cell rows between unbounded preceding and current row) as upto from lv),
-q2 as (
-  select level, lang, source, metric, max(total) as total, min(cell) filter (upto * 4 >= total) as q1,
-    min(cell) filter (upto * 4 >= total * 3) as q3 from q group by all),
-f as (
-  select level, lang, source, max(total) as total,
-    max(q3 + 3 * (q3 - q1) + 500) filter (metric = 'symbol_rate') as symbol_max,
-    max(q3 + 3 * (q3 - q1) + 300) filter (metric = 'dup_rate') as dup_max,
-    max(q3 + 3 * (q3 - q1) + 4500) filter (metric = 'repeat_rate') as repeat_max,
-    max(q3 + 3 * (q3 - q1) + 200) filter (metric = 'word_length') as length_max,
-    max(q1 - 3 * (q3 - q1) - 200) filter (metric = 'word_length') as length_min from q2 group by all),
-own as (select distinct lang, source from f where level = 0),
+g as (select distinct lang, source, metric from c),
+lc as (select lang, metric, cell, sum(n) as n from c group by all),
+ac as (select metric, cell, sum(n) as n from c group by all),
 u as (
-  select o.lang, o.source, coalesce(g.level, l.level, 2) as level
-  from own o
-  left join f g on g.level = 0 and g.total >= 30 and g.lang is not distinct from o.lang and g.source is not distinct from o.source
-  left join f l on l.level = 1 and l.total >= 30 and l.lang is not distinct from o.lang),
+  select lang, source, metric, cell, n as o, 0 as l, 0 as a from c
+  union all select g.lang, g.source, g.metric, lc.cell, 0, lc.n, 0 from g join lc on g.lang is not distinct from lc.lang and g.metric = lc.metric
+  union all select g.lang, g.source, g.metric, ac.cell, 0, 0, ac.n from g join ac using (metric)),
+m1 as (select lang, source, metric, cell, sum(o)::bigint as o, sum(l)::bigint as l, sum(a)::bigint as a from u group by all),
+up as (
+  select lang, source, metric, cell, (sum(o) over p)::double as ou, (sum(l) over p)::double as lu, (sum(a) over p)::double as au,
+    (sum(o) over w)::double as ot, (sum(l) over w)::double as lt, (sum(a) over w)::double as at_
+  from m1 window w as (partition by lang, source, metric), p as (partition by lang, source, metric order by cell rows between unbounded preceding and current row)),
+bl as (select *, ou + lu / lt * 50.0::double + au / at_ * 10.0::double as below, ot + 60.0::double as total from up),
+q as (
+  select lang, source, metric, min(cell) filter (below * 100.0::double >= total * 25.0::double - 1e-6::double) as q1,
+    min(cell) filter (below * 100.0::double >= total * 75.0::double - 1e-6::double) as q3,
+    min(cell) filter (below * 100.0::double >= total * 95.0::double - 1e-6::double) as q95 from bl group by all),
 lim as (
-  select u.lang, u.source, f.* exclude (level, lang, source, total) from u join f on f.level = u.level
-    and (f.level = 2 or f.lang is not distinct from u.lang) and (f.level > 0 or f.source is not distinct from u.source))
+  select lang, source, max(q3 + 3 * (q3 - q1) + 200) filter (metric = 'symbol_rate') as symbol_max,
+    max(q95 * 3) filter (metric = 'dup_rate') as dup_max, max(q95 * 3) filter (metric = 'repeat_rate') as repeat_max,
+    max(q3 + 3 * (q3 - q1) + 100) filter (metric = 'word_length') as length_max,
+    max(q1 - 3 * (q3 - q1) - 100) filter (metric = 'word_length') as length_min from q group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and coalesce(symbol_rate <= symbol_max and dup_rate <= dup_max and repeat_rate <= repeat_max
-    and word_length <= length_max and word_length >= length_min, false) as kept
+  not base_failed and coalesce(symbol_rate <= symbol_max and (dup_rate <= dup_max or n_dup_lines <= 2)
+    and (repeat_rate <= repeat_max or n_repeat_words <= 24) and word_length <= length_max and word_length >= length_min, false) as kept
 from r left join lim on lim.lang is not distinct from r.lang and lim.source is not distinct from r.source
 """
 

@@ -14,17 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from varloom.llm.common import SPACE, stored, words
+from varloom.llm.common import SPACE, cut, stored, with_line_of, words
 
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
-#: Groups with fewer documents take the thresholds of their language, then of all.
-MIN_GROUP = 30
-#: Fence: quartile plus or minus this many interquartile ranges, and the metric's slack.
-FENCE = 3
-#: metric -> (slack above, slack below or None where only large values are bad)
-SLACKS = {"symbol_rate": (500, None), "dup_rate": (300, None), "repeat_rate": (4500, None), "word_length": (200, 200)}
+#: Documents of its language, and of the whole corpus, that count in a group's sketch beside its own.
+OF_LANGUAGE, OF_ALL = 50.0, 10.0
+#: Quantiles that fences are made of, in hundredths.
+QUANTILES = (25, 75, 95)
+#: Fences of metrics that spread around a middle: 3 interquartile ranges and a slack beyond the quartiles.
+MIDDLE, RANGES = {"symbol_rate": 200, "word_length": 100}, 3
+#: Fences of metrics that are zero in most documents: this many times the 95th percentile,
+#: and the count that a document may have whatever its length (one repeated opening, two lines).
+TAIL, TIMES = {"repeat_rate": ("n_repeat_words", 24), "dup_rate": ("n_dup_lines", 2)}, 3
+METRICS = (*MIDDLE, *TAIL)
 
 
 def _windows(w: Column) -> Column:
@@ -101,9 +105,7 @@ def sketch_cell(v: Column) -> Column:
 
 def sketches(d: DataFrame) -> DataFrame:
     """(lang, source, metric, cell, n) of the documents that pass the base rules."""
-    pairs = F.array(
-        *[F.struct(F.lit(m).alias("metric"), sketch_cell(F.col(m)).alias("cell")) for m in SLACKS]
-    )
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), sketch_cell(F.col(m)).alias("cell")) for m in METRICS])
     return (
         d.where(~F.col("base_failed"))
         .select("lang", "source", F.explode(pairs).alias("x"))
@@ -112,66 +114,64 @@ def sketches(d: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <metric>_max, word_length_min), from the narrowest sketch with enough documents."""
-    # levels: 0 group, 1 language, 2 all; a coarser sketch is the sum of finer ones
-    fine = sketch.groupBy("lang", "source", "metric", "cell").agg(F.sum("n").alias("n"))
-    by_lang = fine.groupBy("lang", "metric", "cell").agg(F.sum("n").alias("n"))
-    of_all = by_lang.groupBy("metric", "cell").agg(F.sum("n").alias("n"))
-    null = F.lit(None).cast("string")
-    levels = (
-        fine.select(F.lit(0).alias("level"), "lang", "source", "metric", "cell", "n")
-        .unionByName(by_lang.select(F.lit(1).alias("level"), "lang", null.alias("source"), "metric", "cell", "n"))
-        .unionByName(
-            of_all.select(F.lit(2).alias("level"), null.alias("lang"), null.alias("source"), "metric", "cell", "n")
-        )
-    )
-    group = ["level", "lang", "source", "metric"]
-    w = W.partitionBy(*group)
-    q = levels.withColumns(
-        {
-            "total": F.sum("n").over(w),
-            "upto": F.sum("n").over(w.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)),
-        }
+def quantiles(sketch: DataFrame) -> DataFrame:
+    """(lang, source, metric, q25, q75, q95) of each group's sketch, merged with those of its language and of all.
+
+    The language's documents count as OF_LANGUAGE documents and the corpus's as OF_ALL
+    beside the group's own, whatever their number: a large group's quantiles are its own,
+    a small one's come close to its language's, and no size is a switch.
+    """
+    own = sketch.groupBy("lang", "source", "metric", "cell").agg(F.sum("n").alias("n"))
+    own = cut(own)  # read three times below; cells by group, no rows
+    by_lang = own.groupBy("lang", "metric", "cell").agg(F.sum("n").alias("n"))
+    of_all = own.groupBy("metric", "cell").agg(F.sum("n").alias("n"))
+    groups = own.select("lang", "source", "metric").distinct()
+    none = F.lit(0).cast("long")
+    key = ["lang", "source", "metric"]
+    l = by_lang.select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), "cell", "n")
+    of_lang = groups.join(l, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
+    # at most 64 cells an octave for each metric, whatever the corpus
+    everywhere = groups.join(F.broadcast(of_all), "metric")
+    rows = (
+        own.select(*key, "cell", F.col("n").alias("own"), none.alias("lang_n"), none.alias("all_n"))
+        .unionByName(of_lang.select(*key, "cell", none.alias("own"), F.col("n").alias("lang_n"), none.alias("all_n")))
+        .unionByName(everywhere.select(*key, "cell", none.alias("own"), none.alias("lang_n"), F.col("n").alias("all_n")))
     )
-    at = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("cell")))
-    q = q.groupBy(*group).agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
-    above = F.coalesce(*[F.when(F.col("metric") == m, F.lit(a)) for m, (a, _) in SLACKS.items()])
-    below = F.coalesce(*[F.when(F.col("metric") == m, F.lit(b).cast("int")) for m, (_, b) in SLACKS.items()])
-    iqr = F.col("q3") - F.col("q1")
-    q = q.select(
-        *group, "total", (F.col("q3") + iqr * FENCE + above).alias("hi"), (F.col("q1") - iqr * FENCE - below).alias("lo")
+    levels = ("own", "lang_n", "all_n")
+    rows = rows.groupBy(*key, "cell").agg(*[F.sum(c).alias(c) for c in levels])
+    w = W.partitionBy(*key)
+    upto = w.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select(
+        *key, "cell", *[F.sum(c).over(upto).alias(f"{c}_upto") for c in levels], *[F.sum(c).over(w).alias(f"{c}_total") for c in levels]
     )
-    wide = q.groupBy("level", "lang", "source").agg(
-        F.max("total").alias("total"),
-        *[F.max(F.when(F.col("metric") == m, F.col("hi"))).alias(f"{m}_max") for m in SLACKS],
+    share = lambda c: F.col(f"{c}_upto").cast("double") / F.col(f"{c}_total").cast("double")
+    below = F.col("own_upto").cast("double") + share("lang_n") * OF_LANGUAGE + share("all_n") * OF_ALL
+    total = F.col("own_total").cast("double") + (OF_LANGUAGE + OF_ALL)
+    at = lambda q: F.min(F.when(below * 100.0 >= total * float(q) - 1e-6, F.col("cell"))).alias(f"q{q}")
+    return rows.groupBy(*key).agg(*[at(q) for q in QUANTILES])
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """(lang, source, <metric>_max, word_length_min) of each group."""
+    spread = F.col("q75") - F.col("q25")
+    slack = F.coalesce(*[F.when(F.col("metric") == m, F.lit(s)) for m, s in MIDDLE.items()])
+    upper = F.when(F.col("metric").isin(*TAIL), F.col("q95") * TIMES).otherwise(F.col("q75") + spread * RANGES + slack)
+    q = quantiles(sketch).select("lang", "source", "metric", upper.alias("hi"), (F.col("q25") - spread * RANGES - slack).alias("lo"))
+    return q.groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("hi"))).alias(f"{m}_max") for m in METRICS],
         F.max(F.when(F.col("metric") == "word_length", F.col("lo"))).alias("word_length_min"),
     )
-    limits = [f"{m}_max" for m in SLACKS] + ["word_length_min"]
-    lim = F.struct("total", *limits)
-    own = wide.where("level = 0").select("lang", "source", lim.alias("own"))
-    lang = wide.where("level = 1").select(F.col("lang").alias("l_lang"), lim.alias("of_lang"))
-    every = wide.where("level = 2").select(lim.alias("of_all"))
-    use = (
-        F.when(F.col("own.total") >= MIN_GROUP, F.col("own"))
-        .when(F.col("of_lang.total") >= MIN_GROUP, F.col("of_lang"))
-        .otherwise(F.col("of_all"))
-    )
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang"))).crossJoin(F.broadcast(every))  # one row
-    return joined.select("lang", "source", use.alias("u")).select("lang", "source", *[f"u.{c}" for c in limits])
 
 
 def verdicts(d: DataFrame) -> DataFrame:
-    """Joins thresholds to documents with metrics and adds kept."""
-    t = thresholds(sketches(d)).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
-    on = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
-    inside = F.lit(True)
-    for m, (_, below) in SLACKS.items():
-        inside = inside & (F.col(m) <= F.col(f"{m}_max"))
-        if below is not None:
-            inside = inside & (F.col(m) >= F.col(f"{m}_min"))
+    """Joins thresholds to documents with metrics and adds kept. One line a group is joined, see ``with_line_of``."""
+    t = cut(thresholds(sketches(d)).withColumnsRenamed({"lang": "t_lang", "source": "t_source"}))
+    inside = (F.col("symbol_rate") <= F.col("symbol_rate_max")) & F.col("word_length").between(F.col("word_length_min"), F.col("word_length_max"))
+    for m, (count, few) in TAIL.items():
+        inside = inside & ((F.col(count) <= few) | (F.col(m) <= F.col(f"{m}_max")))
     # groups all of whose documents fail the base rules have no thresholds and need none
-    return d.join(t, on, "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    joined = with_line_of(d, t, [("lang", "t_lang"), ("source", "t_source")])
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def judged(docs: DataFrame) -> DataFrame:
     empty table gives an empty result. Columns of ``docs`` named like a metric are
     replaced.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *SLACKS]
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *METRICS]
     rest = [c for c in docs.columns if c not in own]
     packed = docs.select(F.struct(*rest).alias("row"), "lang", "source", "text")
     d = metrics(packed).drop("text")
