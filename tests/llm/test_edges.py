@@ -37,7 +37,7 @@ OPS = {
     "pieces": lambda d, lab: pieces.digests(d),
     "simhash": lambda d, lab: simhash.near_duplicates(d),
     "dedup": lambda d, lab: simhash.deduplicated(d),
-    "shards": lambda d, lab: shards.shard(d, "doc_id", shards.record_size(F.col("text")), 5),
+    "shards": lambda d, lab: shards.shard(d, shards.record_size(F.col("text")), 5),
     "rules": lambda d, lab: rules.judged(d),
     "rule_ids": lambda d, lab: rules.judged_ids(d),
 }
@@ -76,7 +76,7 @@ def test_defined_values(docs, labels):
     j = {r.doc_id: r for r in rules.judged(docs).collect()}
     assert j[2].base_failed and not j[2].kept and j[1].n_words == 0 and j[1].row == "r"
     found = {r.doc_id: r for r in licenses.scan(docs).collect()}
-    assert found[9].license == "MIT" and found[9].kind == "line" and found[4].license is None and found[1].n_units == 0
+    assert found[9].license == "MIT" and found[9].first_word == 0 and found[9].n_words == 5 and found[4].license is None and found[1].n_matches == 0
     kept = simhash.deduplicated(docs).collect()
     ids = [r.doc_id for r in kept]
     assert ids.count(5) == 1 and 6 not in ids and 2 not in ids and ids.count(1) == 1 and ids.count(None) == 2

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.llm import golay, graph, images, licenses, mixing, ngrams, quality, shards, simhash, tokencount, toxicity
+from varloom.llm import golay, graph, images, licenses, mixing, ngrams, quality, rules, shards, simhash, tokencount, toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -123,6 +124,37 @@ def test_dual_coordinate_descent_meets_the_primal(spark):
     assert all(primal(w + rng.normal(size=5) * s, b + rng.normal() * s) >= best - 1e-3 for s in (0.01, 0.1, 1) for _ in range(200))
 
 
+def test_scores_equal_a_plain_nbsvm(texts):
+    """Ratios, scaled indicators, margins and the curve of each text, feature by feature."""
+    m = texts.merge(pd.read_parquet(f"{DATA}/labels.parquet"), on="doc_id").head(150)
+    model = quality.fit(m)
+    y = m.quality.to_numpy() > 0
+    sets = [set(ngrams.indicators([t], **quality.HOW)[1].tolist()) for t in m.text]
+    place = {int(f): k for k, f in enumerate(model["features"])}
+    for f in list(place)[::997]:
+        yes, no = (sum(f in s for s, up in zip(sets, y) if up == side) for side in (True, False))
+        assert math.isclose(model["r"][place[f]], math.log((yes + 1) / (y.sum() + 2)) - math.log((no + 1) / ((~y).sum() + 2)))
+    want = []
+    for s in sets[:60] + [set()]:
+        at = [place[f] for f in s if f in place]
+        length = max(math.sqrt(sum(model["r"][k] ** 2 for k in at)), model["floor"])
+        margin = sum(model["w"][k] * model["r"][k] / length for k in at) + model["bias"]
+        want.append(1 / (1 + math.exp(-(model["a"] * margin + model["b"]))))
+    got = quality.predict(model, [*m.text.tolist()[:60], None], ngrams.table(model["features"]))
+    assert np.allclose(got, want)
+
+
+def test_marked_features_equal_sorted_ones():
+    ts = ["ab cd ab", None, "xy " * 50, "ab"] * 40
+    d, f = ngrams.indicators(ts, (2, 3), True, False)
+    chosen = np.unique(f)[::2].astype(np.int32)
+    keep = ngrams.table(chosen)
+    got = ngrams.indicators(ts, (2, 3), True, False, keep)
+    ok = keep[f] >= 0
+    assert np.array_equal(got[0], d[ok]) and np.array_equal(got[1], keep[f][ok])
+    assert len(ngrams.indicators(ts, (2,), False, False, ngrams.table(np.zeros(0, np.int32)))[0]) == 0
+
+
 def test_indicators_equal_a_plain_count():
     ts = ["ab ab ab cd", "x x x x x y y y " + "z " * 30, "", None, "é ab", "x" * 50, "ab\tcd ab"]
     d, f = ngrams.indicators(ts, (2, 3), True, False)
@@ -208,38 +240,183 @@ def test_flat_files_without_an_index(spark, tmp_path):
         assert got == want
 
 
-def test_dice_equals_a_plain_computation(spark):
-    units = [t for _, t in licenses.TEMPLATES] + ["Released under the the MIT License", "Licensed under CC BY-NC", "permission to use"]
-    plain = lambda t: __import__("re").findall(licenses.TOKEN, t.lower())
-    bag = lambda t: Counter(zip(plain(t), plain(t)[1:]))
-    d = spark.createDataFrame(list(enumerate(units)), "row int, text string")
-    got = {(r.row, r.template): r.dice for r in licenses.matches(d).where("kind = 'text'").collect()}
-    want = {}
-    for i, u in enumerate(units):
-        for j, (_, t) in enumerate(licenses.TEMPLATES):
-            a, b = bag(u), bag(t)
-            dice = 2 * (a & b).total() / max(a.total() + b.total(), 1)
-            if dice >= licenses.THRESHOLD:
-                want[i, j] = dice
-    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
-
-
-def test_fisher_yates_and_shard_law(spark, docs):
-    p = spark.range(1, 60).select("id", shards.fisher_yates(F.col("id").cast("int"), F.col("id"), 7).alias("p")).collect()
-    assert all(sorted(r.p) == list(range(r.id)) for r in p) and sum(list(r.p) == list(range(r.id)) for r in p) < 5
-    many = spark.range(6000).select(shards.fisher_yates(F.lit(3), F.col("id"), 1).alias("p")).groupBy("p").count().collect()
+def plain_words(t):
+    return re.findall(licenses.TOKEN, t.lower())
+
+
+def plain_spans(text, t=licenses.THRESHOLD):
+    """The best coefficient over all spans of a text, by template, counting bags of bigrams anew for each span."""
+    w = plain_words(text)
+    g = list(zip(w, w[1:]))
+    out = {}
+    for j, (_, template) in enumerate(licenses.TEMPLATES):
+        tw = plain_words(template)
+        bag = Counter(zip(tw, tw[1:]))
+        a, best = bag.total(), None
+        for i in range(len(g)):
+            if g[i] not in bag:
+                continue
+            here, shared = Counter(), 0
+            for k in range(i, min(len(g), i + int(a * (2 - t) / t + 1e-9))):
+                here[g[k]] += 1
+                shared += here[g[k]] <= bag[g[k]]
+                b = k - i + 1
+                if b >= a * t / (2 - t) - 1e-9 and (best is None or (2 * shared / (a + b), -i, -k) > best):
+                    best = 2 * shared / (a + b), -i, -k
+        if best and best[0] >= t:
+            out[j] = best[0], -best[1], -best[2]
+    return out
+
+
+@pytest.fixture(scope="module")
+def licensed():
+    by = {}
+    for name, t in licenses.TEMPLATES:
+        by.setdefault(name, []).append(t)
+    mit, nc = by["MIT"][2], by["CC-BY-NC-4.0"][1].split()
+    code = "def f(x):\n    return x + 1\n" * 40
+    header = "/*\n * " + "\n * ".join(by["Apache-2.0"][1][i : i + 60] for i in range(0, len(by["Apache-2.0"][1]), 60)) + "\n */\n"
+    dropped = " ".join(w for i, w in enumerate(mit.split()) if i % 25)
+    return {
+        1: " ".join(nc[: len(nc) // 2]), 2: " ".join(nc[len(nc) // 2 :]), 3: mit + "\n\n" + code, 4: header + code, 5: code,
+        6: "word " * 30 + by["BSD-2-Clause"][0] + " more", 7: by["BSD-3-Clause"][0], 8: "A note. " + dropped + code,
+        9: "Sources: Released under the the MIT License. See LICENSE. " + by["ISC"][0], 10: "of the software and the software or the use " * 60,
+        11: "Licensed under CC BY-NC", 12: by["GPL-3.0"][1] + " " + by["LGPL-2.1"][0],
+    }
+
+
+def test_spans_equal_a_plain_search(spark, licensed):
+    d = spark.createDataFrame(list(licensed.items()), "doc_id int, text string")
+    marks = {r.m: r.doc_id for r in d.select("doc_id", F.md5("text").alias("m")).collect()}
+    got = {(marks[r.mark], r.template): (r.dice, r.first, r.last) for r in licenses.spans(d).collect()}
+    want = {(i, j): v for i, t in licensed.items() for j, v in plain_spans(t).items()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k][0], want[k][0]) and got[k][1:] == want[k][1:] for k in want)
+
+
+def test_licences_inside_longer_texts(spark, licensed):
+    d = spark.createDataFrame(list(licensed.items()), "doc_id int, text string")
+    r = {x.doc_id: x for x in licenses.scan(d).collect()}
+    assert [r[i].license for i in (3, 4, 6, 7, 8)] == ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT"]
+    assert all(r[i].license is None for i in (1, 2, 5, 10)) and r[7].licenses == "BSD-3-Clause"
+    assert r[9].licenses == "ISC,MIT" and r[12].licenses == "GPL-3.0,LGPL-2.1" and r[6].first_word == 30
+    # rows that share an id, or have none, are judged each for itself
+    halves = [(i, licensed[k]) for i in (5, None) for k in (1, 2)]
+    assert all(x.license is None for x in licenses.scan(spark.createDataFrame(halves, "doc_id int, text string")).collect())
+
+
+def swapped(n, draws):
+    p = list(range(n))
+    for i in range(n - 1, 0, -1):
+        r = draws[i] % (i + 1)
+        p[i], p[r] = p[r], p[i]
+    return p
+
+
+def test_fisher_yates_equals_swapping(spark):
+    d = spark.range(70).select(F.col("id").cast("int").alias("n"), "id")
+    draws = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).select("id", "i", F.xxhash64(F.lit(7), "id", "i").alias("h")).collect()
+    h = {(r.id, r.i): r.h for r in draws}
+    for r in shards.fisher_yates(d, "n", "id", 7).collect():
+        assert list(r.perm) == swapped(r.n, {i: h[r.id, i] for i in range(r.n + 1)})
+    many = shards.fisher_yates(spark.range(6000).withColumn("n", F.lit(3)), "n", "id", 1).groupBy("perm").count().collect()
     assert len(many) == 6 and all(850 < r["count"] < 1150 for r in many)
-    text = F.col("row.text")
-    s = shards.shard(docs, "doc_id", shards.record_size(F.col("text"))).select("row.doc_id", "shard", "slot", text.alias("text")).toPandas()
+
+
+def test_shards_equal_a_replay(spark, monkeypatch):
+    """The whole external shuffle again in plain Python, from Spark's hashes of records and steps alone."""
+    monkeypatch.setattr(shards, "BUCKET_BYTES", 20_000)
+    rows = [(i, None if i % 50 == 0 else f"text {i % 40} " * (i % 7)) for i in range(800)] + [(None, None)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = d.select("doc_id", "text", shards.content_key(d, shards.SEED).alias("key"))
+    size = sum(len((t or "").encode()) + 16 + shards.RECORD_BYTES for _, t in rows)
+    buckets = -(-size // 20_000)
+    at = F.pmod(F.xxhash64(F.lit(shards.SEED + 1), F.col("key"), F.lit(0).cast("long")), F.lit(buckets).cast("long"))
+    held = {}
+    for r in keyed.withColumn("bucket", at).collect():
+        held.setdefault(r.bucket, []).append((r.key, (r.doc_id is not None, r.doc_id or 0), (r.text is not None, r.text or "")))
+    steps = spark.createDataFrame([(b, i) for b, rs in held.items() for i in range(len(rs))], "bucket long, i int")
+    h = {(r.bucket, r.i): r.h for r in steps.select("*", F.xxhash64(F.lit(shards.SEED + 2), "bucket", "i").alias("h")).collect()}
+    order = []
+    for b in sorted(held):
+        rs = sorted(held[b])
+        order += [rs[i] for i in swapped(len(rs), {i: h[b, i] for i in range(len(rs))})]
+    each, extra = divmod(len(rows), 7)
+    ends = np.cumsum([0] + [each + (k < extra) for k in range(7)])
+    want = Counter((k, o - ends[k], r[1][1] if r[1][0] else None) for k in range(7) for o in range(ends[k], ends[k + 1]) for r in [order[o]])
+    got = shards.shard(d.repartition(5), shards.record_size(F.col("text")), 7).select("shard", "slot", "row.doc_id").collect()
+    assert len(held) > 5 and Counter(map(tuple, got)) == want
+
+
+def test_many_equal_records_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(shards, "BUCKET_BYTES", 50_000)
+    monkeypatch.setattr(shards, "REPEATS", 10)
+    d = spark.range(600).select(F.when(F.col("id") < 300, F.lit(0)).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    placed, n = shards.external_shuffle(d, shards.record_size(F.col("text")))
+    load = placed.groupBy("bucket").count().toPandas()
+    assert n == 600 and load["count"].sum() == 600 and load["count"].max() < 200
+
+
+def test_shard_law_on_documents(spark, docs):
+    s = shards.shard(docs, shards.record_size(F.col("text"))).select("row.doc_id", "shard", "slot").toPandas()
     assert sorted(s.doc_id) == list(range(1000)) and s.groupby("shard").size().max() - s.groupby("shard").size().min() <= 1
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in s.groupby("shard"))
-    again = shards.shard(docs, "doc_id", shards.record_size(F.col("text"))).select("row.doc_id", "shard", "slot").toPandas()
-    assert s[["doc_id", "shard", "slot"]].sort_values("doc_id").equals(again.sort_values("doc_id")) or set(
-        map(tuple, s[["doc_id", "shard", "slot"]].to_numpy())
-    ) == set(map(tuple, again.to_numpy()))
+    again = shards.shard(docs.repartition(7), shards.record_size(F.col("text"))).select("row.doc_id", "shard", "slot").toPandas()
+    assert set(map(tuple, s.to_numpy())) == set(map(tuple, again.to_numpy()))
     assert s.sort_values(["shard", "slot"]).doc_id.is_monotonic_increasing is False
 
 
+def rule_row(i, lang, source, repeat, symbols, dup, n=200, width=5):
+    """A text with a given number of repeated windows, symbol words and repeated lines."""
+    word = lambda k: f"{lang}{source}{i}x{k}".ljust(width, "q")[-width:] + str(k)
+    w = [word(k) for k in range(n)]
+    for k in range(repeat):
+        w[n // 2 + k] = w[k]
+    w += ["$#%"] * 1 if symbols else []
+    text = " ".join(w[: n // 2]) + "\n" + " ".join(w[n // 2 :]) + " &" * symbols
+    return i, text + "\nagain" * dup, lang, source
+
+
+def test_fences_follow_the_group_and_fire(spark):
+    """Each metric's fence differs between groups, lets what is usual there pass, and catches planted outliers."""
+    rows, i = [], 0
+    usual = {"plain": (0, 0, 0, 5), "loose": (8, 12, 4, 9)}
+    for source, (rep, sym, dup, width) in usual.items():
+        for k in range(300):
+            rows.append(rule_row(i, "en", source, rep * (k % 3) // 2, sym * (k % 2), dup * (k % 2), width=width))
+            i += 1
+    first = i
+    for source in usual:
+        for rep, sym, dup, width in ((45, 0, 0, 0), (0, 90, 0, 0), (0, 0, 40, 0), (0, 0, 0, 40)):
+            rows.append(rule_row(i, "en", source, rep, sym, dup, width=width or usual[source][3]))
+            i += 1
+    d = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    j = rules.judged(d).select("doc_id", "source", "base_failed", "kept", *rules.METRICS).toPandas()
+    assert not j.base_failed.any() and j[j.doc_id < first].kept.mean() > 0.99
+    assert not j[j.doc_id >= first].kept.any()
+    limits = {r.source: r for r in rules.thresholds(rules.sketches(rules._rates(rules.metrics(d).withColumn("base_failed", F.lit(False))))).collect()}
+    for name in (*[f"{m}_max" for m in rules.METRICS], "word_length_min"):
+        assert limits["plain"][name] != limits["loose"][name], name
+    assert limits["plain"].symbol_rate_max < limits["loose"].symbol_rate_max and limits["plain"].repeat_rate_max < limits["loose"].repeat_rate_max
+
+
+def test_merged_quantiles_equal_a_plain_merge(spark):
+    """Weighted quantiles of own, language's and corpus's values, on both sides of any group size."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for lang, source, n, scale in (("a", "x", 1, 5), ("a", "y", 40, 20), ("a", None, 700, 9), (None, "x", 3, 30), ("b", "z", 200, 2)):
+        rows += [(lang, source, "word_length", int(v), 1) for v in rng.exponential(scale, n)]
+    s = spark.createDataFrame(rows, "lang string, source string, metric string, cell long, n long")
+    found = {(r.lang, r.source): r for r in rules.quantiles(s).collect()}
+    every = np.array([r[3] for r in rows])
+    for lang, source in {r[:2] for r in rows}:
+        own = np.array([r[3] for r in rows if r[:2] == (lang, source)])
+        near = np.array([r[3] for r in rows if r[0] == lang])
+        below = lambda c: (own <= c).sum() + (near <= c).mean() * rules.OF_LANGUAGE + (every <= c).mean() * rules.OF_ALL
+        total = len(own) + rules.OF_LANGUAGE + rules.OF_ALL
+        for q in rules.QUANTILES:
+            assert found[lang, source][f"q{q}"] == min(c for c in every if below(c) * 100 >= total * q - 1e-6)
+
+
 def test_image_matches_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(images, "FULL", 10**9)  # no key goes through pivots
     rng = np.random.default_rng(8)

@@ -45,7 +45,7 @@ def op8_simhash_golay(spark, sf_dir):
 
 def op9_external_shuffle(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    placed = shards.shard(docs, "doc_id", shards.record_size(F.col("text")))
+    placed = shards.shard(docs, shards.record_size(F.col("text")))
     text = F.col("row.text")
     return placed.select(
         F.col("row.doc_id").alias("doc_id"),
