@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from varloom.llm import images, licenses, mixing, pieces, quality, rules, shards, simhash, tokencount, toxicity
+from varloom.llm import images, licenses, mixing, nearcopies, pieces, quality, rules, shards, simhash, tokencount, toxicity
 
 PROSE = "the quick brown fox jumps over a lazy dog while many other animals look on from the quiet hill "
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row string, key double, kept string, fp string, bucket int, n long"
@@ -36,7 +36,7 @@ OPS = {
     "licenses": lambda d, lab: licenses.scan(d),
     "pieces": lambda d, lab: pieces.digests(d),
     "simhash": lambda d, lab: simhash.near_duplicates(d),
-    "dedup": lambda d, lab: simhash.deduplicated(d),
+    "dedup": lambda d, lab: nearcopies.deduplicated(d),
     "shards": lambda d, lab: shards.shard(d, shards.record_size(F.col("text")), 5),
     "rules": lambda d, lab: rules.judged(d),
     "rule_ids": lambda d, lab: rules.judged_ids(d),
@@ -77,9 +77,9 @@ def test_defined_values(docs, labels):
     assert j[2].base_failed and not j[2].kept and j[1].n_words == 0 and j[1].row == "r"
     found = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert found[9].license == "MIT" and found[9].first_word == 0 and found[9].n_words == 5 and found[4].license is None and found[1].n_matches == 0
-    kept = simhash.deduplicated(docs).collect()
+    kept = nearcopies.deduplicated(docs).collect()
     ids = [r.doc_id for r in kept]
-    assert ids.count(5) == 1 and 6 not in ids and 2 not in ids and ids.count(1) == 1 and ids.count(None) == 2
+    assert ids.count(5) == 1 and 6 not in ids and 2 not in ids and ids.count(1) == 1 and ids.count(None) == 1
 
 
 def test_stages_keep_the_columns(spark, tmp_path, docs, labels):
@@ -95,8 +95,8 @@ def test_stages_keep_the_columns(spark, tmp_path, docs, labels):
 
 
 def test_image_edges(spark):
-    img = images.render([0.1 * ((i * 7) % 11 - 5) for i in range(64)])
-    part = images.edited(img, 5)
+    img = images.render([[0.1 * ((i * 7) % 11 - 5) for i in range(64)]])[0]
+    part = images.edited(img, 0)
     px = lambda a: bytearray(a.tobytes())
     rows = [
         (1, 80, 80, px(img), "x"), (2, 80, 80, px(img), "x"), (3, 64, 64, px(part), "x"), (4, 80, 80, None, "x"), (5, 10, 10, bytearray(100), "x"),
@@ -106,5 +106,5 @@ def test_image_edges(spark):
     found = images.copies(d).collect()
     by = {r.image_id: r for r in found}
     assert len(found) == len(rows)
-    assert by[2].class_id == 1 and by[3].component_id == 1 and by[4].component_id == 4 and by[5].n_links == 0
+    assert by[2].class_id == 1 and by[3].component_id == 1 and by[4].component_id == 4 and by[5].component_id == 5
     assert images.copies(d.limit(0)).count() == 0

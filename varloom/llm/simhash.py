@@ -45,7 +45,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if not w:
         return 0
     parts = map(b" ".join, zip(*[w[i:] for i in range(shingle)], strict=False)) if len(w) >= shingle else [b" ".join(w)]
-    h = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some digests."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         some = h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -63,23 +67,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_columns(rows, "text", ["doc_id"], [("fp", T.LongType())], make)
 
 
+def keys_of(fp: np.ndarray, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of fingerprints: near indices of the first segment of each pair on side "q", of the second on side "i"."""
+    segs = [((fp >> np.uint64(lo)) & np.uint64((1 << n) - 1)).astype(np.int32) for lo, n in SEGMENTS]
+    rows, keys = [], []
+    for p, (a, c) in enumerate(combinations(range(3), 2)):
+        wide, one = (a, c) if side == "q" else (c, a)
+        near, single = golay.near_indices(segs[wide]), golay.index(segs[one])
+        row, col = np.nonzero(near >= 0)
+        first, second = near[row, col].astype(np.int64), single[row].astype(np.int64)
+        if side == "i":
+            first, second = second, first
+        rows.append(row)
+        keys.append((p << 24) | (first << 12) | second)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def _keys(fps: DataFrame, side: str) -> DataFrame:
-    """(key, fp): near indices of the first segment of each pair on side "q", of the second on side "i"."""
+    """(key, fp) of one side."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 50_000):
                 fp = b["fp"].to_numpy()[at : at + 50_000]
-                u = fp.astype(np.uint64)
-                segs = [((u >> np.uint64(lo)) & np.uint64((1 << n) - 1)).astype(np.int32) for lo, n in SEGMENTS]
-                for p, (a, c) in enumerate(combinations(range(3), 2)):
-                    wide, one = (a, c) if side == "q" else (c, a)
-                    near, single = golay.near_indices(segs[wide]), golay.index(segs[one])
-                    row, col = np.nonzero(near >= 0)
-                    first, second = near[row, col].astype(np.int64), single[row].astype(np.int64)
-                    if side == "i":
-                        first, second = second, first
-                    yield pd.DataFrame({"key": (p << 24) | (first << 12) | second, "fp": fp[row]})
+                row, key = keys_of(fp.astype(np.uint64), side)
+                yield pd.DataFrame({"key": key, "fp": fp[row]})
 
     return fps.select("fp").mapInPandas(run, "key long, fp long")
 
@@ -150,19 +162,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "root").select(F.col("fp").alias("fp2"), "component_id")
     return rows.join(by_fp, F.col("fp") == F.col("fp2"), "left").select("doc_id", "fp", "component_id")
-
-
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: the one that names it, once.
-
-    Rows with a null doc_id stay, as nothing can name them; rows that repeat a doc_id are
-    one document, of which the smallest row stays.
-    """
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is not null and n > 1"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r"))
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("r.*"))
