@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from varloom.operators.shared import settled
+
 ALPHABET = "AAAAAAACCCGGGTTT"
 
 GENOME_SPARK = f"""
@@ -59,7 +61,14 @@ def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """l_orderkey, l_linenumber, chrom, pos, ref, svtype, end_pos, alt."""
     views(spark, sf_dir, "lineitem", "nation")
-    return spark.sql(f"with r as ({GENOME_SPARK}) {variants_sql('string')}")
+    v = spark.sql(f"with r as ({GENOME_SPARK}) {variants_sql('string')}")
+    # made once, whatever reads them, as rows of a file would be
+    return settled(v, "chrom", "pos", "ref", "svtype", "end_pos", "alt")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, l_linenumber, value."""
+    return settled(table_sql(spark, sf_dir, lines_sql("string"), "lineitem"), "value")
 
 
 def lines_sql(string: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varloom import bridge
@@ -60,7 +61,7 @@ def band_locus(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    return bridge.table_sql(spark, sf_dir, bridge.lines_sql("string"), "lineitem")
+    return bridge.lines(spark, sf_dir)
 
 
 def vcf_records(spark, sf_dir):
@@ -101,10 +102,14 @@ def scattered(spark, sf_dir):
 
 
 def position_json(spark, sf_dir):
-    lines = _lines(spark, sf_dir).withColumn("order", F.xxhash64("value", "l_orderkey", "l_linenumber")).dropDuplicates(["order"]).select("order", "value")
+    # line items may repeat, so lines are numbered among equals before their order is made of all three
+    lines = _lines(spark, sf_dir)
+    among = W.partitionBy("l_orderkey", "l_linenumber").orderBy("value")
+    lines = lines.select(F.struct("l_orderkey", "l_linenumber", F.row_number().over(among).alias("k")).alias("order"), "value")
     aliases = spark.range(25).select(F.concat(F.lit("chr"), "id").alias("name"), F.col("id").cast("int").alias("ref_index"))
     bands = bridge.table_sql(spark, sf_dir, bridge.BANDS_SPARK, "nation")
-    return json_lines(annotate_positions(lines, _chunks(spark, sf_dir), bands, aliases, 2, SIZE))
+    j = json_lines(annotate_positions(lines, _chunks(spark, sf_dir), bands, aliases, 2, SIZE))
+    return j.select(F.col("order.l_orderkey").alias("l_orderkey"), F.col("order.l_linenumber").alias("l_linenumber"), "value")
 
 
 def _exons(spark, sf_dir):

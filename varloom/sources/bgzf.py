@@ -6,7 +6,8 @@
 
 A file is a chain of small gzip members that state their own length, so a reader can begin
 at any block. Each split inflates the blocks that start in its byte range; a line belongs
-to the split in whose blocks it begins. Plain gzip and uncompressed files are one split.
+to the split in whose blocks it begins. Plain gzip is one split; uncompressed files are
+split by bytes, a line belonging to the split in which it begins.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -24,6 +26,10 @@ END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 SPLIT = 32 << 20
 #: Bytes of text in a block that is written.
 BLOCK = 0xFF00
+#: Bytes fetched at once, and the greatest size of a block.
+READ, LARGEST = 4 << 20, 1 << 16
+#: Lines in a batch.
+ROWS = 4096
 #: A line's order is its split's number times this, plus its number in the split.
 LINES = 1 << 40
 
@@ -59,37 +65,65 @@ def block_at(f, size: int, lo: int) -> int:
     return size
 
 
-def blocks(f, size: int, lo: int) -> Iterator[tuple[int, bytes]]:
-    """(start, text) of the blocks from ``lo`` on; a broken chain is an error."""
-    at = lo
+def blocks(f, size: int, lo: int, upto: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(start, text) of the blocks from ``lo`` on; a broken chain is an error.
+
+    Bytes are fetched READ at a time up to ``upto``, and by a block's greatest size beyond,
+    where little more than one line's rest is wanted.
+    """
+    held, begin, at = b"", lo, lo
     while at < size:
-        n = block_size(f.read_at(min(1024, size - at), at))
+        left = held[at - begin :]
+        if len(left) < min(LARGEST, size - at):
+            want = READ if upto is None or at < upto else LARGEST
+            held = left + f.read_at(min(want, size - at - len(left)), at + len(left))
+            begin, left = at, held
+        n = block_size(left[:1024])
         if n is None or at + n > size:
             raise ValueError(f"no block at byte {at}")
         d = zlib.decompressobj(31)
-        yield at, d.decompress(f.read_at(n, at)) + d.flush()
+        yield at, d.decompress(left[:n]) + d.flush()
         at += n
 
 
 def lines(f, size: int, lo: int, hi: int) -> Iterator[bytes]:
-    """Lines that begin in the blocks that start in [lo, hi): those after the first line end, on to the line open at hi."""
+    """Lines that begin in the blocks that start in [lo, hi): those after the first line end, on to the line open at hi.
+
+    A split in which no line ends has none of its own: the line that runs through it began before.
+    """
     rest, skip = b"", lo > 0
-    for at, text in blocks(f, size, block_at(f, size, lo) if lo else 0):
+    for at, text in blocks(f, size, block_at(f, size, lo) if lo else 0, hi):
+        if at >= hi and skip:
+            return
         parts = (rest + text).split(b"\n")
         rest = parts.pop()
-        if parts and skip:
-            parts, skip = parts[1:], False
         # past the end only the line that is open counts
         if at >= hi:
             if parts:
                 yield parts[0]
                 return
             continue
+        if parts and skip:
+            parts, skip = parts[1:], False
         yield from parts
+        if skip:
+            rest = b""  # still inside a line that began before
     if rest and not skip:
         yield rest
 
 
+def batches(rows: Iterator[bytes], number: int) -> Iterator:
+    """Arrow batches (value, order) of some ROWS lines each."""
+    import pyarrow as pa
+
+    first = number * LINES
+    while held := list(islice(rows, ROWS)):
+        text = [r.rstrip(b"\r").decode("utf-8", "replace") for r in held]
+        order = pa.array(range(first, first + len(held)), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), order], names=["value", "order"])
+        first += len(held)
+
+
 @dataclass
 class Split(InputPartition):
     path: str
@@ -135,7 +169,7 @@ class _Reader(DataSourceReader):
             with system.open_input_file(i.path) as f:
                 head = f.read_at(min(1024, i.size), 0)
             kind = "bgzf" if block_size(head) else "gzip" if head[:2] == b"\x1f\x8b" else "text"
-            step = self.step if kind == "bgzf" else i.size
+            step = i.size if kind == "gzip" else self.step
             for lo in range(0, i.size, step):
                 found.append(Split(i.path, kind, i.size, lo, min(lo + step, i.size), len(found)))
         return found
@@ -146,30 +180,50 @@ class _Reader(DataSourceReader):
             if split.kind == "bgzf":
                 rows = lines(f, split.size, split.lo, split.hi)
             else:
-                rows = _plain(f, split.kind == "gzip")
-            for k, line in enumerate(rows):
-                yield line.rstrip(b"\r").decode("utf-8", "replace"), split.number * LINES + k
+                rows = _members(f) if split.kind == "gzip" else _plain(f, split.size, split.lo, split.hi)
+            yield from batches(iter(rows), split.number)
 
 
-def _plain(f, packed: bool) -> Iterator[bytes]:
+def _members(f) -> Iterator[bytes]:
+    """Lines of a gzip file of any number of members."""
     rest, d = b"", zlib.decompressobj(31)
     while chunk := f.read(1 << 20):
         while chunk:
-            text = chunk
-            if packed:
-                text, chunk = d.decompress(chunk), d.unused_data
-                if d.eof:  # the next member follows
-                    d = zlib.decompressobj(31)
-            else:
-                chunk = b""
+            text, chunk = d.decompress(chunk), d.unused_data
+            if d.eof:  # the next member follows
+                d = zlib.decompressobj(31)
             *parts, rest = (rest + text).split(b"\n")
             yield from parts
-            if packed and not chunk:
-                break
     if rest:
         yield rest
 
 
+def _plain(f, size: int, lo: int, hi: int) -> Iterator[bytes]:
+    """Lines of an uncompressed file that begin in [lo, hi)."""
+    at = lo
+    if lo:  # a line that begins at lo follows a line end
+        at = lo - 1
+        while at < size:
+            chunk = f.read_at(min(1 << 16, size - at), at)
+            end = chunk.find(b"\n")
+            at += end + 1 if end >= 0 else len(chunk)
+            if end >= 0:
+                break
+    rest = b""
+    begin = at
+    while begin < hi and at < size:
+        chunk = f.read_at(min(1 << 20, size - at), at)
+        at += len(chunk)
+        *parts, rest = (rest + chunk).split(b"\n")
+        for line in parts:
+            if begin >= hi:
+                return
+            yield line
+            begin += len(line) + 1
+    if rest and begin < hi:
+        yield rest
+
+
 def packed(text: bytes) -> bytes:
     """One block of at most BLOCK bytes of text."""
     c = zlib.compressobj(1, zlib.DEFLATED, -15)

@@ -104,13 +104,17 @@ def double_list(x: Column) -> Column:
     return all_or_null(F.transform(F.split(x, ",", -1), lambda v: strict_double(v)))
 
 
-def info(tokens: Column) -> Column:
-    """struct of the INFO values that annotation uses, from the array of its parts.
+def info_texts(tokens: Column) -> Column:
+    """struct of the last text of each INFO key that annotation uses, and the flag, from the array of parts."""
+    return F.struct(*[_info(tokens, k).alias(k) for k in INFO_KEYS], F.array_contains(tokens, "IMPRECISE").alias("IMPRECISE"))
 
-    A key's last value counts, numbers that don't parse are null. ``tokens`` should be a
-    column of its own, as each value looks through it.
+
+def info(raw: Column) -> Column:
+    """struct of the INFO values; numbers that don't parse are null.
+
+    ``raw`` (see ``info_texts``) should be a column of its own, made once, as values look at their texts several times.
     """
-    get = lambda k: _info(tokens, k)
+    get = lambda k: raw[k]
     return F.struct(
         strict_int(get("END"), "long").alias("end"),
         get("SVTYPE").alias("svtype"),
@@ -126,7 +130,7 @@ def info(tokens: Column) -> Column:
         strict_double(get("INFO")).alias("info"),
         get("RU").alias("ru"),
         strict_int(get("REF")).alias("ref_count"),
-        F.array_contains(tokens, "IMPRECISE").alias("imprecise"),
+        get("IMPRECISE").alias("imprecise"),
     )
 
 
@@ -145,15 +149,14 @@ SAMPLE_KEYS = ("GT", "DP", "AD", "GQ", "VF", "CN", "MCN", "REPCN", "FT", "SR", "
 
 
 def samples(values: Column, at: Column, n_alts: Column) -> Column:
-    """array of structs of sample columns, from arrays of their values and the keys' places (struct, 0 if absent).
+    """array of structs of sample columns, from arrays of their values (null for dots and nothing) and the keys' places (struct, 0 if absent).
 
     Three steps, each made once: texts by key, parsed values, and what follows from those.
     A sample of one dot or nothing at all is empty.
     """
 
     def texts(v: Column) -> Column:
-        present = lambda x: F.when((x != ".") & (x != ""), x)
-        return F.struct(*[present(F.get(v, (at[k] - 1).cast("int"))).alias(k) for k in SAMPLE_KEYS])
+        return F.struct(*[F.get(v, (at[k] - 1).cast("int")).alias(k) for k in SAMPLE_KEYS])
 
     def parsed(t: Column) -> Column:
         return F.struct(
@@ -205,11 +208,13 @@ def parse_lines(lines: DataFrame, n_samples: int = 0, strict: bool = True) -> Da
         # a filter, as a column nobody reads would not be computed
         d = d.where(F.coalesce(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")), F.lit(True)))
     d = d.withColumns({"_tokens": F.split(F.coalesce(col(7), F.lit("")), ";", -1), "pos": pos, "ref": col(3)})
-    d = d.withColumn("_info", info(F.col("_tokens")))
+    d = settled(d.withColumn("_raw", info_texts(F.col("_tokens"))).drop("_tokens"), "_raw")
+    d = d.withColumn("_info", info(F.col("_raw")))
     texts = F.slice(F.col("_c"), F.lit(10), F.when(F.col("_ref"), F.lit(0)).otherwise(count))
     keys = F.split(F.coalesce(col(8), F.lit("")), ":", -1)
     n_alts = F.size("_alts")
-    d = d.withColumns({"_keys": keys, "_values": F.transform(texts, lambda t: F.split(t, ":", -1))})
+    present = lambda t: F.transform(F.split(t, ":", -1), lambda x: F.when(~x.isin(".", ""), x))
+    d = d.withColumns({"_keys": keys, "_values": F.transform(texts, present)})
     d = d.withColumn("_at", F.struct(*[F.array_position("_keys", k).alias(k) for k in SAMPLE_KEYS]))
     out = {
         "chrom": col(0),
@@ -222,7 +227,7 @@ def parse_lines(lines: DataFrame, n_samples: int = 0, strict: bool = True) -> Da
         "end_pos": F.coalesce(F.col("_info.end"), F.col("pos") + F.length("ref") - 1),
         "samples": samples(F.col("_values"), F.col("_at"), n_alts),
     }
-    return d.withColumns(out).drop("_c", "_alts", "_ref", "_info", "_tokens", "_keys", "_values", "_at")
+    return d.withColumns(out).drop("_c", "_alts", "_ref", "_info", "_raw", "_keys", "_values", "_at")
 
 
 def informative(rows: DataFrame) -> DataFrame:
