@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from varloom.functions.ids import contig
 from varloom.operators import transcripts as X
 from varloom.operators.cache import numbered
-from varloom.plans.models import transcript_models, write_cache
-from varloom.plans.positions import annotate_positions, json_lines, write_positions
+from varloom.plans.models import model_counts, read_cached, refuse_unresolved, transcript_models, write_cache
+from varloom.plans.positions import annotate_file, annotate_positions, json_lines, write_positions
 from varloom.plans.reference import aliases, chromosomes, problems, verified, write_reference
 from varloom.operators.chunks import cut_sequences
 from varloom.sources import flat, gff3, vcf
@@ -115,7 +115,8 @@ def test_refseq_models(spark, tmp_path):
     g = f.where("attr.id = 'g1'").first().attr
     assert (g.gene_id, g.hgnc_id) == ("77", 5)
     h = gff3.hierarchy(f, "refseq")
-    assert {k: v.count() for k, v in h.items()} == {"genes": 1, "transcripts": 1, "exons": 2, "cds": 2, "matches": 0, "orphans": 0}
+    assert {k: v.count() for k, v in h.items()} == {"genes": 1, "transcripts": 1, "exons": 2, "cds": 2, "matches": 0, "orphans": 0, "unmatched": 0, "repeated": 0}
+    gff3.refuse_unsound(h)
     cdna = SEQ[10:40] + SEQ[60:100]
     from varloom.functions.codons import STANDARD
     from varloom.operators.evaluate import protein_of
@@ -128,13 +129,76 @@ def test_refseq_models(spark, tmp_path):
         spark.createDataFrame([], "tx string, x_id string"),
         "refseq",
         spark.createDataFrame([("NM_1.1", 3)], "tx string, stated_start int"),
+        names=flat.gene_names(spark.createDataFrame([(1, "HGNC:2884", "DIO", "77", "ENSG7", "")], "line int, hgnc_id string, symbol string, entrez_id string, ensembl_gene_id string, refseq_accession string"), "line"),
     )
     c = m["coding"].first()
     assert (c.cdna_start, c.cdna_end, c.cds_offset, c.outcome) == (4, 39, 1, "perfect") and c.mane_select
     regions = sorted((r.start, r.kind, r.cdna_start, r.cdna_end) for r in m["regions"].collect())
     assert regions == [(11, "exon", 1, 30), (41, "intron", 30, 31), (61, "exon", 31, 70)]
-    write_cache(m, str(tmp_path / "cache"))
-    assert spark.read.parquet(str(tmp_path / "cache/bins")).count() == 1
+    assert tuple(model_counts(m).first()) == (1, 0, 0) and c.hgnc_id == 2884 and c.seleno
+    refuse_unresolved(m)
+    write_cache(m, str(tmp_path / "cache"), gff3.regulatory(f))
+    of = lambda n: read_cached(spark, str(tmp_path / "cache"), n, 0).collect()
+    assert len(of("bins")) == 2 and of("regulatory")[0].id == "r1"
+    g, t, seqs = of("genes")[0], of("transcripts")[0], {r["index"]: r.seq for r in of("sequences")}
+    assert (g.symbol, g.ensembl, g["index"], g.flags) == ("DIO", "ENSG7", 0, 14)
+    assert t.gene_index == 0 and seqs[t.cdna_index] == cdna and seqs[t.protein_index] == protein
+    numbers = {r["index"]: r.start for r in of("regions")}
+    assert [numbers[i] for i in of("transcript_regions")[0].region_indexes] == [11, 41, 61]
+
+
+def test_unsound_features_are_refused(spark):
+    names = spark.createDataFrame([("NC_1", 0)], "name string, ref_index int")
+    more = {
+        "parent": "NC_1\tx\texon\t1\t9\t.\t+\t.\tID=e9;Parent=nobody",
+        "exon": "NC_1\tx\tcDNA_match\t12\t40\t.\t+\t.\tID=m1;Target=NM_1.1 1 29;Gap=M29",
+        "repeated": "NC_1\tx\tgene\t5\t300\t.\t+\t.\tID=g1",
+    }
+    for word, line in more.items():
+        h = gff3.hierarchy(gff3.features(as_lines(spark, [*GFF[:11], line]), names, "refseq", "order"), "refseq")
+        with pytest.raises(ValueError, match=word):
+            gff3.refuse_unsound(h)
+
+
+def test_mitochondrial_bases_and_file_order(spark):
+    chunks = cut_sequences(spark.createDataFrame([("MT", SEQ)], "chrom string, seq string"), 16, 4)
+    t = spark.createDataFrame([(5, "a", 3, 50, False), (5, "b", 3, 50, True), (0, "c", 1, 9, False), (5, "d", 300, 900, False)], "ref_index int, tx string, start int, end int, reverse boolean")
+    rna = spark.createDataFrame([("a", "TTT"), ("c", "GGG"), ("d", "CC")], "tx string, seq string")
+    got = {r.tx: r.seq for r in X.with_reference_bases(t, rna, chunks, 5, "MT", 16).collect()}
+    part = SEQ[2:50]
+    assert got == {"a": part, "b": part[::-1].translate(str.maketrans("ACGT", "TGCA")), "c": "GGG", "d": "CC"}
+
+
+def test_a_file_from_header_to_metadata(spark, parts, tmp_path):
+    chunks, bands, names = parts
+    head = ["##fileformat=VCFv4.2", "##contig=<ID=chr1,length=248956422>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"]
+    (tmp_path / "a.vcf").write_text("\n".join([*head, *LINES]) + "\n")
+    run = lambda name, assembly="GRCh38": annotate_file(spark, str(tmp_path / name), str(tmp_path / f"out-{name}"), chunks, bands, names, assembly, release="x")
+    m = run("a.vcf")
+    assert m == {"assembly": "GRCh38", "samples": ["S1"], "positions": 2, "variants": 2, "skippedRecords": 1, "release": "x"}
+    assert json.loads(spark.read.text(str(tmp_path / "out-a.vcf_metadata")).first().value) == m
+    assert spark.read.text(str(tmp_path / "out-a.vcf_variants")).count() == 2
+    with pytest.raises(ValueError, match="GRCh38"):
+        run("a.vcf", "GRCh37")
+    (tmp_path / "b.vcf").write_text("\n".join([*head, *LINES, LINES[0]]) + "\n")
+    with pytest.raises(ValueError, match="come again"):
+        run("b.vcf")
+
+
+def test_name_table_and_uniqueness(spark):
+    lines = as_lines(spark, ["symbol\thgnc_id\tx\tentrez_id\tensembl_gene_id\trefseq_accession", "A\tHGNC:5\t\t1\tE1\tN1", "short\tHGNC:6"])
+    r = flat.gene_name_rows(lines, "order").collect()
+    assert len(r) == 1 and (r[0].hgnc_id, r[0].symbol, r[0].entrez_id) == ("HGNC:5", "A", "1")
+    with pytest.raises(ValueError, match="no columns"):
+        flat.gene_name_rows(as_lines(spark, ["symbol\thgnc_id"]), "order")
+    a, b = (spark.createDataFrame([(x, "A")], "tx string, seq string") for x in "ab")
+    assert flat.disjoint_union(a, b, "tx").count() == 2
+    with pytest.raises(ValueError, match="repeated"):
+        flat.disjoint_union(a, a, "tx")
+    with pytest.raises(Exception, match="nine"):
+        flat.mirna_rows(as_lines(spark, ["NC_1\tx\tmiRNA\t5\t9"])).collect()
+    m = flat.mirna_regions(flat.mirna_rows(as_lines(spark, [f"NC_1\tx\tmiRNA\t{k}\t9\t.\t+\t.\tID=1" for k in (7, 5)])))
+    assert [tuple(x) for x in m.first().regions] == [(5, 9), (7, 9)]
 
 
 def test_bad_features(spark):

@@ -51,6 +51,25 @@ def placed(variants: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFra
     return variants.join(c, (F.col("chrom") == F.col("c_chrom")) & (at == F.col("c_chunk")), "left").drop("c_chrom", "c_chunk")
 
 
+def stretches(places: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Adds bases to (chrom, start, end, ...): those of a closed interval, put together from all chunks that it touches.
+
+    A place's own chunk gives its part of the interval, so margins don't matter and an
+    interval may be longer than a chunk; it is null where the chromosome ends before.
+    """
+    names = places.columns
+    p = places.withColumn("_chunk", F.explode(F.sequence(chunk_of(F.col("start"), size), chunk_of(F.col("end"), size))))
+    c = chunks.select(F.col("chrom").alias("c_chrom"), F.col("chunk").alias("c_chunk"), "lo", "seq", "length")
+    p = p.join(c, (F.col("chrom") == F.col("c_chrom")) & (F.col("_chunk") == F.col("c_chunk")))
+    begin = F.greatest(F.col("start") - 1, F.col("_chunk").cast("long") * size)
+    stop = F.least(F.col("end").cast("long"), (F.col("_chunk").cast("long") + 1) * size)
+    part = F.substring(F.col("seq"), (begin - F.col("lo") + 1).cast("int"), (stop - begin).cast("int"))
+    p = p.withColumn("_part", part).groupBy(*names).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))), lambda x: x["_part"]), "").alias("bases"), F.max("length").alias("_length")
+    )
+    return p.withColumn("bases", F.when(F.col("end") <= F.col("_length"), F.col("bases"))).drop("_length")
+
+
 def left_shift(allele: Column, upstream: Column) -> Column:
     """How far an indel moves left: the end of ``upstream`` that repeats the allele."""
     times = F.ceil(F.length(upstream) / F.greatest(F.length(allele), F.lit(1))).cast("int") + 1

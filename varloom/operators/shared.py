@@ -12,6 +12,8 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in local tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="varloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -31,3 +33,15 @@ def settled(df: DataFrame, *names: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def refuse(found: DataFrame, what: str) -> None:
+    """Raises if there is any row, naming a few of them."""
+    some = found.limit(5).collect()
+    if some:
+        raise ValueError(f"{what}: " + "; ".join(", ".join(str(v) for v in r) for r in some))
+
+
+def repeated(rows: DataFrame, *key: str) -> DataFrame:
+    """Keys that come more than once, and how often."""
+    return rows.where(F.col(key[-1]).isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from varloom.functions.alleles import reverse_complement
+from varloom.operators.chunks import stretches
+
 KEY = ["ref_index", "tx"]
 
 
@@ -133,6 +136,17 @@ def first_takers(transcripts: DataFrame, sequences: DataFrame, order: str) -> Da
     return transcripts.join(first, ["tx", order], "left_semi").join(sequences, "tx")
 
 
+def with_reference_bases(transcripts: DataFrame, sequences: DataFrame, chunks: DataFrame, ref_index: int, chrom: str, size: int) -> DataFrame:
+    """``sequences`` (tx, seq), with those of transcripts on one chromosome (the mitochondrion) taken from the reference instead.
+
+    Transcripts (ref_index, tx, start, end, reverse) of it have no introns; on the reverse strand the bases are complemented.
+    """
+    own = transcripts.where(F.col("ref_index") == ref_index).select("tx", F.lit(chrom).alias("chrom"), "start", "end", "reverse").distinct()
+    own = stretches(own, chunks, size).where("bases is not null")
+    own = own.select("tx", F.when(F.col("reverse"), reverse_complement(F.col("bases"))).otherwise(F.col("bases")).alias("seq"))
+    return sequences.join(own.select("tx"), "tx", "left_anti").select("tx", "seq").unionByName(own)
+
+
 def named_genes(genes: DataFrame, by_ncbi: DataFrame | None = None, by_ensembl: DataFrame | None = None) -> DataFrame:
     """Genes with ids and symbol from the name table.
 

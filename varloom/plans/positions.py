@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import json
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions.ids import contig
 from varloom.operators.chunks import CHUNK
+from varloom.operators.shared import refuse
 from varloom.plans.annotate import annotated
-from varloom.sources.vcf import informative, parse_lines, with_alias, with_locus
+from varloom.sources.bgzf import BgzfText
+from varloom.sources.vcf import infer_assembly, informative, parse_header, parse_lines, scattered_chromosomes, with_alias, with_locus
 
 
 def annotate_positions(
@@ -61,6 +65,31 @@ def json_lines(positions: DataFrame) -> DataFrame:
 def write_positions(positions: DataFrame, path: str) -> dict:
     """Writes gzip JSON lines and returns the counts of positions and variants, taken while writing."""
     seen = Observation("positions")
-    observed = positions.observe(seen, F.count(F.lit(1)).alias("positions"), F.sum(F.size("variants")).alias("variants"))
+    observed = positions.observe(seen, F.count(F.lit(1)).alias("positions"), F.coalesce(F.sum(F.size("variants")), F.lit(0)).alias("variants"))
     json_lines(observed).select("value").write.option("compression", "gzip").text(path)
     return seen.get
+
+
+def annotate_file(
+    spark: SparkSession, source: str, target: str, chunks: DataFrame, bands: DataFrame, aliases: DataFrame, assembly: str, size: int = CHUNK, **metadata: str
+) -> dict:
+    """A VCF file from header to metadata: <target>_variants, <target>_genes (empty) and <target>_metadata, as JSON lines.
+
+    Raises before anything is written if the header's contigs are those of another assembly
+    or a chromosome comes again after another. Returns the metadata: sample names, counts of
+    positions, variants and skipped rows, and whatever is given.
+    """
+    spark.dataSource.register(BgzfText)
+    lines = spark.read.format("bgzf").load(source)
+    header = parse_header([r.value for r in lines.where(F.col("value").startswith("#")).orderBy("order").limit(100_000).collect()])
+    found = infer_assembly(spark.createDataFrame(header.contigs, "name string, length long")).first().assembly
+    if found not in ("unknown", assembly):
+        raise ValueError(f"the file is of {found}, not of {assembly}")
+    rows = informative(parse_lines(lines, len(header.samples)))
+    refuse(scattered_chromosomes(rows, "order"), "chromosomes that come again")
+    skipped = with_alias(rows.select("chrom"), aliases).where("ref_index is null").count()
+    counts = write_positions(annotate_positions(lines, chunks, bands, aliases, len(header.samples), size), f"{target}_variants")
+    made = {"assembly": assembly, "samples": header.samples, **counts, "skippedRecords": skipped, **metadata}
+    spark.createDataFrame([(json.dumps(made),)], "value string").coalesce(1).write.option("compression", "gzip").text(f"{target}_metadata")
+    spark.createDataFrame([], "value string").write.option("compression", "gzip").text(f"{target}_genes")
+    return made

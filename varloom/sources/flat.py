@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions.text import strict_int
+from varloom.operators.shared import refuse, repeated
 
 
 def accession(header: Column) -> Column:
@@ -91,6 +92,35 @@ def gene_names(rows: DataFrame, order: str) -> dict[str, DataFrame]:
     return {"all": d.drop("_order"), "by_ncbi": last("ncbi"), "by_ensembl": last("ensembl"), "repeated": repeated}
 
 
+GENE_NAME_COLUMNS = ("hgnc_id", "symbol", "entrez_id", "ensembl_gene_id", "refseq_accession")
+
+
+def gene_name_rows(lines: DataFrame, order: str) -> DataFrame:
+    """Columns of a tab-separated gene name table (value, ``order``) found by its header line, the first; short rows go."""
+    first = lines.orderBy(order).first()
+    if first is None:
+        raise ValueError("no header line")
+    header = first["value"].split("\t")
+    missing = [c for c in GENE_NAME_COLUMNS if c not in header]
+    if missing:
+        raise ValueError(f"no columns {', '.join(missing)}")
+    c = F.split("value", "\t", -1)
+    last = max(header.index(n) for n in GENE_NAME_COLUMNS)
+    rows = lines.where((F.col(order) > F.lit(first[order])) & (F.size(c) > last))
+    return rows.select(*[F.get(c, header.index(n)).alias(n) for n in GENE_NAME_COLUMNS], order)
+
+
+def refuse_repeated(rows: DataFrame, key: str, what: str) -> DataFrame:
+    """``rows``, after raising if a key comes more than once."""
+    refuse(repeated(rows, key), f"repeated {what}")
+    return rows
+
+
+def disjoint_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Both tables, after raising if they share a key or one repeats it."""
+    return refuse_repeated(a.unionByName(b), key, key)
+
+
 def report_rows(lines: DataFrame) -> DataFrame:
     """(ensembl, genbank, refseq, length, ucsc) of assembly report lines (value); na means nothing."""
     c = F.split("value", "\t", -1)
@@ -111,12 +141,19 @@ def band_rows(lines: DataFrame) -> DataFrame:
 
 
 def mirna_rows(lines: DataFrame) -> DataFrame:
-    """(accession, begin, end) of miRNA features, in order within an accession."""
+    """(accession, begin, end) of miRNA features; a line of fewer than nine columns is an error, raised when it is read."""
     c = F.split("value", "\t", -1)
-    d = lines.where(~F.col("value").startswith("#") & (F.get(c, 2) == "miRNA"))
+    d = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    short = F.when(F.size(c) < 9, F.raise_error(F.concat(F.lit("fewer than nine columns: "), "value")).cast("boolean"))
+    d = d.where(F.coalesce(short, F.get(c, 2) == "miRNA"))
     return d.select(F.get(c, 0).alias("accession"), strict_int(F.get(c, 3), "long").alias("begin"), strict_int(F.get(c, 4), "long").alias("end"))
 
 
+def mirna_regions(rows: DataFrame) -> DataFrame:
+    """(accession, regions): an accession's regions, by begin."""
+    return rows.groupBy("accession").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("regions"))
+
+
 @dataclass
 class Source:
     url: str

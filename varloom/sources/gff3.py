@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.text import strict_int, unescape
-from varloom.operators.shared import checkpointed, settled
+from varloom.operators.shared import checkpointed, refuse, repeated, settled
 from varloom.sources.biotypes import dimension
 
 #: Attribute keys that are known and passed over (fixed values).
@@ -152,8 +152,8 @@ def features(lines: DataFrame, aliases: DataFrame, style: str, order: str | None
     """
     d = lines
     if style == "refseq" and order is not None:
-        stop = d.where(F.col("value").startswith("###")).agg(F.min(order).alias("stop"))
-        d = d.crossJoin(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col(order) < F.col("stop"))).drop("stop")  # one row
+        stop = d.where(F.col("value").startswith("###")).agg(F.min(order)).first()[0]  # one number
+        d = d if stop is None else d.where(F.col(order) < F.lit(stop))
     d = d.where((F.col("value") != "") & ~F.col("value").startswith("#"))
     d = d.withColumn("_c", F.split("value", "\t", -1))
     a = F.broadcast(aliases.select(F.col("name").alias("a_name"), "ref_index"))  # a few names a chromosome
@@ -191,9 +191,11 @@ def hierarchy(f: DataFrame, style: str) -> dict[str, DataFrame]:
 
     RefSeq keeps genes and pseudogenes, and transcripts named NM or NR; Ensembl ids have a
     prefix before the colon, and artefacts go. Children of dropped transcripts go with
-    them; ``orphans`` are children whose parent is nowhere in the file.
+    them; ``orphans`` are children whose parent is nowhere in the file, ``unmatched``
+    alignments that no exon stands for, ``repeated`` ids that several genes or transcripts
+    have (see ``refuse_unsound``).
     """
-    rows = f.where(F.col("error").isNull()).select("ref_index", "biotype", "category", "coding", "code", "start", "end", "reverse", "attr")
+    rows = f.where(F.col("error").isNull()).select("ref_index", "biotype", "category", "coding", "code", "start", "end", "reverse", "attr", *[c for c in ("order",) if c in f.columns])
     rows = checkpointed(rows)  # read many times below
     genes = rows.where("category = 'gene'")
     tx = rows.where("category = 'transcript'")
@@ -217,7 +219,20 @@ def hierarchy(f: DataFrame, style: str) -> dict[str, DataFrame]:
     orphans = children.join(everyone, (F.col("ref_index") == F.col("q_index")) & (F.col("attr.parent") == F.col("q_id")), "left_anti")
     aligned = rows.where("category = 'alignment'").withColumnRenamed("start", "m_start")
     x = exons.select(F.col("ref_index").alias("x_index"), F.col("attr.transcript_id").alias("x_tx"), F.col("start").alias("x_start"), "p_id")
-    matches = aligned.join(
-        x, (F.col("ref_index") == F.col("x_index")) & (F.col("attr.target_id") == F.col("x_tx")) & (F.col("m_start") == F.col("x_start"))
-    ).drop("x_index", "x_tx", "x_start").withColumnRenamed("m_start", "start")
-    return {"genes": genes, "transcripts": kept, "exons": exons, "cds": under(children.where("biotype = 'CDS'")), "matches": matches, "orphans": orphans}
+    on = (F.col("ref_index") == F.col("x_index")) & (F.col("attr.target_id") == F.col("x_tx")) & (F.col("m_start") == F.col("x_start"))
+    matches = aligned.join(x, on).drop("x_index", "x_tx", "x_start").withColumnRenamed("m_start", "start")
+    # exons of transcripts that are not kept stand for their alignments too
+    any_exon = children.where("biotype = 'exon'").select(F.col("ref_index").alias("x_index"), F.col("attr.transcript_id").alias("x_tx"), F.col("start").alias("x_start"))
+    unmatched = aligned.join(any_exon, on, "left_anti").withColumnRenamed("m_start", "start")
+    twice = repeated(rows.where("category in ('gene', 'transcript')").select("ref_index", F.col("attr.id").alias("id")), "ref_index", "id")
+    return {
+        "genes": genes, "transcripts": kept, "exons": exons, "cds": under(children.where("biotype = 'CDS'")), "matches": matches,
+        "orphans": orphans, "unmatched": unmatched, "repeated": twice,
+    }
+
+
+def refuse_unsound(parts: dict[str, DataFrame]) -> None:
+    """Raises on children without a parent, alignments without an exon and repeated ids (RefSeq files)."""
+    refuse(parts["orphans"].select("ref_index", "attr.id", "attr.parent"), "children without a parent")
+    refuse(parts["unmatched"].select("ref_index", "attr.id", "attr.target_id", "start"), "alignments without an exon")
+    refuse(parts["repeated"], "repeated ids")
