@@ -316,9 +316,9 @@ def test_fisher_yates_equals_swapping(spark):
     d = spark.range(70).select(F.col("id").cast("int").alias("n"), "id")
     draws = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).select("id", "i", F.xxhash64(F.lit(7), "id", "i").alias("h")).collect()
     h = {(r.id, r.i): r.h for r in draws}
-    for r in shards.fisher_yates(d, "n", "id", 7).collect():
+    for r in d.withColumn("perm", shards.fisher_yates(F.col("n"), F.col("id"), 7)).collect():
         assert list(r.perm) == swapped(r.n, {i: h[r.id, i] for i in range(r.n + 1)})
-    many = shards.fisher_yates(spark.range(6000).withColumn("n", F.lit(3)), "n", "id", 1).groupBy("perm").count().collect()
+    many = spark.range(6000).select(shards.fisher_yates(F.lit(3), F.col("id"), 1).alias("perm")).groupBy("perm").count().collect()
     assert len(many) == 6 and all(850 < r["count"] < 1150 for r in many)
 
 

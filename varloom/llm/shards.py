@@ -19,7 +19,7 @@ from varloom.llm.common import cut, stored, with_line_of
 SHARDS = 40
 SEED = 9001
 #: Memory of a bucket, and what a record takes beside its text.
-BUCKET_BYTES, RECORD_BYTES = 32 << 20, 512
+BUCKET_BYTES, RECORD_BYTES = 16 << 20, 512
 #: Equal records that may meet in one bucket; more are dealt over buckets by their place in the input.
 REPEATS = 256
 #: Chains of up to 2 ** LONGEST steps are followed; a bucket has fewer records.
@@ -32,39 +32,43 @@ def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
 
 
-def fisher_yates(rows: DataFrame, n: str, bucket: str, seed: int) -> DataFrame:
-    """Adds ``perm``: 0..n-1 after swapping places i and r(i) = pmod(hash(seed, bucket, i), i + 1) for i = n-1..1.
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fisher_yates(n: Column, bucket: Column, seed: int) -> Column:
+    """Permutation of 0..n-1 after swapping places i and r(i) = pmod(hash(seed, bucket, i), i + 1) for i = n-1..1.
 
     Arrays can't be changed in place, so the swaps are followed instead of made. After step
     i its place holds what stood at place r(i) then. That is whatever the last step before
     with the same draw put there, namely what stood at that step's own place j; and there
     stood what the last step before with draw j put there, and so on up to a place that no
     step had drawn. Two sorts find these steps, and chains are shortened by doubling, so n
-    swaps cost n log n. Every array below is read more than once by the next step, which
-    keeps the optimizer from putting its making into a loop.
+    swaps cost n log n.
     """
-    i_of = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col(bucket), i), (i + 1).cast("long")).cast("int")
-    d = rows.withColumn("_r", F.transform(i_of(n), draw))
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), bucket, i), (i + 1).cast("long")).cast("int")
     # draws (r, i, 0), and for each place p a question (p, p, 1): which step after in this order, before in time, drew p?
-    draws = F.transform("_r", lambda r, i: F.struct(r.alias("r"), i.alias("i"), F.lit(0).alias("asks")))
-    asked = F.transform("_r", lambda _, i: F.struct(i.alias("r"), i.alias("i"), F.lit(1).alias("asks")))
-    d = d.withColumn("_s", F.sort_array(F.concat(draws, asked)))
+    drawn = lambda r: F.transform(r, lambda x, i: F.struct(x.alias("r"), i.alias("i"), F.lit(0).alias("asks")))
+    asked = lambda r: F.transform(r, lambda _, i: F.struct(i.alias("r"), i.alias("i"), F.lit(1).alias("asks")))
 
-    def following(x: Column, k: Column) -> Column:
-        one, two = F.get(F.col("_s"), k + 1), F.get(F.col("_s"), k + 2)
+    def following(s: Column, x: Column, k: Column) -> Column:
+        one, two = F.get(s, k + 1), F.get(s, k + 2)
         nxt = F.when((x["asks"] == 0) & (one["asks"] == 1), two).otherwise(one)
-        return F.when(nxt["r"] == x["r"], nxt["i"])
+        return F.struct(x["asks"].alias("asks"), x["i"].alias("i"), F.when(nxt["r"] == x["r"], nxt["i"]).alias("j"))
+
+    def solved(r: Column, t: Column) -> Column:
+        same = F.transform(F.slice(t, F.lit(1), F.size(r)), lambda x: x["j"])
+        step = F.transform(F.slice(t, F.size(r) + 1, F.size(r)), lambda x: F.coalesce(x["j"], x["i"]))
+        ends = F.aggregate(F.sequence(F.lit(1), F.lit(LONGEST)), step, lambda jump, _: F.transform(jump, lambda j: F.get(jump, j)))
+        return _let(ends, lambda end: F.zip_with(r, same, lambda x, j: F.coalesce(F.get(end, j), x)))
+
+    def ordered(r: Column) -> Column:
+        steps = lambda s: F.sort_array(F.transform(s, lambda x, k: following(s, x, k)))
+        return _let(F.sort_array(F.concat(drawn(r), asked(r))), lambda s: _let(steps(s), lambda t: solved(r, t)))
 
-    d = d.withColumn("_t", F.sort_array(F.transform("_s", lambda x, k: F.struct(x["asks"], x["i"], following(x, k).alias("j")))))
-    d = d.withColumn("_same", F.transform(F.slice("_t", F.lit(1), F.size("_r")), lambda x: x["j"]))
-    d = d.withColumn("_jump", F.transform(F.slice("_t", F.size("_r") + 1, F.size("_r")), lambda x: F.coalesce(x["j"], x["i"])))
-    d = d.drop("_s", "_t")
-    for _ in range(LONGEST):
-        d = d.withColumn("_jump", F.transform("_jump", lambda j: F.get(F.col("_jump"), j)))
-    end = lambda j: F.when(j < F.size("_jump"), F.get(F.col("_jump"), j))
-    perm = F.zip_with("_r", "_same", lambda r, j: F.coalesce(end(j), r))
-    return d.withColumn("perm", perm).drop("_r", "_same", "_jump")
+    return _let(F.transform(every, draw), ordered)
 
 
 def content_key(df: DataFrame, seed: int) -> Column:
@@ -96,7 +100,8 @@ def external_shuffle(df: DataFrame, size: Column, seed: int = SEED) -> tuple[Dat
     gathered = rows.select(bucket.alias("bucket"), "key", "row").groupBy("bucket").agg(F.collect_list(F.struct("key", "row")).alias("rows"))
     ordered = F.array_sort("rows", _by_content) if any("map<" in t for _, t in df.dtypes) else F.sort_array("rows")
     gathered = gathered.select("bucket", ordered.alias("rows"), F.size("rows").alias("count"))
-    gathered = fisher_yates(gathered, "count", "bucket", seed + 2)
+    # one column beside the records, as each projection copies these
+    gathered = gathered.select("bucket", "rows", fisher_yates(F.col("count"), F.col("bucket"), seed + 2).alias("perm"))
     out = F.transform("perm", lambda i: F.when(i < F.size("rows"), F.get(F.col("rows"), i)["row"]))
     return gathered.select("bucket", F.posexplode(out).alias("place", "row")), n
 
