@@ -487,7 +487,7 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     """Keys with more than CROWDED texts: similar ones become one group, others that share the keys stay apart."""
     from varloom.llm import nearcopies
 
-    monkeypatch.setattr(graph.connected, "__defaults__", (1, 20, None))
+    monkeypatch.setattr(nearcopies, "CROWDED", 20)
     rng = random.Random(3)
     words = [f"w{rng.randrange(900)}" for _ in range(120)]
     rows = [(i, " ".join(words[:60] + [f"x{i}"] + words[60:])) for i in range(150)]
