@@ -130,4 +130,94 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from r left join lim on lim.lang is not distinct from r.lang and lim.source is not distinct from r.source
 """
 
-ORACLES = {"op2_mix_sources": OP2, "op5_license_scan": OP5, "op10_adaptive_rules": OP10}
+#: Digests of runs by the usual table of 256 entries (polynomial 0xEDB88320), byte by byte.
+OP11 = r"""
+with tab as (
+  select list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+  from (select unnest(range(0::bigint, 256)) as i)),
+runs as (
+  select coalesce(doc_id::varchar, '') as doc, run, count(*) as times
+  from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents)
+  group by all),
+coded as (
+  select run, times, xor(list_reduce(
+      list_concat([4294967295::bigint], flatten(list_transform(string_split(doc || ':' || run, ''), lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [195::bigint, (ord(c) - 64)::bigint] end))),
+      lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) as h
+  from runs, tab),
+w as (
+  select word, sum(times)::bigint as n
+  from (select times, case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from coded)
+  where length(word) >= 5 group by word having sum(times) >= 3),
+gap as (select word, n, substr(word, 1, i::int) as a, substr(word, i::int + 2) as b from (select *, unnest(range(0, length(word))) as i from w)),
+near as (
+  select x.word, y.word as other, y.n as other_n from gap x join gap y on x.a = y.a and x.b = y.b and x.word <> y.word
+  union select g.word, w.word, w.n from gap g join w on w.word = g.a || g.b
+  union select w.word, g.word, g.n from gap g join w on w.word = g.a || g.b),
+best as (select word, count(*) as n_near, arg_min(other, (-other_n, other)) as other, max(other_n) as other_n from near group by word),
+f as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when other_n >= 2 * w.n then other end as form, case when other_n >= 2 * w.n then other_n end as form_n
+  from w left join best using (word)),
+walk as (
+  with recursive p(word, at_, far) as (
+    select word, word, 0 from f union all select p.word, f.form, far + 1 from p join f on p.at_ = f.word where f.form is not null)
+  select word, arg_max(at_, far) as root from p group by word)
+select word, form, root, n, n_near, form_n from f join walk using (word)
+"""
+
+
+def _round(k: int) -> str:
+    """Assignment to the centroids c<k> and the centroids c<k + 1> made of it."""
+    return f"""
+a{k} as (
+  select r, arg_min(k, (d, k)) as k, min(d) as d
+  from (select r, c.k, sum((v.x - c.x) * (v.x - c.x))::bigint as d from v join c{k} c using (i) group by r, c.k) group by r),
+c{k + 1} as (
+  select c.k, c.i, coalesce(m.x, c.x) as x from c{k} c left join (
+    select a.k, v.i, floor_div(sum(v.x)::bigint, count(*)) as x from v join a{k} a using (r) group by a.k, v.i) m on c.k = m.k and c.i = m.i),"""
+
+
+#: floor_div is written out, as the engine's division of integers cuts towards zero.
+OP12 = f"""
+with e as (
+  select vec_id, row_number() over () as r, embedding as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+w as (select r, vec_id, list_transform(x, lambda x: floor(64.0::double * x::double)::bigint) as x from e),
+v as (select r, unnest(range(1, 65)) as i, unnest(x) as x from w),
+s as (
+  select row_number() over (order by g nulls last, x) - 1 as k, x
+  from (select sha256('1:' || vec_id::varchar) as g, x from w order by g nulls last, x limit 16)),
+c0 as (select k, unnest(range(1, 65)) as i, unnest(x) as x from s),
+{_round(0)}{_round(1)}{_round(2)}
+a3 as (
+  select r, arg_min(k, (d, k)) as k, min(d) as d
+  from (select r, c.k, sum((v.x - c.x) * (v.x - c.x))::bigint as d from v join c3 c using (i) group by r, c.k) group by r),
+m as (select k, sha256(string_agg(x::varchar, ',' order by i)) as mark from c3 group by k)
+select vec_id, k::int as cluster, d as distance, sum(d) over (partition by k)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia, mark as centroid_sha256
+from a3 join w using (r) join m using (k)
+""".replace("floor_div(sum(v.x)::bigint, count(*))", "((sum(v.x)::bigint - (((sum(v.x)::bigint % count(*)) + count(*)) % count(*))) // count(*))")
+
+OP13 = """
+with e as (
+  select vec_id, label, row_number() over () as r, list_transform(embedding, lambda x: x::double) as x,
+    coalesce(label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as usable
+  from embeddings),
+link as (
+  select a.r as a, b.r as b from e a join e b on a.label = b.label and a.r <> b.r and len(a.x) = len(b.x)
+  where a.usable and b.usable and list_cosine_similarity(a.x, b.x) >= 0.98),
+reach as (
+  with recursive p(r, at_) as (select r, r from e union select p.r, link.b from p join link on p.at_ = link.a)
+  select p.r, min(e.vec_id) as component_id from p join e on p.at_ = e.r group by p.r),
+n as (select a as r, count(*) as n from link group by a)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, coalesce(vec_id = component_id, false) as kept
+from e join reach using (r) left join n using (r)
+"""
+
+ORACLES = {
+    "op2_mix_sources": OP2,
+    "op5_license_scan": OP5,
+    "op10_adaptive_rules": OP10,
+    "op11_permuterm_spelling": OP11,
+    "op12_integer_centroids": OP12,
+    "op13_spherical_dedup": OP13,
+}

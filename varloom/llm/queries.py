@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varloom.llm import images, licenses, mixing, pieces, quality, rules, shards, simhash, tokencount, toxicity
+from varloom.llm import cells, centroids, images, licenses, mixing, pieces, quality, rules, shards, simhash, spelling, tokencount, toxicity
 from varloom.llm.common import table
 
 
@@ -64,6 +64,18 @@ def op10_adaptive_rules(spark, sf_dir):
     return d.select("doc_id", *own)
 
 
+def op11_permuterm_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_integer_centroids(spark, sf_dir):
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spherical_dedup(spark, sf_dir):
+    return cells.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_mix_sources": op2_mix_sources,
@@ -75,4 +87,7 @@ QUERIES = {
     "op8_simhash_golay": op8_simhash_golay,
     "op9_external_shuffle": op9_external_shuffle,
     "op10_adaptive_rules": op10_adaptive_rules,
+    "op11_permuterm_spelling": op11_permuterm_spelling,
+    "op12_integer_centroids": op12_integer_centroids,
+    "op13_spherical_dedup": op13_spherical_dedup,
 }
