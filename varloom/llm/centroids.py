@@ -45,13 +45,21 @@ def _literal(centroid: list[int]) -> Column:
 
 
 def nearest(v: Column, centroids: list[list[int]]) -> Column:
-    """(distance, cluster) of the nearest centroid; of equally near ones that with the smallest number."""
-    zero = F.lit(0).cast("long")
+    """(distance, cluster) of the nearest centroid; of equally near ones that with the smallest number.
+
+    A squared distance is the sum of both squares less twice the product; the vector's
+    square is the same for all centroids and the centroid's is a literal, so a component
+    costs one product.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    square = total(F.transform(v, lambda x: x * x))
 
     def distance(c: list[int]) -> Column:
-        return F.aggregate(F.zip_with(v, _literal(c), lambda x, y: (x - y) * (x - y)), zero, lambda a, x: a + x)
+        product = total(F.zip_with(v, _literal([-2 * x for x in c]), lambda x, y: x * y))
+        return product + F.lit(sum(x * x for x in c)).cast("long")
 
-    return F.array_min(F.array(*[F.struct(distance(c).alias("distance"), F.lit(k).alias("cluster")) for k, c in enumerate(centroids)]))
+    least = F.array_min(F.array(*[F.struct(distance(c).alias("distance"), F.lit(k).alias("cluster")) for k, c in enumerate(centroids)]))
+    return F.transform(F.array(least), lambda m: F.struct((m["distance"] + square).alias("distance"), m["cluster"].alias("cluster")))[0]
 
 
 def seeds(v: DataFrame, clusters: int = CLUSTERS, seed: str = SEED) -> list[list[int]]:

@@ -17,17 +17,19 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from varloom.llm.common import cut, stored
+from varloom.llm.common import ROWS, cut, stored
 
 #: Letters of a word; only A-Z is lower-cased.
-RUN = re.compile("[a-zÀ-ÿ]+")
+LETTER, RUN = re.compile("[A-Za-zÀ-ÿ]"), re.compile("[A-Za-zÀ-ÿ]*")
+#: Latin-1 bytes: letters, A-Z as a-z, and all else as spaces.
+LETTERS = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalpha() else c if c >= 0xC0 else 32 for c in range(256))
 #: One in so many occurrences of a run loses a character.
 TYPO = 97
 LEAST_LETTERS, LEAST_TIMES = 5, 3
@@ -35,35 +37,103 @@ LEAST_LETTERS, LEAST_TIMES = 5, 3
 TIMES = 2
 #: Ends a word; no letter.
 TERMINATOR = "$"
-#: Words that a task counts before it passes them on, and characters of a text that are cut into runs at once.
-HELD, LONG = 400_000, 1 << 22
+#: Different runs that a task counts before it passes them on, and characters of a text that are cut into runs at once.
+HELD, PIECE = 400_000, 1 << 20
+#: Runs that are counted at once.
+MANY = 1 << 20
+#: Digests of as many zero bytes, for runs below SIZES bytes; longer ones are digested each time.
+SIZES = 48
+ZEROS = [bytes(k) for k in range(SIZES)]
+NOTHING = [zlib.crc32(z) for z in ZEROS]
+
+
+def misspelt(run: bytes, h: int) -> bytes:
+    """The run (Latin-1) without the character that its digest ``h`` names."""
+    at = h % len(run)
+    return run[:at] + run[at + 1 :]
 
 
-def lowered(text: str) -> str:
-    """The text with A-Z in lower case and every other character as it is."""
-    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+def runs_of(text: str) -> Iterator[list[bytes]]:
+    """The runs of letters of a text in Latin-1, in lists of bounded length; characters beyond Latin-1 are no letters."""
+    for at in range(0, len(text), PIECE):
+        # a piece begins after the run that is open where the piece before ends, and ends with its own
+        lo = at if at == 0 else _after(text, at)
+        hi = _after(text, at + PIECE) if at + PIECE < len(text) else len(text)
+        yield text[lo:hi].encode("latin-1", "replace").translate(LETTERS).split()
 
 
-def misspelt(run: str, start: int) -> str:
-    """The run, without one character where its digest (crc32, begun by the document's) is divided by TYPO."""
-    h = zlib.crc32(run.encode(), start)
-    if h % TYPO:
-        return run
-    at = h % len(run)
-    return run[:at] + run[at + 1 :]
+def _after(text: str, at: int) -> int:
+    """The first place from ``at`` on where no run that began before goes on."""
+    if not LETTER.match(text[at - 1]):
+        return at
+    return RUN.match(text, at).end()
+
+
+class Numbers(dict):
+    """Numbers of runs, given as they come."""
+
+    def __init__(self):
+        super().__init__()
+        self.runs: list[bytes] = []
 
+    def __missing__(self, run: bytes) -> int:
+        self[run] = n = len(self.runs)
+        self.runs.append(run)
+        return n
 
-def words_of(doc_id: str, text: str) -> Counter:
-    """Words of one document and how often they come, of LEAST_LETTERS code points or more."""
-    text, out = lowered(text), Counter()
-    # a very long text is counted as it is read, without a list of all its runs
-    runs = Counter(RUN.findall(text) if len(text) <= LONG else (m.group() for m in RUN.finditer(text)))
-    start = zlib.crc32(f"{doc_id}:".encode())
-    for run, n in runs.items():
-        word = misspelt(run, start)
-        if len(word) >= LEAST_LETTERS:
-            out[word] += n
-    return out
+
+class Tally:
+    """How often each word comes in some documents.
+
+    The digest of ``<doc_id>:<run>`` is that of the run, exclusive-or what the digest of
+    the first part becomes when as many zero bytes follow it; that depends on the length
+    alone, so a run's bytes are digested once, and not again in every document.
+    """
+
+    def __init__(self):
+        self.numbers = Numbers()
+        self.size, self.digest, self.times = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _grown(self):
+        if new := self.numbers.runs[len(self.size) :]:
+            texts = [r.decode("latin-1").encode() for r in new]
+            self.size = np.append(self.size, np.fromiter(map(len, texts), np.int64, len(new)))
+            self.digest = np.append(self.digest, np.fromiter(map(zlib.crc32, texts), np.int64, len(new)))
+            self.times = np.append(self.times, np.zeros(len(new), np.int64))
+
+    def add(self, docs: list[tuple[str, str]]) -> None:
+        """Counts the words of documents (id as text, text), some MANY runs at a time."""
+        held, n = [], 0
+        for doc_id, text in docs:
+            start = zlib.crc32(f"{doc_id}:".encode())
+            after = np.array([zlib.crc32(z, start) ^ k for z, k in zip(ZEROS, NOTHING, strict=True)], np.int64)
+            for some in runs_of(text):
+                held.append((start, after, np.fromiter(map(self.numbers.__getitem__, some), np.int64, len(some))))
+                n += len(some)
+                if n >= MANY:
+                    self._counted(held)
+                    held, n = [], 0
+        self._counted(held)
+
+    def _counted(self, held: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        self._grown()
+        runs = self.numbers.runs
+        for start, after, i in held:
+            size = self.size[i]
+            h = self.digest[i] ^ after[np.minimum(size, SIZES - 1)]
+            for k in np.flatnonzero(size >= SIZES):
+                h[k] = zlib.crc32(runs[i[k]].decode("latin-1").encode(), start)
+            for k in np.flatnonzero(h % TYPO == 0):
+                i[k] = self.numbers[misspelt(runs[i[k]], int(h[k]))]
+        self._grown()
+        if held:
+            self.times += np.bincount(np.concatenate([i for _, _, i in held]), minlength=len(self.times))
+
+    def counts(self) -> tuple[list[str], np.ndarray]:
+        """Words of LEAST_LETTERS code points or more, and their numbers."""
+        runs = self.numbers.runs
+        some = [k for k in np.flatnonzero(self.times) if len(runs[k]) >= LEAST_LETTERS]
+        return [runs[k].decode("latin-1") for k in some], self.times[some]
 
 
 def word_counts(docs: DataFrame, least: int = LEAST_TIMES) -> DataFrame:
@@ -72,18 +142,19 @@ def word_counts(docs: DataFrame, least: int = LEAST_TIMES) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def passed(held: Counter):
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        def passed(tally: Tally):
+            words, n = tally.counts()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
-        held: Counter = Counter()
+        tally = Tally()
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                held.update(words_of(doc_id.as_py(), text.as_py()))
-                if len(held) >= HELD:
-                    yield passed(held)
-                    held = Counter()
-        if held:
-            yield passed(held)
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
+                tally.add(list(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)))
+                if len(tally.numbers) >= HELD:
+                    yield passed(tally)
+                    tally = Tally()
+        yield passed(tally)
 
     rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text")
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -113,12 +184,12 @@ def neighbours(words: DataFrame) -> DataFrame:
 
     ``best`` is (rare, word) with ``rare`` the negative of its frequency; of equally frequent words the smallest counts.
     """
-    r = rotations(words.where("word <> ''")).withColumn("me", F.struct((-F.col("n")).alias("rare"), "word"))
+    r = rotations(words.where("word <> ''")).select("prefix", "whole", "first", F.struct((-F.col("n")).alias("rare"), "word").alias("me"))
     side = F.when(~F.col("whole"), F.col("me"))
     # one sort: the range of a prefix, by frequency
     group = W.partitionBy("prefix").orderBy("me").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     r = r.select(
-        "word", "whole", "first", "me",
+        "whole", "first", "me",
         F.count(side).over(group).alias("n_long"),
         F.count(F.when(F.col("first"), 1)).over(group).alias("n_first"),
         F.min(side).over(group).alias("top"),
@@ -127,10 +198,10 @@ def neighbours(words: DataFrame) -> DataFrame:
         F.max(F.when(F.col("whole"), F.col("me"))).over(group).alias("short"),
     )
     short = F.when(F.col("first"), F.col("short"))
-    other = F.when(F.col("top.word") == F.col("word"), F.col("second")).otherwise(F.col("top"))
+    other = F.when(F.col("top") == F.col("me"), F.col("second")).otherwise(F.col("top"))
     near = F.when(F.col("whole"), F.col("n_first")).otherwise(F.col("n_long") - 1 + short.isNotNull().cast("long"))
     best = F.when(F.col("whole"), F.col("top_first")).otherwise(F.least(other, short))
-    r = r.select("word", near.alias("n_near"), best.alias("best")).where("n_near > 0")
+    r = r.select("me.word", near.alias("n_near"), best.alias("best")).where("n_near > 0")
     return r.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
 
 
