@@ -134,6 +134,8 @@ class _Block:
                 self._met(self.ids[at : at + STEP], self.times[at : at + STEP], self.u[at : at + STEP], at)
 
     def passing(self, ids, times, u):
+        if not self.parts:
+            return  # no node fell to this block
         self.seal()
         for at in range(0, len(ids), STEP):
             self._met(ids[at : at + STEP], times[at : at + STEP], u[at : at + STEP], None)
@@ -169,6 +171,8 @@ class _Block:
                 return
 
     def rows(self) -> Iterator[pd.DataFrame]:
+        if not self.parts:
+            return
         self.seal()
         some = self.n > 0
         self.out.append((self.ids[some], np.full(some.sum(), -1), self.n[some]))
