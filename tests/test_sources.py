@@ -175,9 +175,11 @@ def test_a_file_from_header_to_metadata(spark, parts, tmp_path):
     (tmp_path / "a.vcf").write_text("\n".join([*head, *LINES]) + "\n")
     run = lambda name, assembly="GRCh38": annotate_file(spark, str(tmp_path / name), str(tmp_path / f"out-{name}"), chunks, bands, names, assembly, release="x")
     m = run("a.vcf")
-    assert m == {"assembly": "GRCh38", "samples": ["S1"], "positions": 2, "variants": 2, "skippedRecords": 1, "release": "x"}
-    assert json.loads(spark.read.text(str(tmp_path / "out-a.vcf_metadata")).first().value) == m
-    assert spark.read.text(str(tmp_path / "out-a.vcf_variants")).count() == 2
+    assert m["stats"] == {"positions": 2, "variants": 2, "skippedRecords": 1} and m["samples"] == ["S1"] and m["release"] == "x"
+    assert m["input"] == {"fileName": "a.vcf", "vcfVersion": "VCFv4.2", "contigs": 1, "samples": 1, "inferredAssembly": "GRCh38"}
+    read = lambda what: [r.value for r in spark.read.format("bgzf").load(str(tmp_path / f"out-a.vcf_{what}")).orderBy("order").collect()]
+    assert json.loads(read("metadata")[0]) == m and read("genes") == []
+    assert [json.loads(x)["position"] for x in read("variants")] == [10, 30]
     with pytest.raises(ValueError, match="GRCh38"):
         run("a.vcf", "GRCh37")
     (tmp_path / "b.vcf").write_text("\n".join([*head, *LINES, LINES[0]]) + "\n")

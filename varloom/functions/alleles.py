@@ -24,10 +24,10 @@ def trim(position: Column, ref: Column, alt: Column) -> Column:
         F.substring(r1, F.lit(1), F.length(r1) - back).alias("ref"),
         F.substring(a1, F.lit(1), F.length(a1) - back).alias("alt"),
     )
-    return F.when(_untrimmed(ref, alt), as_is).otherwise(cut)
+    return F.when(untrimmed(ref, alt), as_is).otherwise(cut)
 
 
-def _untrimmed(ref: Column, alt: Column) -> Column:
+def untrimmed(ref: Column, alt: Column) -> Column:
     """Single bases, equal alleles and alleles that differ at both ends stay as they are."""
     single = (F.length(ref) == 1) & (F.length(alt) == 1)
     ends_differ = (F.substring(ref, 1, 1) != F.substring(alt, 1, 1)) & (F.substring(ref, -1, 1) != F.substring(alt, -1, 1))
@@ -36,7 +36,7 @@ def _untrimmed(ref: Column, alt: Column) -> Column:
 
 def trimmed(v: DataFrame, position: str = "pos") -> DataFrame:
     """Replaces ref and alt of ``v`` by the trimmed alleles and adds ``position``, one step a projection."""
-    v = v.withColumn("_go", ~_untrimmed(F.col("ref"), F.col("alt")))
+    v = v.withColumn("_go", ~untrimmed(F.col("ref"), F.col("alt")))
     v = v.withColumn("_lead", F.when(F.col("_go"), common_prefix(F.col("ref"), F.col("alt"))).otherwise(0))
     v = v.withColumns({c: F.substring(F.col(c), F.col("_lead") + 1, F.length(c)) for c in ("ref", "alt")})
     v = v.withColumn("_back", F.when(F.col("_go"), common_suffix(F.col("ref"), F.col("alt"))).otherwise(0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it again: made once, whatever reads it, and columns are pruned."""
+    path = f"{shared_folder(df.sparkSession)}/varloom-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def refuse(found: DataFrame, what: str) -> None:
     """Raises if there is any row, naming a few of them."""
     some = found.limit(5).collect()

@@ -44,6 +44,54 @@ def _finished(v: DataFrame, accession: Column) -> DataFrame:
     )
 
 
+def settled_alleles(rows: DataFrame, accession: Column | None = None) -> Column:
+    """Annotated alleles of (chrom, pos, ref, end_pos, alts, info) in their order, as ``SHOWN`` says; null if any needs a base.
+
+    Alleles stay in their row: each step is one pass over the array, so that no step's
+    result is computed twice, and nothing is exploded, shuffled or joined.
+    """
+    accession = default_accession() if accession is None else accession
+    pos, end_pos, ref, svtype = F.col("pos"), F.col("end_pos"), F.col("ref"), F.col("info.svtype")
+    to = lambda a, f: F.transform(a, lambda x: F.struct(*[v.alias(k) for k, v in f(x).items()]))
+    rest = lambda x, n: F.substring(x, n + 1, F.length(x))
+    go = lambda given: ~A.untrimmed(ref, given)
+    a = to(F.col("alts"), lambda x: {"given": x, "lead": F.when(go(x), A.common_prefix(ref, x)).otherwise(0)})
+    a = to(a, lambda x: {"given": x["given"], "lead": x["lead"], "ref": rest(ref, x["lead"]), "alt": rest(x["given"], x["lead"])})
+    a = to(a, lambda x: {n: x[n] for n in ("given", "lead", "ref", "alt")} | {"back": F.when(go(x["given"]), A.common_suffix(x["ref"], x["alt"])).otherwise(0)})
+    short = lambda x, n: F.substring(x[n], F.lit(1), F.length(x[n]) - x["back"])
+    a = to(a, lambda x: {"given": x["given"], "position": (pos + x["lead"]).cast("long"), "ref": short(x, "ref"), "alt": short(x, "alt")})
+    a = to(a, lambda x: {n: x[n] for n in ("given", "position", "ref", "alt")} | {"category": A.category(x["given"], svtype)})
+    kind = lambda x: A.variant_type(x["given"], svtype, F.length(x["ref"]), F.length(x["alt"]), x["category"])
+    a = to(a, lambda x: {n: x[n] for n in ("position", "ref", "alt", "category")} | {"kind": kind(x)})
+    whole = lambda x: {n: x[n] for n in ("position", "ref", "alt", "category", "kind")}
+    a = to(a, lambda x: whole(x) | {"span": span(pos, end_pos, x["category"], x["kind"], x["position"], x["ref"])})
+    text = F.lit(None).cast("string")
+
+    def shown(x: Column) -> dict[str, Column]:
+        hgvs = hgvs_genomic(accession, x["position"], x["ref"], x["alt"], F.lit(0), F.concat(x["ref"], x["alt"]), text)
+        begin, end = x["span"]["begin"], x["span"]["end"]
+        return {
+            "vid": variant_id(F.col("chrom"), begin, end, x["ref"], x["alt"], x["category"], x["kind"], text), "chromosome": F.col("chrom"),
+            "begin": begin, "end": end, "refAllele": A.shown(x["ref"]), "altAllele": A.shown(x["alt"]), "variantType": x["kind"],
+            "hgvsg": F.when(x["category"] == A.SMALL, hgvs),
+        }
+
+    # the lambda's argument is evaluated once, for the test and for what follows
+    out = F.transform(F.array(a), lambda v: F.when(~F.exists(v, lambda x: (x["ref"] == "") | (x["alt"] == "") | (x["ref"] == "N")), to(v, shown)))
+    return F.get(out, F.lit(0))
+
+
+def default_accession() -> Column:
+    return F.concat(F.lit("NC_"), F.lpad("chrom", 6, "0"), F.lit(".1"))
+
+
+#: What is shown of an annotated variant: columns of ``annotated`` and their names.
+SHOWN = {
+    "vid": "vid", "chrom": "chromosome", "begin": "begin", "end": "end", "ref_allele": "refAllele", "alt_allele": "altAllele",
+    "variant_type": "variantType", "hgvsg": "hgvsg",
+}
+
+
 def annotated(
     variants: DataFrame,
     chunks: DataFrame,
@@ -58,7 +106,7 @@ def annotated(
     variant's place, "anchored" the one before it. ``accession`` names the chromosome in
     HGVS; where it is empty there is none.
     """
-    accession = F.concat(F.lit("NC_"), F.lpad("chrom", 6, "0"), F.lit(".1")) if accession is None else accession
+    accession = default_accession() if accession is None else accession
     v = classified(variants)
     needs = (F.col("ref") == "") | (F.col("alt") == "") | (F.col("ref") == "N")
     text = F.lit(None).cast("string")

@@ -2,46 +2,49 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions.ids import contig
 from varloom.operators.chunks import CHUNK
-from varloom.operators.shared import refuse
-from varloom.plans.annotate import annotated
+from varloom.operators.shared import refuse, stored
+from varloom.plans.annotate import SHOWN, annotated, settled_alleles
 from varloom.sources.bgzf import BgzfText
-from varloom.sources.vcf import infer_assembly, informative, parse_header, parse_lines, scattered_chromosomes, with_alias, with_locus
+from varloom.sources.records import read_vcf
+from varloom.sources.vcf import infer_assembly, informative, parse_lines, read_header, scattered_chromosomes, with_alias, with_locus
 
 
 def annotate_positions(
     lines: DataFrame, chunks: DataFrame, bands: DataFrame, aliases: DataFrame, n_samples: int = 0, size: int = CHUNK
 ) -> DataFrame:
-    """Positions of data lines (value, order) with locus and annotated variants; rows of unknown chromosomes go.
+    """Positions of data lines (value, order) with locus and annotated variants; rows of unknown chromosomes go."""
+    return annotate_records(informative(parse_lines(lines, n_samples)).drop("value", "error"), chunks, bands, aliases, size)
 
-    Alleles are exploded, annotated (only those that need bases meet the genome) and put
-    together again by the line's order, in their order.
+
+def annotate_records(rows: DataFrame, chunks: DataFrame, bands: DataFrame, aliases: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Positions of records (order, chrom, pos, ref, alts, ...) with locus and annotated variants; rows of unknown chromosomes go.
+
+    Rows are annotated where they are and kept in the shared folder. Only those with an
+    allele that needs a base are exploded, meet the genome and are put together again by
+    their order, alleles in their order; all others are never shuffled for it.
     """
-    rows = informative(parse_lines(lines, n_samples))
-    rows = with_alias(rows, aliases).where(F.col("ref_index").isNotNull())
-    rows = rows.withColumn("chromosome", contig(F.col("chrom"))).drop("chrom")
-    v = rows.select(
-        "order", F.col("chromosome").alias("chrom"), "pos", "ref", F.col("info.svtype").alias("svtype"), "end_pos",
-        F.posexplode("alts").alias("k", "alt"),
-    )
+    rows = with_alias(rows, aliases).where(F.col("ref_index").isNotNull()).withColumn("chrom", contig(F.col("chrom")))
+    rows = stored(rows.withColumn("variants", settled_alleles(rows)), "positions")
+    open_rows = rows.where("variants is null").drop("variants")
+    v = open_rows.select("order", "chrom", "pos", "ref", F.col("info.svtype").alias("svtype"), "end_pos", F.posexplode("alts").alias("k", "alt"))
     a = annotated(v, chunks, size=size)
-    shown = F.struct(
-        "vid", F.col("chrom").alias("chromosome"), "begin", "end", F.col("ref_allele").alias("refAllele"),
-        F.col("alt_allele").alias("altAllele"), F.col("variant_type").alias("variantType"), "hgvsg",
-    )
+    shown = F.struct(*[F.col(c).alias(n) for c, n in SHOWN.items()])
     per = a.groupBy("order").agg(F.array_sort(F.collect_list(F.struct("k", shown.alias("v")))).alias("vs"))
     per = per.select("order", F.transform("vs", lambda x: x["v"]).alias("variants"))
-    return with_locus(rows.withColumn("chrom", F.col("chromosome")).drop("value"), bands).join(per, "order")
+    made = rows.where("variants is not null").unionByName(open_rows.join(per, "order"))
+    return with_locus(made.withColumn("chromosome", F.col("chrom")), bands)
 
 
-def json_lines(positions: DataFrame) -> DataFrame:
-    """One JSON object a position: null fields, false flags and empty filters are left out; samples and variants always stay."""
+def json_lines(positions: DataFrame, *more: Column) -> DataFrame:
+    """(order, value, ...) with one JSON object a position: null fields, false flags and empty filters are left out; samples and variants always stay."""
     true_or_null = lambda c: F.when(c, F.lit(True))
     samples = F.transform(
         "samples",
@@ -59,37 +62,60 @@ def json_lines(positions: DataFrame) -> DataFrame:
         F.col("info.fs").alias("fisherStrandBias"), F.col("info.mq").alias("mappingQuality"), F.col("info.info").alias("imputeScore"),
         F.col("info.af").alias("alleleFrequency"), F.col("info.raf").alias("refPanelAlleleFrequency"), "locus", samples.alias("samples"), "variants",
     )
-    return positions.select("order", F.to_json(row).alias("value"))
+    return positions.select("order", F.to_json(row).alias("value"), *more)
 
 
 def write_positions(positions: DataFrame, path: str) -> dict:
-    """Writes gzip JSON lines and returns the counts of positions and variants, taken while writing."""
+    """Writes block-compressed JSON lines in the order of the file and returns the counts of positions and variants, taken while writing.
+
+    Parts are ranges of the order, sorted, so the parts one after the other are the whole, see ``bgzf.joined``.
+    """
+    positions.sparkSession.dataSource.register(BgzfText)
     seen = Observation("positions")
-    observed = positions.observe(seen, F.count(F.lit(1)).alias("positions"), F.coalesce(F.sum(F.size("variants")), F.lit(0)).alias("variants"))
-    json_lines(observed).select("value").write.option("compression", "gzip").text(path)
+    # stored, as ranges are found by reading the rows once more than they are written
+    lines = stored(json_lines(positions, F.size("variants").alias("n")), "lines").repartitionByRange("order").sortWithinPartitions("order")
+    lines = lines.observe(seen, F.count(F.lit(1)).alias("positions"), F.coalesce(F.sum("n"), F.lit(0)).alias("variants"))
+    _write(lines.select("value"), path)
     return seen.get
 
 
+def _write(lines: DataFrame, path: str) -> None:
+    lines.write.format("bgzf").mode("append").save(path)
+
+
+#: Version of the metadata's form.
+SCHEMA = 1
+
+
 def annotate_file(
-    spark: SparkSession, source: str, target: str, chunks: DataFrame, bands: DataFrame, aliases: DataFrame, assembly: str, size: int = CHUNK, **metadata: str
-) -> dict:
-    """A VCF file from header to metadata: <target>_variants, <target>_genes (empty) and <target>_metadata, as JSON lines.
+    spark: SparkSession, source: str, target: str, chunks: DataFrame, bands: DataFrame, aliases: DataFrame, assembly: str, size: int = CHUNK,
+    data_sources: tuple[dict, ...] = (), created: datetime.datetime | None = None, **metadata: str,
+) -> dict:
+    """A VCF file from header to metadata: <target>_variants, <target>_genes (empty) and <target>_metadata, as JSON lines in BGZF parts.
 
-    Raises before anything is written if the header's contigs are those of another assembly
-    or a chromosome comes again after another. Returns the metadata: sample names, counts of
-    positions, variants and skipped rows, and whatever is given.
+    The file is read once: its records are parsed into a table of the shared folder, which
+    the guards and the annotation read. Raises before anything is written under ``target``
+    if the header's contigs are those of another assembly or a chromosome comes again after
+    another. Returns the metadata: samples, what the input is, counts of positions,
+    variants and skipped records, data sources (name, version, ...), and whatever is given.
     """
-    spark.dataSource.register(BgzfText)
-    lines = spark.read.format("bgzf").load(source)
-    header = parse_header([r.value for r in lines.where(F.col("value").startswith("#")).orderBy("order").limit(100_000).collect()])
+    header = read_header(source)
     found = infer_assembly(spark.createDataFrame(header.contigs, "name string, length long")).first().assembly
     if found not in ("unknown", assembly):
         raise ValueError(f"the file is of {found}, not of {assembly}")
-    rows = informative(parse_lines(lines, len(header.samples)))
-    refuse(scattered_chromosomes(rows, "order"), "chromosomes that come again")
+    rows = stored(informative(read_vcf(spark, source)).drop("error"), "records")
+    refuse(scattered_chromosomes(rows.select("order", "chrom"), "order"), "chromosomes that come again")
     skipped = with_alias(rows.select("chrom"), aliases).where("ref_index is null").count()
-    counts = write_positions(annotate_positions(lines, chunks, bands, aliases, len(header.samples), size), f"{target}_variants")
-    made = {"assembly": assembly, "samples": header.samples, **counts, "skippedRecords": skipped, **metadata}
-    spark.createDataFrame([(json.dumps(made),)], "value string").coalesce(1).write.option("compression", "gzip").text(f"{target}_metadata")
-    spark.createDataFrame([], "value string").write.option("compression", "gzip").text(f"{target}_genes")
+    counts = write_positions(annotate_records(rows, chunks, bands, aliases, size), f"{target}_variants")
+    made = {
+        "creationTime": (created or datetime.datetime.now(datetime.UTC)).isoformat(timespec="seconds"), "schemaVersion": SCHEMA, "assembly": assembly,
+        "dataSources": list(data_sources), "samples": header.samples,
+        "input": {
+            "fileName": source.rstrip("/").rsplit("/", 1)[-1], "vcfVersion": header.file_format, "contigs": len(header.contigs),
+            "samples": len(header.samples), "inferredAssembly": found,
+        },
+        "stats": {**counts, "skippedRecords": skipped}, **metadata,
+    }
+    _write(spark.createDataFrame([(json.dumps(made),)], "value string").coalesce(1), f"{target}_metadata")
+    _write(spark.createDataFrame([], "value string"), f"{target}_genes")
     return made

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,11 +15,14 @@ from varloom.functions.text import unescape
 from varloom.operators.cache import binned, numbered, overlaps
 from varloom.operators.chunks import cut_sequences
 from varloom.operators.evaluate import evaluated
+from varloom.operators.shared import shared_folder
 from varloom.operators.transcripts import along_cigar, coding_regions, exon_regions, named_genes, shared_designations, with_introns
 from varloom.plans.annotate import annotated, classified
-from varloom.plans.positions import annotate_positions, json_lines
+from varloom.plans.positions import annotate_positions, annotate_records, json_lines
+from varloom.sources.bgzf import BgzfText
 from varloom.sources.flat import fasta_records, genbank_records, gene_names
 from varloom.sources.gff3 import cigar, features, hierarchy
+from varloom.sources.records import read_vcf
 from varloom.sources.vcf import informative, parse_lines, scattered_chromosomes, with_alias, with_locus
 
 #: Small chunks, so that the short synthetic chromosomes have several.
@@ -76,7 +81,7 @@ def vcf_records(spark, sf_dir):
 
 
 def vcf_samples(spark, sf_dir):
-    r = informative(parse_lines(_lines(spark, sf_dir), 2))
+    r = informative(parse_lines(_lines(spark, sf_dir), 2, columns=("alts", "is_reference", "samples")))
     s = r.select("l_orderkey", "l_linenumber", "alts", F.posexplode("samples").alias("k", "s"))
     return s.select(
         "l_orderkey", "l_linenumber", "k", F.col("s.genotype").alias("genotype"), F.col("s.totalDepth").alias("depth"),
@@ -89,7 +94,7 @@ def vcf_samples(spark, sf_dir):
 def vcf_counters(spark, sf_dir):
     """Positions, alleles and skipped rows; chr25 and GL are unknown here."""
     n = spark.range(25).select(F.concat(F.lit("chr"), "id").alias("name"), F.col("id").cast("int").alias("ref_index"))
-    r = with_alias(informative(parse_lines(_lines(spark, sf_dir), 2)), n)
+    r = with_alias(informative(parse_lines(_lines(spark, sf_dir), 2, columns=("chrom", "alts", "is_reference"))), n)
     known = F.col("ref_index").isNotNull()
     return r.agg(
         F.count_if(known).alias("positions"), F.sum(F.when(known, F.size("alts")).otherwise(0)).alias("variants"), F.count_if(~known).alias("skipped")
@@ -112,6 +117,46 @@ def position_json(spark, sf_dir):
     return j.select(F.col("order.l_orderkey").alias("l_orderkey"), F.col("order.l_linenumber").alias("l_linenumber"), "value")
 
 
+def _written(rows, name):
+    """Folder of the shared one to which the rows' values are written as block-compressed text, a header and two appends."""
+    spark, path = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/varloom-{name}-{uuid.uuid4().hex}"
+    spark.dataSource.register(BgzfText)
+    head = ["##fileformat=VCFv4.2", "#" + "\t".join(("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"))]
+    head = F.array_join(F.array(*[F.lit(x) for x in head]), "\n")
+    # each part is a file of its own with a header, as files of one cohort are
+    parts = rows.withColumn("_part", F.spark_partition_id()).withColumn("_first", F.monotonically_increasing_id() == F.shiftleft(F.col("_part").cast("long"), 33))
+    text = parts.select(F.when(F.col("_first"), F.concat_ws("\n", head, "value")).otherwise(F.col("value")).alias("value"), "half")
+    # whole partitions, so that each file begins with its header
+    for half in (0, 1):
+        text.where(F.col("half") == half).select("value").write.format("bgzf").mode("append").save(path)
+    return path
+
+
+def file_variants(spark, sf_dir):
+    """Variants written as block-compressed files in two appends, read by the ``vcf`` source and annotated as positions."""
+    v = bridge.variants(spark, sf_dir)
+    note = F.concat_ws(";", F.concat(F.lit("END="), "end_pos"), F.concat(F.lit("SVTYPE="), "svtype"))
+    line = F.concat_ws("\t", "chrom", "pos", F.concat_ws(":", "l_orderkey", "l_linenumber"), "ref", "alt", F.lit("."), F.lit("PASS"), note)
+    path = _written(v.select(line.alias("value"), F.pmod(F.spark_partition_id(), F.lit(2)).alias("half")), "variants")
+    rows = informative(read_vcf(spark, path, "order", "chrom", "pos", "id", "ref", "alts", "info", "is_reference", "end_pos"))
+    aliases = spark.range(25).select(F.col("id").cast("string").alias("name"), F.col("id").cast("int").alias("ref_index"))
+    bands = bridge.table_sql(spark, sf_dir, bridge.BANDS_SPARK, "nation")
+    p = annotate_records(rows, _chunks(spark, sf_dir), bands, aliases, SIZE).select("id", F.inline("variants"))
+    part = lambda i, kind: F.split("id", ":")[i].cast(kind)
+    return p.select(
+        part(0, "bigint").alias("l_orderkey"), part(1, "int").alias("l_linenumber"), F.col("chromosome").alias("chrom"), "begin", "end", "vid", "hgvsg",
+        F.col("variantType").alias("variant_type"), F.col("refAllele").alias("ref_allele"), F.col("altAllele").alias("alt_allele"),
+    )
+
+
+def file_places(spark, sf_dir):
+    """Records of one chromosome from a place on: both comparisons are made by the source, and nothing else of a line is parsed."""
+    lines = _lines(spark, sf_dir)
+    path = _written(lines.select("value", F.pmod(F.spark_partition_id(), F.lit(2)).alias("half")), "lines")
+    rows = read_vcf(spark, path, "chrom", "pos", "id").where((F.col("chrom") == "chr7") & (F.col("pos") >= 900))
+    return rows.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("named"))
+
+
 def _exons(spark, sf_dir):
     return bridge.table_sql(spark, sf_dir, bridge.EXONS, "lineitem")
 
@@ -289,6 +334,8 @@ QUERIES = {
     "vcf_counters": vcf_counters,
     "scattered_chromosomes": scattered,
     "position_json": position_json,
+    "file_variants": file_variants,
+    "file_places": file_places,
     "transcript_regions": transcript_regions,
     "coding_spans": coding_spans,
     "cigar_places": cigar_places,

@@ -12,6 +12,7 @@ split by bytes, a line belonging to the split in which it begins.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: The empty block that ends a file (fixed value of the format).
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -28,6 +29,10 @@ SPLIT = 32 << 20
 BLOCK = 0xFF00
 #: Bytes fetched at once, and the greatest size of a block.
 READ, LARGEST = 4 << 20, 1 << 16
+#: Bytes of text that a task packs at once.
+WRITTEN = 1 << 22
+#: Names of parts and of their jobs' marks.
+_PART, _MARK = re.compile(r"part-\d+-([0-9a-f]{32})\.bgz"), re.compile(r"_done-([0-9a-f]{32})")
 #: Lines in a batch.
 ROWS = 4096
 #: A line's order is its split's number times this, plus its number in the split.
@@ -146,7 +151,46 @@ class BgzfText(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
+
+
+def splits_of(target: str, step: int) -> list[Split]:
+    """Splits of a file, or of the files of a folder in order of their names.
+
+    Files that begin with _ or . don't count, nor do parts whose job hasn't left its mark.
+    """
+    from pyarrow import fs
+
+    system, path = _filesystem(target)
+    info = system.get_file_info(path)
+    infos = system.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else [info]
+    done = {m[1] for i in infos if (m := _MARK.fullmatch(i.base_name))}
+    found = []
+    for i in sorted(infos, key=lambda i: i.path):
+        part = _PART.fullmatch(i.base_name)
+        if i.type != fs.FileType.File or i.base_name.startswith(("_", ".")) or part and part[1] not in done:
+            continue
+        if i.size < 2:
+            raise ValueError(f"{i.path} has fewer than two bytes")
+        with system.open_input_file(i.path) as f:
+            head = f.read_at(min(1024, i.size), 0)
+        kind = "bgzf" if block_size(head) else "gzip" if head[:2] == b"\x1f\x8b" else "text"
+        width = i.size if kind == "gzip" else step
+        for lo in range(0, i.size, width):
+            found.append(Split(i.path if "://" not in target else f"{target.partition('://')[0]}://{i.path}", kind, i.size, lo, min(lo + width, i.size), len(found)))
+    return found
+
+
+def open_file(path: str):
+    system, inner = _filesystem(path)
+    return system.open_input_file(inner)
+
+
+def lines_of(f, split: Split, lo: int, hi: int) -> Iterator[bytes]:
+    """Lines of an open file of the split's kind that begin in [lo, hi)."""
+    if split.kind == "bgzf":
+        return lines(f, split.size, lo, hi)
+    return _members(f) if split.kind == "gzip" else _plain(f, split.size, lo, hi)
 
 
 class _Reader(DataSourceReader):
@@ -155,33 +199,13 @@ class _Reader(DataSourceReader):
         self.step = int(options.get("splitBytes", SPLIT))
 
     def partitions(self):
-        from pyarrow import fs
-
-        system, path = _filesystem(self.path)
-        info = system.get_file_info(path)
-        infos = system.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else [info]
-        found = []
-        for i in sorted(infos, key=lambda i: i.path):
-            if i.type != fs.FileType.File or i.base_name.startswith(("_", ".")):
-                continue
-            if i.size < 2:
-                raise ValueError(f"{i.path} has fewer than two bytes")
-            with system.open_input_file(i.path) as f:
-                head = f.read_at(min(1024, i.size), 0)
-            kind = "bgzf" if block_size(head) else "gzip" if head[:2] == b"\x1f\x8b" else "text"
-            step = i.size if kind == "gzip" else self.step
-            for lo in range(0, i.size, step):
-                found.append(Split(i.path, kind, i.size, lo, min(lo + step, i.size), len(found)))
-        return found
+        return splits_of(self.path, self.step)
 
     def read(self, split):
-        system, _ = _filesystem(self.path)
-        with system.open_input_file(split.path) as f:
-            if split.kind == "bgzf":
-                rows = lines(f, split.size, split.lo, split.hi)
-            else:
-                rows = _members(f) if split.kind == "gzip" else _plain(f, split.size, split.lo, split.hi)
-            yield from batches(iter(rows), split.number)
+        if split is None:  # no files
+            return
+        with open_file(split.path) as f:
+            yield from batches(iter(lines_of(f, split, split.lo, split.hi)), split.number)
 
 
 def _members(f) -> Iterator[bytes]:
@@ -238,39 +262,128 @@ class _Part(WriterCommitMessage):
     final: str
 
 
-class _Writer(DataSourceWriter):
-    """Each task writes a file of its own under a temporary name; commit renames those of the tasks that count."""
+class _Writer(DataSourceArrowWriter):
+    """Parts of a job, in the order of its partitions, that count once all are there.
 
-    def __init__(self, options):
-        self.path = options["path"].rstrip("/")
+    Each task attempt writes a file of its own into a folder of the job. ``commit`` moves
+    those of the tasks that count to names with the job's id, so that no job meets another's,
+    and then leaves the job's mark; readers pass over parts without one. So an append adds
+    all its rows or none. Tasks without rows leave no part. In overwrite mode the parts of
+    other jobs go after the mark is there.
+    """
 
-    def write(self, rows):
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite, self.job = options["path"].rstrip("/"), overwrite, uuid.uuid4().hex
+
+    def write(self, batches):
         from pyspark import TaskContext
 
         system, path = _filesystem(self.path)
-        system.create_dir(path, recursive=True)
-        number = TaskContext.get().partitionId()
-        part = _Part(f"{path}/_part-{number:05d}-{uuid.uuid4().hex}", f"{path}/part-{number:05d}.bgz")
-        held = b""
-        with system.open_output_stream(part.temporary) as out:
-            for row in rows:
-                held += (row[0] or "").encode() + b"\n"
-                while len(held) >= BLOCK:
-                    out.write(packed(held[:BLOCK]))
-                    held = held[BLOCK:]
-            if held:
-                out.write(packed(held))
+        folder, number = f"{path}/_job-{self.job}", TaskContext.get().partitionId()
+        part = _Part(f"{folder}/{number:06d}-{uuid.uuid4().hex}", f"{path}/part-{number:06d}-{self.job}.bgz")
+        out, held = None, []
+        size = 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                held.append((text or "").encode())
+                size += len(held[-1]) + 1
+                if size >= WRITTEN:
+                    out = out or self._opened(system, folder, part)
+                    held = [self._packed(out, held)]
+                    size = len(held[0])
+        if held or out:
+            out = out or self._opened(system, folder, part)
+            self._packed(out, held, last=True)
             out.write(END)
-        return part
+            out.close()
+        return part if out else _Part("", "")
+
+    @staticmethod
+    def _opened(system, folder: str, part: _Part):
+        system.create_dir(folder, recursive=True)
+        return system.open_output_stream(part.temporary)
+
+    @staticmethod
+    def _packed(out, held: list[bytes], last: bool = False) -> bytes:
+        """Writes full blocks of the lines; what is left begins the next one and stands as a line without its end."""
+        text = b"\n".join(held) + (b"\n" if last and held else b"")
+        upto = len(text) if last else len(text) // BLOCK * BLOCK
+        for at in range(0, upto, BLOCK):
+            out.write(packed(text[at : min(at + BLOCK, upto)]))
+        return text[upto:]
 
     def commit(self, messages):
-        system, _ = _filesystem(self.path)
+        system, path = _filesystem(self.path)
+        system.create_dir(path, recursive=True)
         for m in messages:
-            if m is not None:
+            if m is not None and m.final:
                 system.move(m.temporary, m.final)
+        with system.open_output_stream(f"{path}/_done-{self.job}") as out:
+            out.write(b"")
+        if self.overwrite:
+            self._drop(system, path, lambda job: job != self.job)
+        self._tidy(system, path)
 
     def abort(self, messages):
-        system, _ = _filesystem(self.path)
-        for m in messages:
-            if m is not None:
-                system.delete_file(m.temporary)
+        system, path = _filesystem(self.path)
+        self._drop(system, path, lambda job: job == self.job)
+        self._tidy(system, path)
+
+    def _tidy(self, system, path):
+        from pyarrow import fs
+
+        folder = f"{path}/_job-{self.job}"
+        if system.get_file_info(folder).type == fs.FileType.Directory:
+            system.delete_dir(folder)
+
+    @staticmethod
+    def _drop(system, path, gone):
+        """Deletes marks, and then parts, of some jobs."""
+        from pyarrow import fs
+
+        names = [i.base_name for i in system.get_file_info(fs.FileSelector(path, allow_not_found=True))]
+        for pattern in (_MARK, _PART):
+            for name in names:
+                if (m := pattern.fullmatch(name)) and gone(m[1]):
+                    system.delete_file(f"{path}/{name}")
+
+
+def joined(spark, folder: str, target: str) -> int:
+    """One file of all parts of a folder in their order, with one end mark; gives its size in bytes.
+
+    Each part is copied by a task of its own to the place where it belongs, so no task reads
+    the whole. For folders of a file system that all executors share and that writes at a
+    given place; in other stores the parts, one after the other, are such a file as well.
+    """
+    import os
+
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError("parts can be joined on a shared file system only")
+    parts = sorted({(s.path, s.size) for s in splits_of(folder, 1 << 62)})
+    places, at = [], 0
+    for path, size in parts:
+        places.append((path, at, size - len(END)))
+        at += size - len(END)
+    target = target.removeprefix("file://")
+    temporary = f"{target}.{uuid.uuid4().hex}"
+    with open(temporary, "wb") as out:
+        out.truncate(at)
+        out.seek(at)
+        out.write(END)
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for path, place, size in zip(b["path"], b["place"], b["size"], strict=True):
+                with open_file(path) as f, open(temporary, "r+b") as out:
+                    out.seek(place)
+                    for lo in range(0, size, READ):
+                        out.write(f.read_at(min(READ, size - lo), lo))
+            yield pd.DataFrame({"n": [len(b)]})
+
+    if places:
+        rows = spark.createDataFrame(places, "path string, place long, size long").repartition(min(len(places), 1000), "path")
+        rows.mapInPandas(run, "n long").agg({"n": "sum"}).collect()
+    os.replace(temporary, target)
+    return at + len(END)

@@ -1,21 +1,16 @@
-"""VCF lines to typed rows, and back to JSON lines."""
+"""VCF headers and rows: what lines say, which chromosomes they are of and where they lie."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varloom.functions.ids import contig
-from varloom.functions.text import all_or_null, strict_double, strict_int
-from varloom.operators.shared import settled
-
-#: Alternative alleles that say nothing (fixed values).
-UNINFORMATIVE = ("*", "<*>", "<M>", "<NON_REF>")
-#: INFO keys that are read (fixed values); others are passed over.
-INFO_KEYS = ("END", "SVTYPE", "SVLEN", "CIPOS", "CIEND", "AF", "RAF", "EVENT", "FS", "MQ", "SB", "INFO", "RU", "REF")
+from varloom.sources.bgzf import splits_of
+from varloom.sources.records import COLUMNS, header_lines, parsed
 
 #: Contig lengths by build, chromosomes 1-22, X, Y (fixed values).
 LENGTHS = {
@@ -63,10 +58,9 @@ def parse_header(lines: list[str]) -> Header:
     return Header(found, contigs, columns[9:])
 
 
-def read_header(spark: SparkSession, path: str) -> Header:
-    """Header of a file in any store; the header lines are few."""
-    lines = spark.read.text(path).where(F.col("value").startswith("#")).limit(100_000)
-    return parse_header([r.value for r in lines.collect()])
+def read_header(path: str) -> Header:
+    """Header of a file, plain or compressed: only its leading lines are read, however many there are."""
+    return parse_header(header_lines(path, splits_of(path, 1 << 62)[0]))
 
 
 def assembly_table(spark: SparkSession) -> DataFrame:
@@ -84,150 +78,16 @@ def infer_assembly(contigs: DataFrame) -> DataFrame:
     return found.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("unknown").alias("assembly"))
 
 
-def _info(tokens: Column, key: str) -> Column:
-    """Value of the last token with this key; null without one."""
-    hits = F.filter(tokens, lambda t: t.startswith(f"{key}="))
-    return F.substring(F.try_element_at(hits, F.lit(-1)), len(key) + 2, 1 << 30)
-
-
-def _pair(x: Column) -> Column:
-    parts = F.split(x, ",", -1)
-    lo, hi = strict_int(F.get(parts, 0), "long"), strict_int(F.get(parts, 1), "long")
-    return F.when((F.size(parts) == 2) & lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
-
-
-def int_list(x: Column, sep: str = ",") -> Column:
-    return all_or_null(F.transform(F.split(x, sep, -1), lambda v: strict_int(v)))
-
-
-def double_list(x: Column) -> Column:
-    return all_or_null(F.transform(F.split(x, ",", -1), lambda v: strict_double(v)))
-
-
-def info_texts(tokens: Column) -> Column:
-    """struct of the last text of each INFO key that annotation uses, and the flag, from the array of parts."""
-    return F.struct(*[_info(tokens, k).alias(k) for k in INFO_KEYS], F.array_contains(tokens, "IMPRECISE").alias("IMPRECISE"))
-
-
-def info(raw: Column) -> Column:
-    """struct of the INFO values; numbers that don't parse are null.
-
-    ``raw`` (see ``info_texts``) should be a column of its own, made once, as values look at their texts several times.
-    """
-    get = lambda k: raw[k]
-    return F.struct(
-        strict_int(get("END"), "long").alias("end"),
-        get("SVTYPE").alias("svtype"),
-        F.abs(strict_int(get("SVLEN"), "long")).alias("svlen"),
-        _pair(get("CIPOS")).alias("cipos"),
-        _pair(get("CIEND")).alias("ciend"),
-        double_list(get("AF")).alias("af"),
-        double_list(get("RAF")).alias("raf"),
-        get("EVENT").alias("event"),
-        strict_double(get("FS")).alias("fs"),
-        strict_double(get("MQ")).alias("mq"),
-        strict_double(get("SB")).alias("sb"),
-        strict_double(get("INFO")).alias("info"),
-        get("RU").alias("ru"),
-        strict_int(get("REF")).alias("ref_count"),
-        get("IMPRECISE").alias("imprecise"),
-    )
-
-
-def frequencies(vf: Column, depths: Column, total: Column, n_alts: Column) -> Column:
-    """The stated frequency of a single allele, else each allele's depth over the total."""
-    every = F.coalesce(total.cast("long"), F.aggregate(depths, F.lit(0).cast("long"), lambda a, d: a + d))
-    from_depths = F.when(
-        (F.size(depths) > 1) & (every > 0),
-        F.transform(F.slice(depths, F.lit(2), F.greatest(F.size(depths) - 1, F.lit(0))), lambda d: d.cast("double") / every.cast("double")),
-    )
-    return F.when(vf.isNotNull() & (n_alts == 1), F.array(vf)).otherwise(from_depths)
-
-
-#: FORMAT keys that are read (fixed values); others are passed over.
-SAMPLE_KEYS = ("GT", "DP", "AD", "GQ", "VF", "CN", "MCN", "REPCN", "FT", "SR", "PR", "DN", "SQ", "DS", "GP", "BC")
-
-
-def samples(values: Column, at: Column, n_alts: Column) -> Column:
-    """array of structs of sample columns, from arrays of their values (null for dots and nothing) and the keys' places (struct, 0 if absent).
-
-    Three steps, each made once: texts by key, parsed values, and what follows from those.
-    A sample of one dot or nothing at all is empty.
-    """
-
-    def texts(v: Column) -> Column:
-        return F.struct(*[F.get(v, (at[k] - 1).cast("int")).alias(k) for k in SAMPLE_KEYS])
-
-    def parsed(t: Column) -> Column:
-        return F.struct(
-            t["GT"].alias("gt"), strict_double(t["VF"]).alias("vf"), strict_int(t["DP"]).alias("dp"), strict_double(t["GQ"]).alias("gq"),
-            strict_int(t["CN"]).alias("cn"), strict_int(t["MCN"]).alias("mcn"), int_list(t["REPCN"], "/").alias("repcn"),
-            int_list(t["AD"]).alias("ad"), F.coalesce(t["FT"] != "PASS", F.lit(False)).alias("failed"), int_list(t["SR"]).alias("sr"),
-            int_list(t["PR"]).alias("pr"), F.coalesce(t["DN"] == "DeNovo", F.lit(False)).alias("dn"), strict_double(t["SQ"]).alias("sq"),
-            strict_double(t["DS"]).alias("ds"), double_list(t["GP"]).alias("gp"), strict_int(t["BC"]).alias("bc"),
-        )
-
-    def finished(p: Column) -> Column:
-        loss = (p["mcn"] == 0) & (p["cn"] >= 2) & p["gt"].isin("1/2", "1|2")
-        return F.struct(
-            p["gt"].alias("genotype"), frequencies(p["vf"], p["ad"], p["dp"], n_alts).alias("variantFrequencies"), p["dp"].alias("totalDepth"),
-            p["gq"].alias("genotypeQuality"), p["cn"].alias("copyNumber"), p["mcn"].alias("minorHaplotypeCopyNumber"),
-            p["repcn"].alias("repeatUnitCounts"), p["ad"].alias("alleleDepths"), p["failed"].alias("failedFilter"),
-            p["sr"].alias("splitReadCounts"), p["pr"].alias("pairedEndReadCounts"), p["dn"].alias("isDeNovo"),
-            F.coalesce(loss, F.lit(False)).alias("lossOfHeterozygosity"), p["sq"].alias("somaticQuality"), p["gt"].isNull().alias("isEmpty"),
-            p["ds"].alias("genotypeDosage"), p["gp"].alias("genotypePosteriors"), p["bc"].alias("binCount"),
-        )
-
-    return F.transform(F.transform(F.transform(values, texts), parsed), finished)
-
-
-def parse_lines(lines: DataFrame, n_samples: int = 0, strict: bool = True) -> DataFrame:
-    """Typed rows of data lines (value, and whatever else is there).
+def parse_lines(lines: DataFrame, n_samples: int = 0, strict: bool = True, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
+    """Typed rows of data lines (value, and whatever else is there), with those of a record's columns that are named.
 
-    Adds chrom, pos, id, ref, alts (informative ones), quality, filters, info, is_reference,
-    end_pos, samples and error. Lines with too few columns, a bad place or another number
-    of samples have an error; ``strict`` raises it. Reference records skip the sample check.
+    Columns: chrom, pos, id, ref, alts (informative ones), quality, filters, info,
+    is_reference, end_pos, samples and error. Lines with too few columns, a bad place or
+    another number of samples have an error; ``strict`` raises it. Reference records skip
+    the sample check. A sample of one dot or nothing at all is empty. Null lines are left out.
     """
-    least = 9 if n_samples else 8
-    d = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).withColumn("_c", F.split("value", "\t", -1))
-    d = settled(d, "_c")  # split once, whatever filters follow
-    col = lambda i: F.get(F.col("_c"), i)
-    alts = F.split(col(4), ",", -1)
-    d = d.withColumns({"_alts": F.filter(alts, lambda a: ~a.isin(*UNINFORMATIVE)), "_ref": F.coalesce(col(4).isin(".", "<NON_REF>"), F.lit(False))})
-    pos = strict_int(col(1), "long")
-    count = F.greatest(F.size("_c") - 9, F.lit(0))
-    # lines without sample columns are taken as having no samples
-    wrong = ~F.col("_ref") & (F.lit(n_samples) > 0) & (count > 0) & (count != n_samples)
-    d = d.withColumn(
-        "error",
-        F.when(F.size("_c") < least, F.concat(F.lit("fewer columns than "), F.lit(str(least))))
-        .when(pos.isNull(), F.concat(F.lit("bad position "), F.coalesce(col(1), F.lit(""))))
-        .when(wrong, F.concat(F.lit("samples: "), count.cast("string"))),
-    )
-    if strict:
-        # a filter, as a column nobody reads would not be computed
-        d = d.where(F.coalesce(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")), F.lit(True)))
-    d = d.withColumns({"_tokens": F.split(F.coalesce(col(7), F.lit("")), ";", -1), "pos": pos, "ref": col(3)})
-    d = settled(d.withColumn("_raw", info_texts(F.col("_tokens"))).drop("_tokens"), "_raw")
-    d = d.withColumn("_info", info(F.col("_raw")))
-    texts = F.slice(F.col("_c"), F.lit(10), F.when(F.col("_ref"), F.lit(0)).otherwise(count))
-    keys = F.split(F.coalesce(col(8), F.lit("")), ":", -1)
-    n_alts = F.size("_alts")
-    present = lambda t: F.transform(F.split(t, ":", -1), lambda x: F.when(~x.isin(".", ""), x))
-    d = d.withColumns({"_keys": keys, "_values": F.transform(texts, present)})
-    d = d.withColumn("_at", F.struct(*[F.array_position("_keys", k).alias(k) for k in SAMPLE_KEYS]))
-    out = {
-        "chrom": col(0),
-        "id": F.when(col(2) != ".", col(2)),
-        "alts": F.col("_alts"),
-        "quality": strict_double(col(5)),
-        "filters": F.when(col(6).isin(".", ""), F.array().cast("array<string>")).otherwise(F.split(col(6), ";", -1)),
-        "info": F.col("_info"),
-        "is_reference": F.col("_ref"),
-        "end_pos": F.coalesce(F.col("_info.end"), F.col("pos") + F.length("ref") - 1),
-        "samples": samples(F.col("_values"), F.col("_at"), n_alts),
-    }
-    return d.withColumns(out).drop("_c", "_alts", "_ref", "_info", "_raw", "_keys", "_values", "_at")
+    data = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    return parsed(data, n_samples, columns, strict)
 
 
 def informative(rows: DataFrame) -> DataFrame:
