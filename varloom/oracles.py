@@ -131,7 +131,7 @@ ORACLES = {
     "variant_type_counts": _TRIM + "select category, variant_type, count(*) as n from k group by all",
     "annotate_variants": _ANNOTATE.replace("{place}", "position") + _COLUMNS,
     "file_variants": _ANNOTATE.replace("{place}", "position") + _COLUMNS,
-    "file_places": _LINES + "select pos, count(*) as n, count(id) as named from p where chrom = 'chr7' and pos >= 900 group by pos",
+    "file_places": _LINES + "select pos, count(*) as n, count(id) as named from p where chrom = 'chr7' and pos >= 200 group by pos",
     "annotate_variants_anchored": _ANNOTATE.replace("{place}", "(position - 1)") + "select l_orderkey, l_linenumber, vid from o",
     "band_locus": f"""with r as ({GENOME_DUCK}), v as ({variants_sql("varchar")}), b as ({BANDS_DUCK})
 select l_orderkey, l_linenumber, v.chrom, pos, b.name as locus from v left join b on v.chrom = b.chrom and pos between b.begin and b."end" """,

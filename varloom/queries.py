@@ -153,7 +153,7 @@ def file_places(spark, sf_dir):
     """Records of one chromosome from a place on: both comparisons are made by the source, and nothing else of a line is parsed."""
     lines = _lines(spark, sf_dir)
     path = _written(lines.select("value", F.pmod(F.spark_partition_id(), F.lit(2)).alias("half")), "lines")
-    rows = read_vcf(spark, path, "chrom", "pos", "id").where((F.col("chrom") == "chr7") & (F.col("pos") >= 900))
+    rows = read_vcf(spark, path, "chrom", "pos", "id").where((F.col("chrom") == "chr7") & (F.col("pos") >= 200))
     return rows.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("named"))
 
 
