@@ -34,7 +34,7 @@ def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
     def run(batches):
         held = [b for b in batches]
         if held:
-            some = pd.concat(held).sort_values("doc_id", kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+            some = pd.concat(held).sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
             yield pd.DataFrame({"model": [pickle.dumps(fit(some))]})
 
     # only the sampled rows move

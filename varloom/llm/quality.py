@@ -79,52 +79,67 @@ def _scaled(row: np.ndarray, r: np.ndarray, n: int, floor: float) -> np.ndarray:
     return r / np.maximum(norm, floor)[row]
 
 
-def fit(rows: pd.DataFrame, c: float = C) -> dict:
-    """Model of rows (doc_id, text, quality). Without rows of both classes, all scores are the smoothed share of class 1."""
-    y = rows["quality"].to_numpy(dtype=float) > 0
-    n1, n0 = int(y.sum()), int((~y).sum())
-    none = {"features": np.zeros(0, np.int32), "r": np.zeros(0), "w": np.zeros(0), "bias": 0.0, "floor": 1.0}
-    if not n1 or not n0:
-        return none | {"a": 0.0, "b": float(np.log((n1 + 1) / (n0 + 1)))}
-    texts = rows["text"].tolist()
-    yes, no = ngrams.document_counts(texts, y, **HOW)
+def _weighed(counts: tuple[np.ndarray, np.ndarray], n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, log-count ratios) of those features that tell classes apart best, from counts by class."""
+    yes, no = counts
     r = log_ratios(yes, no, n1, n0)
     # rank by how much better than chance a feature's documents are told apart
     worth = np.where(yes + no >= MIN_DOCS, np.abs(r) * np.sqrt(np.minimum(yes + no, n0 + n1 - yes - no)), 0.0)
     best = np.argsort(-worth, kind="stable")[:FEATURES]
     features = np.sort(best[worth[best] > 0]).astype(np.int32)
-    r = r[features]
+    return features, r[features]
+
+
+def _learnt(texts: list, y: np.ndarray, counts: tuple[np.ndarray, np.ndarray], c: float) -> dict:
+    """Features, ratios and weights of texts with labels, from their counts by class; nothing else is known of them."""
+    features, r = _weighed(counts, int(y.sum()), int((~y).sum()))
     offsets, places = ngrams.rows(texts, ngrams.table(features), **HOW)
     row = np.repeat(np.arange(len(y)), np.diff(offsets))
     floor = max(float(np.median(np.sqrt(np.bincount(row, r[places] ** 2, len(y))))), 1e-12)
-    values, sign = _scaled(row, r[places], len(y), floor), np.where(y, 1.0, -1.0)
+    values = _scaled(row, r[places], len(y), floor)
     # every row counts alike: weighing classes would push the bias, and with it short texts, to the rarer class
-    bound = np.full(len(y), c)
+    w, bias = descend(offsets, places, values, np.where(y, 1.0, -1.0), np.full(len(y), c), EPOCHS, len(r))
+    return {"features": features, "r": r, "w": w, "bias": bias, "floor": floor}
+
+
+def _margins(model: dict, texts: list, keep: np.ndarray) -> np.ndarray:
+    d, f = ngrams.indicators(texts, keep=keep, **HOW)
+    values = _scaled(d, model["r"][f], len(texts), model["floor"])
+    return np.bincount(d, model["w"][f] * values, len(texts)) + model["bias"]
+
+
+def out_of_fold(texts: list, y: np.ndarray, c: float = C) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(margins, counts by class): each row's margin is of a model whose ratios, features and weights come from other folds' rows alone."""
     fold = np.arange(len(y)) % FOLDS
+    some = [[t for t, f in zip(texts, fold, strict=True) if f == k] for k in range(FOLDS)]
+    own = [ngrams.document_counts(some[k], y[fold == k], **HOW) for k in range(FOLDS)]
+    # counts of all rows, and of all but a fold's, are sums of the folds'
+    total = tuple(sum(o[i] for o in own) for i in (0, 1))
     margin = np.zeros(len(y))
     for k in range(FOLDS):
-        ins = np.flatnonzero(fold != k)
-        o, p, v = _rows_of(offsets, places, values, ins)
-        w, bias = descend(o, p, v, sign[ins], bound[ins], EPOCHS, len(r))
-        all_m = np.bincount(row, w[places] * values, len(y)) + bias
-        margin[fold == k] = all_m[fold == k]
-    w, bias = descend(offsets, places, values, sign, bound, EPOCHS, len(r))
-    a, b = logistic_curve(margin, sign)
-    return {"features": features, "r": r, "w": w, "bias": bias, "floor": floor, "a": a, "b": b}
+        ins = fold != k
+        if not some[k] or not 0 < int(y[ins].sum()) < int(ins.sum()):
+            continue
+        m = _learnt([t for t, i in zip(texts, ins, strict=True) if i], y[ins], tuple(total[i] - own[k][i] for i in (0, 1)), c)
+        margin[fold == k] = _margins(m, some[k], ngrams.table(m["features"]))
+    return margin, total
 
 
-def _rows_of(offsets, places, values, which):
-    size = np.diff(offsets)[which]
-    o = np.concatenate(([0], np.cumsum(size)))
-    at = np.repeat(offsets[which] - o[:-1], size) + np.arange(o[-1])
-    return o, places[at], values[at]
+def fit(rows: pd.DataFrame, c: float = C) -> dict:
+    """Model of rows (doc_id, text, quality). Without rows of both classes, all scores are the smoothed share of class 1."""
+    y = rows["quality"].to_numpy(dtype=float) > 0
+    n1, n0 = int(y.sum()), int((~y).sum())
+    none = {"features": np.zeros(0, np.int32), "r": np.zeros(0), "w": np.zeros(0), "bias": 0.0, "floor": 1.0}
+    if not n1 or not n0:
+        return none | {"a": 0.0, "b": float(np.log((n1 + 1) / (n0 + 1)))}
+    texts = rows["text"].tolist()
+    margin, counts = out_of_fold(texts, y, c)
+    a, b = logistic_curve(margin, np.where(y, 1.0, -1.0))
+    return _learnt(texts, y, counts, c) | {"a": a, "b": b}
 
 
 def predict(model: dict, texts: list[str | None], keep: np.ndarray) -> np.ndarray:
-    n = len(texts)
-    d, f = ngrams.indicators(texts, keep=keep, **HOW)
-    values = _scaled(d, model["r"][f], n, model["floor"])
-    margin = np.bincount(d, model["w"][f] * values, n) + model["bias"]
+    margin = _margins(model, texts, keep)
     return 1 / (1 + np.exp(-np.clip(model["a"] * margin + model["b"], -30, 30)))
 
 
