@@ -83,31 +83,65 @@ def logistic(offsets, places, before, y, n: int, seed: int = 3) -> tuple[np.ndar
     return w, bias, v
 
 
-def fit(rows: pd.DataFrame) -> dict:
-    """Chain of models of rows (doc_id, text, quality, toxic); a category without both classes gets its smoothed share."""
-    y = _targets(rows)
-    texts = rows["text"].tolist()
+def _chosen_of_all(counts: list, y: np.ndarray) -> np.ndarray:
+    """Features of all categories, from each category's counts over the rows with targets ``y``."""
     chosen = [np.zeros(0, np.int64)]
     for c in range(len(CHAIN)):
         n1 = int(y[:, c].sum())
         if 0 < n1 < len(y):
-            chosen.append(_chosen(*ngrams.document_counts(texts, y[:, c], **HOW), n1, len(y) - n1))
-    features = np.unique(np.concatenate(chosen)).astype(np.int32)
-    offsets, places = ngrams.rows(texts, ngrams.table(features), **HOW)
+            chosen.append(_chosen(*counts[c], n1, len(y) - n1))
+    return np.unique(np.concatenate(chosen)).astype(np.int32)
+
+
+def _picked(offsets: np.ndarray, places: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and places of some rows."""
+    size = np.diff(offsets)[which]
+    o = np.concatenate(([0], np.cumsum(size)))
+    return o, places[np.repeat(offsets[which] - o[:-1], size) + np.arange(o[-1])]
+
+
+def out_of_fold(texts: list, y: np.ndarray) -> tuple[np.ndarray, list]:
+    """(log-odds by category, counts): those of each row by a chain that has learnt, features included, from other folds alone.
+
+    Inside the folds that teach, later links are taught with log-odds that are out of
+    fold there as well, where those folds take turns.
+    """
     fold = np.arange(len(y)) % FOLDS
-    before, links = np.zeros((len(y), 0)), []
-    for c in range(len(CHAIN)):
-        t = y[:, c].astype(float)
-        out = np.zeros(len(y))
-        for k in range(FOLDS if len(y) >= FOLDS else 0):
-            ins = np.flatnonzero(fold != k)
-            size = np.diff(offsets)[ins]
-            o = np.concatenate(([0], np.cumsum(size)))
-            at = np.repeat(offsets[ins] - o[:-1], size) + np.arange(o[-1])
-            m = logistic(o, places[at], before[ins], t[ins], len(features))
-            out = np.where(fold == k, _z(*m, offsets, places, before), out)
-        links.append(logistic(offsets, places, before, t, len(features)))
-        before = np.column_stack([before, np.clip(out, -8, 8)])
+    own = []
+    for k in range(FOLDS):
+        some = [t for t, f in zip(texts, fold, strict=True) if f == k]
+        own.append([ngrams.document_counts(some, y[fold == k, c], **HOW) for c in range(len(CHAIN))])
+    total = [tuple(sum(o[c][i] for o in own) for i in (0, 1)) for c in range(len(CHAIN))]
+    before = np.zeros((len(y), len(CHAIN)))
+    for k in range(FOLDS if len(y) >= FOLDS else 0):
+        features = _chosen_of_all([tuple(total[c][i] - own[k][c][i] for i in (0, 1)) for c in range(len(CHAIN))], y[fold != k])
+        offsets, places = ngrams.rows(texts, ngrams.table(features), **HOW)
+        others, held = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        inner = np.zeros((len(y), 0))
+        for c in range(len(CHAIN)):
+            t, out = y[:, c].astype(float), np.zeros(len(y))
+            for j in (x for x in range(FOLDS) if x != k):
+                ins = np.flatnonzero((fold != k) & (fold != j))
+                m = logistic(*_picked(offsets, places, ins), inner[ins], t[ins], len(features))
+                out = np.where(fold == j, _z(*m, offsets, places, inner), out)
+            m = logistic(*_picked(offsets, places, others), inner[others], t[others], len(features))
+            out[held] = _z(*m, *_picked(offsets, places, held), inner[held])
+            inner = np.column_stack([inner, np.clip(out, -8, 8)])
+        before[held] = inner[held]
+    return before, total
+
+
+def fit(rows: pd.DataFrame) -> dict:
+    """Chain of models of rows (doc_id, text, quality, toxic); a category without both classes gets its smoothed share.
+
+    A link learns from all rows, and sees for each the earlier categories' log-odds that are out of fold.
+    """
+    y = _targets(rows)
+    texts = rows["text"].tolist()
+    before, counts = out_of_fold(texts, y)
+    features = _chosen_of_all(counts, y)
+    offsets, places = ngrams.rows(texts, ngrams.table(features), **HOW)
+    links = [logistic(offsets, places, before[:, :c], y[:, c].astype(float), len(features)) for c in range(len(CHAIN))]
     return {"features": features, "links": links}
 
 
