@@ -36,9 +36,9 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + symbols / F.greatest(size, F.lit(1)).cast("double"))
 
 
-def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    """``-ln(u) / weight``; u in (0, 1) from 48 bits of an md5 of seed and id (null id: empty text)."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def exponential_key(doc_id: Column, text: Column, weight: Column, seed: str = SEED) -> Column:
+    """``-ln(u) / weight``; u in (0, 1) from 48 bits of an md5 of seed, id (null: empty) and the text's md5 (null: that of no text)."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
     return -F.log(u) / weight
 
@@ -78,15 +78,17 @@ def source_targets(totals: DataFrame, share: float = 1.0, cycle: tuple = CYCLE,
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Narrow rows (id, source, size, key) of documents."""
+    """Narrow rows (doc_id, source, size, key, row) of documents; ``row`` numbers them, to tell rows apart that are equal in all else."""
     size = word_count(F.col(text_col))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
+        F.col(text_col).alias("text"),
         F.col(source_col).cast("string").alias("source"),
         size.alias("size"),
         quality_weight(F.col(text_col), size).alias("weight"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    return rows.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), F.col("weight")).alias("key"))
+    return rows.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), F.col("text"), F.col("weight")).alias("key"), "row")
 
 
 def cell(key: Column, cells: int) -> Column:
@@ -114,30 +116,58 @@ def plan_sources(rows: DataFrame, share: float = 1.0) -> tuple[DataFrame, int]:
         .select(F.col("source").alias("e_source"), "e.*")
     )
     e = edge.withColumnRenamed("cell", "e_cell")
+    # rows of one key and id are equal; what is taken of the group in which the budget ends is a number of its rows
     inner = (
         rows.join(e, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("cell") == F.col("e_cell")))
         .groupBy("e_source", "e_cell", "before", "rest", "key", "doc_id")
-        .agg(F.sum("size").alias("size"))
+        .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     )
     in_order = W.partitionBy("e_source").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    middle = F.col("before") + F.sum("size").over(in_order) - F.col("size") / 2
+    start = F.col("before") + F.sum("size").over(in_order) - F.col("size")
+    each = F.col("size").cast("double") / F.col("n")
+    fits = F.floor((F.col("rest") - start) / each + 0.5)
+    n_taken = F.when(each > 0, F.greatest(F.least(fits, F.col("n")), F.lit(0))).when(start <= F.col("rest"), F.col("n")).otherwise(F.lit(0))
     last = (
-        inner.withColumn("middle", middle)
-        .where(F.col("middle") <= F.col("rest"))
+        inner.withColumn("n_taken", n_taken.cast("long"))
+        .where("n_taken > 0")
         .groupBy("e_source")
-        .agg(F.max(F.struct("key", "doc_id")).alias("last"))
+        .agg(F.max(F.struct("key", "doc_id", "n_taken", "n")).alias("last"))
         .select(F.col("e_source").alias("l_source"), "last")
     )
-    plan = t.join(edge.select("e_source", "cell"), F.col("t_source").eqNullSafe(F.col("e_source")), "left").join(
-        last, F.col("t_source").eqNullSafe(F.col("l_source")), "left"
+    last = cut(last)
+    end_row = _row_of(rows, last)
+    plan = (
+        t.join(edge.select("e_source", "cell"), F.col("t_source").eqNullSafe(F.col("e_source")), "left")
+        .join(last, F.col("t_source").eqNullSafe(F.col("l_source")), "left")
+        .join(end_row, F.col("t_source").eqNullSafe(F.col("r_source")), "left")
     )
+    end_key = F.when(F.col("last").isNotNull(), F.struct("last.key", "last.doc_id"))
     return cut(
-        plan.select(
-            "t_source", "source_size", "target", "epochs", F.col("cell").alias("end_cell"), F.col("last").alias("end_key")
-        )
+        plan.select("t_source", "source_size", "target", "epochs", F.col("cell").alias("end_cell"), end_key.alias("end_key"), "end_row")
     ), cells
 
 
+def _row_of(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """(r_source, end_row): the last row to be taken of groups that are taken in part, by the rows' numbers.
+
+    A group may hold very many equal rows, so those of each input partition are counted
+    first, and only the partition in which the number is reached is ranked row by row.
+    """
+    part = F.shiftright(F.col("row"), 33)
+    some = last.where(F.col("last.n_taken") < F.col("last.n")).select(
+        F.col("l_source").alias("r_source"), F.col("last.key").alias("r_key"), F.col("last.doc_id").alias("r_id"), F.col("last.n_taken").alias("wanted")
+    )
+    on = F.col("source").eqNullSafe(F.col("r_source")) & (F.col("key") == F.col("r_key")) & F.col("doc_id").eqNullSafe(F.col("r_id"))
+    equal = rows.join(some, on).select("r_source", "wanted", "row", part.alias("part"))
+    counts = equal.groupBy("r_source", "wanted", "part").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("r_source").orderBy("part").rowsBetween(W.unboundedPreceding, 0))
+    at = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
+    at = at.select(F.col("r_source").alias("a_source"), F.col("part").alias("a_part"), (F.col("wanted") - F.col("upto") + F.col("n")).alias("nth"))
+    near = equal.join(at, F.col("r_source").eqNullSafe(F.col("a_source")) & (F.col("part") == F.col("a_part")))
+    rank = F.row_number().over(W.partitionBy("r_source").orderBy("row"))
+    return near.withColumn("rank", rank).where(F.col("rank") == F.col("nth")).select("r_source", F.col("row").alias("end_row"))
+
+
 def with_copies(rows: DataFrame, plan: DataFrame, cells: int) -> DataFrame:
     """Adds source_size, target and copies (epochs, and one more where the fraction reaches)."""
     here = F.struct("key", "doc_id")
@@ -145,12 +175,13 @@ def with_copies(rows: DataFrame, plan: DataFrame, cells: int) -> DataFrame:
     fraction = (
         F.when(F.col("end_cell").isNull(), F.lit(0))
         .when(at < F.col("end_cell"), F.lit(1))
-        .when((at == F.col("end_cell")) & (here <= F.col("end_key")), F.lit(1))
+        .when((at == F.col("end_cell")) & (here < F.col("end_key")), F.lit(1))
+        .when((at == F.col("end_cell")) & here.eqNullSafe(F.col("end_key")) & (F.col("row") <= F.coalesce("end_row", F.col("row"))), F.lit(1))
         .otherwise(F.lit(0))
     )
     joined = with_line_of(rows, plan, [("source", "t_source")])
     return joined.withColumn("copies", F.col("epochs") + F.coalesce(fraction, F.lit(0))).drop(
-        "t_source", "epochs", "end_cell", "end_key"
+        "t_source", "epochs", "end_cell", "end_key", "end_row", "row"
     )
 
 
@@ -158,8 +189,9 @@ def mix(docs: DataFrame, share: float = 1.0) -> DataFrame:
     """Narrow result: doc_id, source, size, source_size, target, copies, taken.
 
     Defined cases: null or blank texts have size 0 and take nothing; a null source is a
-    source of its own, last in order; rows that repeat an id share its key and are taken
-    or left together; an empty table gives an empty result; further columns of ``docs``
+    source of its own, last in order; rows that repeat an id, or have none, get keys of
+    their own by their texts; of rows that are equal in id and text as many are taken as
+    come near the target; an empty table gives an empty result; further columns of ``docs``
     are ignored.
     """
     rows = cut(sized(docs))
@@ -178,20 +210,22 @@ def mix(docs: DataFrame, share: float = 1.0) -> DataFrame:
 def mixed_documents(docs: DataFrame, share: float = 1.0) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it (documents without words never).
 
-    The decision is one line for each source, so whole texts stay where they are.
+    The decision is one line for each source, so whole texts stay where they are. Rows are
+    read twice and numbered as they come, so ``docs`` should be a stored table.
     """
     rows = cut(sized(docs))
     plan, cells = plan_sources(rows, share)
     names = docs.columns
     size = word_count(F.col("text"))
-    wide = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"))
+    wide = docs.select(F.struct(*[F.col(c) for c in names]).alias("whole"))
     wide = wide.select(
-        "row",
-        F.col("row.doc_id").alias("doc_id"),
-        F.col("row.source").cast("string").alias("source"),
-        word_count(F.col("row.text")).alias("size"),
+        "whole",
+        F.col("whole.doc_id").alias("doc_id"),
+        F.col("whole.source").cast("string").alias("source"),
+        word_count(F.col("whole.text")).alias("size"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    key = exponential_key(F.col("doc_id"), quality_weight(F.col("row.text"), F.col("size")))
+    key = exponential_key(F.col("doc_id"), F.col("whole.text"), quality_weight(F.col("whole.text"), F.col("size")))
     wide = with_copies(wide.withColumn("key", key), plan, cells).where((F.col("size") > 0) & (F.col("copies") > 0))
-    repeated = wide.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return repeated.select([F.col("row").getField(c).alias(c) for c in names])
+    repeated = wide.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return repeated.select([F.col("whole").getField(c).alias(c) for c in names])

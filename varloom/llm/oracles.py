@@ -6,14 +6,14 @@ from varloom.llm.licenses import TEMPLATES, TOKEN
 
 OP2 = r"""
 with sized as (
-  select doc_id, source, n as size, 1.0::double / (1.0::double + sym::double / greatest(n, 1)::double) as weight
-  from (select doc_id, source,
+  select doc_id, source, mark, n as size, 1.0::double / (1.0::double + sym::double / greatest(n, 1)::double) as weight
+  from (select doc_id, source, md5(coalesce(text, '')) as mark,
           coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as n,
           coalesce(len(regexp_extract_all(text, '[#*$%&|<>!]')), 0) as sym
         from documents)),
 keyed as (
   select doc_id, source, size,
-    -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double) / weight as key
+    -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '') || ':' || mark), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double) / weight as key
   from sized),
 totals as (select source, sum(size)::bigint as source_size from keyed group by source),
 w as (
@@ -99,7 +99,9 @@ x as (
   select lang, source, 'symbol_rate' as metric, symbol_rate as v from r where not base_failed
   union all select lang, source, 'dup_rate', dup_rate from r where not base_failed
   union all select lang, source, 'repeat_rate', repeat_rate from r where not base_failed
-  union all select lang, source, 'word_length', word_length from r where not base_failed),
+  union all select lang, source, 'word_length', word_length from r where not base_failed
+  union all select lang, source, 'n_dup_lines', n_dup_lines from r where not base_failed
+  union all select lang, source, 'n_repeat_words', n_repeat_words from r where not base_failed),
 c as (
   select lang, source, metric, v - v % (1::bigint << greatest(length(bin(v)) - 7, 0)::bigint) as cell, count(*) as n from x group by all),
 g as (select distinct lang, source, metric from c),
@@ -118,15 +120,17 @@ bl as (select *, ou + lu / lt * 50.0::double + au / at_ * 10.0::double as below,
 q as (
   select lang, source, metric, min(cell) filter (below * 100.0::double >= total * 25.0::double - 1e-6::double) as q1,
     min(cell) filter (below * 100.0::double >= total * 75.0::double - 1e-6::double) as q3,
-    min(cell) filter (below * 100.0::double >= total * 95.0::double - 1e-6::double) as q95 from bl group by all),
+    min(cell) filter (below * 100.0::double >= total * 95.0::double - 1e-6::double) as q95,
+    min(cell) filter (below * 100.0::double >= total * 99.0::double - 1e-6::double) as q99 from bl group by all),
 lim as (
-  select lang, source, max(q3 + 3 * (q3 - q1) + 200) filter (metric = 'symbol_rate') as symbol_max,
+  select lang, source, max(greatest(q3 * 3, floor(sqrt(((q3 + 1) * (q99 + 1))::double))::bigint)) filter (metric = 'symbol_rate') as symbol_max,
+    max(q99) filter (metric = 'n_dup_lines') as dups_max, max(q99) filter (metric = 'n_repeat_words') as repeats_max,
     max(q95 * 3) filter (metric = 'dup_rate') as dup_max, max(q95 * 3) filter (metric = 'repeat_rate') as repeat_max,
     max(q3 + 3 * (q3 - q1) + 100) filter (metric = 'word_length') as length_max,
     max(q1 - 3 * (q3 - q1) - 100) filter (metric = 'word_length') as length_min from q group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and coalesce(symbol_rate <= symbol_max and (dup_rate <= dup_max or n_dup_lines <= 2)
-    and (repeat_rate <= repeat_max or n_repeat_words <= 24) and word_length <= length_max and word_length >= length_min, false) as kept
+  not base_failed and coalesce(symbol_rate <= symbol_max and (dup_rate <= dup_max or n_dup_lines <= dups_max)
+    and (repeat_rate <= repeat_max or n_repeat_words <= repeats_max) and word_length <= length_max and word_length >= length_min, false) as kept
 from r left join lim on lim.lang is not distinct from r.lang and lim.source is not distinct from r.source
 """
 
