@@ -4,8 +4,8 @@ Metrics of every whole text; then, for each language and source, a mergeable qua
 sketch of each metric: counts over log-linear cells (exact below 64, then 64 cells an
 octave, so a quantile is off by 1/64 at most). Sketches of groups add up to those of
 languages and of the corpus; a group too small for quantiles of its own takes those of
-its language or of the corpus. Thresholds are fences around the quartiles, and joining
-them to the documents filters these.
+its language or of the corpus. Thresholds are fences made of a group's quantiles, and
+joining them to the documents filters these.
 """
 
 from __future__ import annotations
@@ -22,13 +22,16 @@ MAX_REPEAT_PCT = 50
 #: Documents of its language, and of the whole corpus, that count in a group's sketch beside its own.
 OF_LANGUAGE, OF_ALL = 50.0, 10.0
 #: Quantiles that fences are made of, in hundredths.
-QUANTILES = (25, 75, 95)
-#: Fences of metrics that spread around a middle: 3 interquartile ranges and a slack beyond the quartiles.
-MIDDLE, RANGES = {"symbol_rate": 200, "word_length": 100}, 3
-#: Fences of metrics that are zero in most documents: this many times the 95th percentile,
-#: and the count that a document may have whatever its length (one repeated opening, two lines).
-TAIL, TIMES = {"repeat_rate": ("n_repeat_words", 24), "dup_rate": ("n_dup_lines", 2)}, 3
-METRICS = (*MIDDLE, *TAIL)
+QUANTILES = (25, 75, 95, 99)
+#: Fence of word length, which spreads around a middle: 3 interquartile ranges and a slack beyond the quartiles.
+MIDDLE, RANGES = {"word_length": 100}, 3
+#: Fences of metrics that are zero in most documents and have a long tail: this many times the 95th percentile of the
+#: rate. A document may also have as many as the 99th percentile of its group's counts, whatever its length.
+TAIL, TIMES = {"repeat_rate": "n_repeat_words", "dup_rate": "n_dup_lines"}, 3
+#: Fences of metrics that are zero but in documents of another kind: between the upper quartile and the 99th percentile
+#: by their geometric mean, and TIMES the upper quartile at least.
+APART = ("symbol_rate",)
+METRICS = (*APART, *MIDDLE, *TAIL)
 
 
 def _windows(w: Column) -> Column:
@@ -105,7 +108,7 @@ def sketch_cell(v: Column) -> Column:
 
 def sketches(d: DataFrame) -> DataFrame:
     """(lang, source, metric, cell, n) of the documents that pass the base rules."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), sketch_cell(F.col(m)).alias("cell")) for m in METRICS])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), sketch_cell(F.col(m)).alias("cell")) for m in (*METRICS, *TAIL.values())])
     return (
         d.where(~F.col("base_failed"))
         .select("lang", "source", F.explode(pairs).alias("x"))
@@ -154,12 +157,19 @@ def quantiles(sketch: DataFrame) -> DataFrame:
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, <metric>_max, word_length_min) of each group."""
     spread = F.col("q75") - F.col("q25")
-    slack = F.coalesce(*[F.when(F.col("metric") == m, F.lit(s)) for m, s in MIDDLE.items()])
-    upper = F.when(F.col("metric").isin(*TAIL), F.col("q95") * TIMES).otherwise(F.col("q75") + spread * RANGES + slack)
+    is_ = lambda *names: F.col("metric").isin(*names)
+    slack = F.coalesce(*[F.when(is_(m), F.lit(s)) for m, s in MIDDLE.items()])
+    between = F.floor(F.sqrt(((F.col("q75") + 1) * (F.col("q99") + 1)).cast("double")))
+    upper = (
+        F.when(is_(*TAIL), F.col("q95") * TIMES)
+        .when(is_(*TAIL.values()), F.col("q99"))
+        .when(is_(*APART), F.greatest(F.col("q75") * TIMES, between))
+        .otherwise(F.col("q75") + spread * RANGES + slack)
+    )
     q = quantiles(sketch).select("lang", "source", "metric", upper.alias("hi"), (F.col("q25") - spread * RANGES - slack).alias("lo"))
     return q.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("hi"))).alias(f"{m}_max") for m in METRICS],
-        F.max(F.when(F.col("metric") == "word_length", F.col("lo"))).alias("word_length_min"),
+        *[F.max(F.when(is_(m), F.col("hi"))).alias(f"{m}_max") for m in (*METRICS, *TAIL.values())],
+        F.max(F.when(is_("word_length"), F.col("lo"))).alias("word_length_min"),
     )
 
 
@@ -167,8 +177,8 @@ def verdicts(d: DataFrame) -> DataFrame:
     """Joins thresholds to documents with metrics and adds kept. One line a group is joined, see ``with_line_of``."""
     t = cut(thresholds(sketches(d)).withColumnsRenamed({"lang": "t_lang", "source": "t_source"}))
     inside = (F.col("symbol_rate") <= F.col("symbol_rate_max")) & F.col("word_length").between(F.col("word_length_min"), F.col("word_length_max"))
-    for m, (count, few) in TAIL.items():
-        inside = inside & ((F.col(count) <= few) | (F.col(m) <= F.col(f"{m}_max")))
+    for m, count in TAIL.items():
+        inside = inside & ((F.col(count) <= F.col(f"{count}_max")) | (F.col(m) <= F.col(f"{m}_max")))
     # groups all of whose documents fail the base rules have no thresholds and need none
     joined = with_line_of(d, t, [("lang", "t_lang"), ("source", "t_source")])
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
