@@ -109,6 +109,39 @@ def test_normalized_names_over_chunk_edges(spark):
         assert got[i] == plain_annotate(seq, p, r, a), (p, r, a)
 
 
+def long_alleles(rng):
+    """A chromosome with long repeats, and alleles of up to 20,000 bases around the edges of 4,096-base chunks."""
+    unit = "".join(rng.choice("ACGT") for _ in range(20_000))
+    seq = "".join(rng.choice("ACGT") for _ in range(9_000)) + unit + unit + unit[:7_000] + "".join(rng.choice("ACGT") for _ in range(25_000))
+    rows = []
+    for i in range(24):
+        p = rng.choice([9_001, 12_280, 16_384, 29_000, 29_001, 40_960, 61_440, 70_000]) + rng.randint(-3, 3)
+        n = rng.choice([600, 5_000, 19_999, 20_000])
+        if i % 3 == 0:
+            r, a = seq[p - 1 : p + n], seq[p - 1]
+        elif i % 3 == 1:
+            r, a = seq[p - 1], seq[p - 1] + seq[p : p + n]
+        else:
+            r, a = seq[p - 1], seq[p - 1] + "".join(rng.choice("ACGT") for _ in range(n))
+        rows.append((i, "1", p, r, a, None, p + len(r) - 1))
+    return seq, rows
+
+
+def test_alleles_longer_than_chunks_and_margins(spark):
+    """Names of long alleles near chunk edges are those of a run with the chromosome as one chunk, and of single steps."""
+    seq, rows = long_alleles(random.Random(4))
+    v = spark.createDataFrame(rows, "i int, chrom string, pos long, ref string, alt string, svtype string, end_pos long")
+    one = spark.createDataFrame([("1", seq)], "chrom string, seq string")
+    shown = lambda size, margin: {
+        r.i: (r.begin, r.ref_allele, r.alt_allele, r.hgvsg, r.vid) for r in annotated(v, cut_sequences(one, size, margin), F.lit("NC"), size=size).collect()
+    }
+    cut, whole = shown(4_096, 16), shown(1 << 20, 16)
+    assert cut == whole and len(cut) == len(rows)
+    for i, _, p, r, a, _, _ in rows:
+        assert cut[i][:4] == plain_annotate(seq, p, r, a), (p, len(r), len(a))
+    assert {"dup", "del", "ins"} <= {k for k in ("dup", "del", "ins") for x in cut.values() if k in x[3]}
+
+
 def test_identifier_anchors(spark):
     """The base at the place pads an empty allele by default; "anchored" takes the one before."""
     seq = "C" * 98 + "GATCC" + "G" * 50

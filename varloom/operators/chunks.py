@@ -9,11 +9,13 @@ shuffled by the same key; only pure insertions and deletions need the join at al
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.text import common_prefix, common_suffix, head, tail
-from varloom.operators.shared import checkpointed, settled
+from varloom.operators.shared import stored
 
 CHUNK = 1 << 20
 MARGIN = 1 << 13
@@ -81,14 +83,16 @@ def right_shift(allele: Column, downstream: Column) -> Column:
     return common_prefix(downstream, head(F.repeat(allele, times), F.length(downstream)))
 
 
-def left_aligned(v: DataFrame, window: int = 48, size: int = CHUNK) -> DataFrame:
+def left_aligned(v: DataFrame, moves: Column | None = None, window: int = 48) -> DataFrame:
     """Moves pure insertions and deletions (position, ref, alt; lo, seq) left to the fixpoint.
 
     A short window decides nearly all; where the whole window repeats, the bases of the
     chunk up to its margin are compared. ``open_left`` marks rows whose repeat reaches the
-    start of the chunk but not of the chromosome; ``align`` moves these on.
+    start of the chunk but not of the chromosome; ``align`` moves these on. Rows where
+    ``moves`` is false stay.
     """
     indel = ((F.col("ref") == "") != (F.col("alt") == "")) & F.col("seq").isNotNull()
+    indel = indel if moves is None else indel & moves
     v = v.withColumns(
         {
             "_allele": F.when(indel, F.concat("ref", "alt")).otherwise(F.lit("")),
@@ -105,49 +109,82 @@ def left_aligned(v: DataFrame, window: int = 48, size: int = CHUNK) -> DataFrame
     # the allele read from the moved place on: bases before, then the allele itself
     turn = F.col("_shift") % F.greatest(n, F.lit(1))
     turned = F.concat(tail(F.col("_allele"), turn), head(F.col("_allele"), n - turn))
-    v = v.withColumns(
+    return v.withColumns(
         {
-            "open_left": (F.col("_allele") != "") & (F.col("_shift") == F.col("_before")) & (F.col("lo") > 0),
+            "open_left": F.coalesce((F.col("_allele") != "") & (F.col("_shift") == F.col("_before")) & (F.col("lo") > 0), F.lit(False)),
             "position": F.col("position") - F.col("_shift"),
             "ref": F.when(F.col("ref") != "", F.when(F.col("_allele") != "", turned).otherwise(F.col("ref"))).otherwise(F.col("ref")),
             "alt": F.when((F.col("alt") != "") & (F.col("_allele") != ""), turned).otherwise(F.col("alt")),
         }
-    ).drop("_allele", "_before", "_near", "_shift")
-    return settled(v, "position", "ref", "alt", "open_left")
+    ).drop("_before", "_near", "_shift")
+
+
+def with_bases(v: DataFrame) -> DataFrame:
+    """Puts the bases that names need in place of the chunk: at, before, down and open_right in place of lo, seq and length.
+
+    ``at`` and ``before`` are the bases at the place and before it. ``down`` are the bases
+    after an indel that it may rotate over: DOWNSTREAM, or as many as the allele has;
+    ``open_right`` marks rows whose chunk ends before them and before the chromosome does.
+    """
+    lo, seq, start0 = F.col("lo"), F.col("seq"), F.col("position") - 1 + F.length("ref")
+    want = F.when(F.col("_allele") != "", F.greatest(F.length("_allele"), F.lit(DOWNSTREAM)))
+    v = v.withColumns(
+        {
+            "at": bases(lo, seq, F.col("position") - 1, F.lit(1)),
+            "before": bases(lo, seq, F.col("position") - 2, F.lit(1)),
+            "down": F.when(want.isNotNull(), F.coalesce(bases(lo, seq, start0, want), F.lit(""))),
+            "_left": F.least(want.cast("long"), F.col("length") - start0),
+        }
+    )
+    v = v.withColumn("open_right", F.coalesce(F.length("down") < F.col("_left"), F.lit(False)))
+    return v.drop("lo", "seq", "_allele")
+
+
+def widened(rows: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
+    """``rows`` with ``down`` put together from all chunks that it reaches into."""
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "wide")
+    start = F.col("position") + F.length("ref")
+    places = rows.select("_row", "chrom", start.alias("start"), (start + F.col("_left") - 1).alias("end"))
+    found = stretches(places, chunks, size).select(F.col("_row").alias("w_row"), F.col("bases").alias("w_down"))
+    made = rows.join(found, F.col("_row") == F.col("w_row"), "left").withColumn("down", F.coalesce("w_down", "down"))
+    return made.drop("_row", "w_row", "w_down")
 
 
-def align(variants: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
-    """``variants`` (chrom, position, ref, alt, ...) on their chunks, left-aligned.
+def align(variants: DataFrame, chunks: DataFrame, moves: Column | None = None, size: int = CHUNK) -> DataFrame:
+    """``variants`` (chrom, position, ref, alt, ...) left-aligned, with at, before and down (see ``with_bases``).
 
     Rows whose repeat reaches the start of their chunk are joined again to the chunk of
-    their new place, until none is open; each round moves them by the margin at least. The
-    result has lo, seq and length of a chunk that holds the final place. The margin should
-    exceed the longest allele and DOWNSTREAM.
+    their new place, until none is open; each round moves them by the margin at least.
+    Bases beyond the end of a chunk are gathered from the chunks after it, so alleles may
+    be longer than margins and chunks. Each round's rows are stored without their chunk.
     """
-    names = variants.columns
-    done = left_aligned(placed(variants, chunks, size), size=size)
-    still = checkpointed(done.where("open_left").select(*names))
-    if still.isEmpty():
-        return done.drop("open_left")
-    rest = align(still, chunks, size)
-    return done.where("not coalesce(open_left, false)").drop("open_left").unionByName(rest)
+    names, parts, rows = variants.columns, [], variants
+    while True:
+        done = stored(with_bases(left_aligned(placed(rows, chunks, size), moves)), "aligned")
+        parts.append(done.where("not open_left"))
+        rows = done.where("open_left").select(*names)
+        if rows.isEmpty():
+            break
+    met = functools.reduce(DataFrame.unionByName, parts)
+    wide = met.where("open_right")
+    if not wide.isEmpty():
+        met = met.where("not open_right").unionByName(widened(wide, chunks, size))
+    return met.drop("open_left", "open_right", "length", "_left")
 
 
 def rotated(v: DataFrame) -> DataFrame:
-    """Adds shift, turned and upstream for genomic HGVS of normalized variants (position, ref, alt; lo, seq).
+    """Adds shift, turned and upstream for genomic HGVS of normalized variants (position, ref, alt; down).
 
     Indels rotate right as far as the bases after them repeat the allele, DOWNSTREAM bases
     or the allele's length at most; ``upstream`` are as many bases before the new place of
-    an insertion as it has, null where the chromosome starts before.
+    an insertion as it has. Where it rotates by less than its length it isn't repeated
+    there (it would have moved further left), and ``upstream`` is null.
     """
-    lo, seq = F.col("lo"), F.col("seq")
+    indel = (F.col("ref") == "") != (F.col("alt") == "")
+    v = v.withColumn("_allele", F.when(indel, F.concat("ref", "alt")).otherwise(F.lit("")))
     n = F.length("_allele")
-    v = v.withColumn("_allele", F.when((F.col("ref") == "") != (F.col("alt") == ""), F.concat("ref", "alt")).otherwise(F.lit("")))
-    start0 = F.col("position") - 1 + F.length("ref")
-    v = v.withColumn("_down", F.when(F.col("_allele") != "", bases(lo, seq, start0, F.greatest(n, F.lit(DOWNSTREAM)))))
-    v = v.withColumn("shift", F.when(F.col("_down").isNotNull(), right_shift(F.col("_allele"), F.col("_down"))).otherwise(F.lit(0)))
+    v = v.withColumn("shift", F.when(F.col("down").isNotNull(), right_shift(F.col("_allele"), F.col("down"))).otherwise(F.lit(0)))
     turn = F.col("shift") % F.greatest(n, F.lit(1))
     v = v.withColumn("turned", F.concat(F.substring(F.col("_allele"), turn + 1, n), head(F.col("_allele"), turn)))
-    at0 = F.col("position") + F.col("shift") - 1 - n
-    v = v.withColumn("upstream", F.when((F.col("ref") == "") & (F.col("_allele") != "") & (at0 >= 0), bases(lo, seq, at0, n)))
-    return v.drop("_allele", "_down")
+    repeats = (F.col("ref") == "") & (n > 0) & (F.col("shift") >= n)
+    return v.withColumn("upstream", F.when(repeats, F.substring(F.col("down"), F.col("shift") - n + 1, n))).drop("_allele")

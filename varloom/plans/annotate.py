@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import alleles as A
 from varloom.functions.naming import hgvs_genomic, span, variant_id
-from varloom.operators.chunks import CHUNK, align, bases, placed, rotated
+from varloom.operators.chunks import CHUNK, align, rotated
 from varloom.operators.shared import settled
 
 
@@ -115,11 +115,8 @@ def annotated(
     rows = v.where(needs)
     names = rows.columns
     # only small variants move left; the others just need a base
-    small = align(rows.where(F.col("category") == A.SMALL), chunks, size)
-    others = placed(rows.where(F.col("category") != A.SMALL), chunks, size)
-    met = small.unionByName(others)
-    offset = {"compat": 1, "anchored": 2}[vid_anchor]
-    met = met.withColumn("base", bases(F.col("lo"), F.col("seq"), F.col("position") - offset, F.lit(1)))
+    met = align(rows, chunks, F.col("category") == A.SMALL, size)
+    met = met.withColumn("base", F.col({"compat": "at", "anchored": "before"}[vid_anchor]))
     looked_up = _finished(rotated(met), accession)
     keep = [*names, "begin", "end", "vid", "hgvsg", "ref_allele", "alt_allele"]
     return direct.select(*keep).unionByName(looked_up.select(*keep))
