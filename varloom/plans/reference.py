@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,9 +52,41 @@ def write_reference(rows: DataFrame, sequences: DataFrame, bands: DataFrame, mir
     mirna.join(key.select("accession", "chrom"), "accession").write.mode("overwrite").parquet(f"{path}/mirna")
 
 
-def verified(path: str, rows: DataFrame) -> bool:
-    """Whether the written chunks hold as many bases as each chromosome has."""
+def digests(chunks: DataFrame) -> DataFrame:
+    """(chrom, chunks, bases, digest): an order-free digest of a chromosome's chunks (chrom, chunk, lo, seq), margins included.
+
+    Each chunk is hashed where it is; sums of the hashes combine before the shuffle.
+    """
+    one = F.xxhash64("chunk", "lo", "seq").cast("decimal(20,0)")
+    return chunks.groupBy("chrom").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.col("lo") + F.length("seq")).alias("bases"), F.sum(one).alias("digest"))
+
+
+def verified(path: str, rows: DataFrame, sequences: DataFrame | None = None, size: int = CHUNK, margin: int = MARGIN) -> bool:
+    """Whether the written chunks hold as many bases as each chromosome has and, with ``sequences``, the same bases."""
     spark = rows.sparkSession
-    c = spark.read.parquet(f"{path}/chunks").groupBy("ref_index").agg(F.max(F.col("lo") + F.length("seq")).alias("end"))
-    off = rows.select("ref_index", "bases").join(c, "ref_index", "left").where(~F.col("bases").eqNullSafe(F.col("end")))
-    return off.isEmpty()
+    found = digests(spark.read.parquet(f"{path}/chunks"))
+    key = rows.select(F.col("refseq").alias("accession"), F.col("ensembl").alias("chrom"), "bases")
+    off = key.join(found.withColumnsRenamed({"bases": "end"}), "chrom", "left").where(~F.col("bases").eqNullSafe(F.col("end")))
+    if sequences is None or not off.isEmpty():
+        return off.isEmpty()
+    given = digests(cut_sequences(sequences.join(key, "accession").select("chrom", "seq"), size, margin))
+    same = given.select(F.col("chrom").alias("g_chrom"), F.col("chunks").alias("g_chunks"), F.col("digest").alias("g_digest"))
+    met = found.join(same, F.col("chrom") == F.col("g_chrom"), "full")
+    return met.where(~F.col("digest").eqNullSafe(F.col("g_digest")) | ~F.col("chunks").eqNullSafe(F.col("g_chunks"))).isEmpty()
+
+
+def reference_chunks(spark: SparkSession, path: str, chroms: DataFrame | list[str] | None = None) -> DataFrame:
+    """The written chunks, or those of ``chroms``: names, or rows (chrom) whose distinct names in the reference are looked up.
+
+    No other chromosome's files are opened. The names that reach the driver are those of
+    the reference's own chromosomes.
+    """
+    chunks = spark.read.parquet(f"{path}/chunks")
+    if chroms is None:
+        return chunks
+    rows = spark.read.parquet(f"{path}/chromosomes").select(F.col("ensembl").alias("chrom"), "ref_index")
+    if isinstance(chroms, DataFrame):
+        rows = rows.join(chroms.select("chrom").distinct(), "chrom", "left_semi")
+    else:
+        rows = rows.where(F.col("chrom").isin(*chroms))
+    return chunks.where(F.col("ref_index").isin([r.ref_index for r in rows.collect()]))
