@@ -66,6 +66,12 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(v, "chrom", "pos", "ref", "svtype", "end_pos", "alt")
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, l_linenumber, chrom, pos of the variants; what their alleles need is left out of the plan."""
+    views(spark, sf_dir, "lineitem", "nation")
+    return spark.sql(f"with r as ({GENOME_SPARK}) {variants_sql('string')}").select("l_orderkey", "l_linenumber", "chrom", "pos")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """l_orderkey, l_linenumber, value."""
     return settled(table_sql(spark, sf_dir, lines_sql("string"), "lineitem"), "value")

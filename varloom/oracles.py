@@ -132,6 +132,7 @@ ORACLES = {
     "annotate_variants": _ANNOTATE.replace("{place}", "position") + _COLUMNS,
     "file_variants": _ANNOTATE.replace("{place}", "position") + _COLUMNS,
     "file_places": _LINES + "select pos, count(*) as n, count(id) as named from p where chrom = 'chr7' and pos >= 200 group by pos",
+    "annotate_over_chunks": _ANNOTATE.replace("{place}", "position") + 'select l_orderkey, l_linenumber, "begin", "end", vid, hgvsg from o',
     "annotate_variants_anchored": _ANNOTATE.replace("{place}", "(position - 1)") + "select l_orderkey, l_linenumber, vid from o",
     "band_locus": f"""with r as ({GENOME_DUCK}), v as ({variants_sql("varchar")}), b as ({BANDS_DUCK})
 select l_orderkey, l_linenumber, v.chrom, pos, b.name as locus from v left join b on v.chrom = b.chrom and pos between b.begin and b."end" """,
@@ -201,6 +202,9 @@ select a.id, count(*) as n, cast(sum(b.id) as bigint) as ids from a join b on a.
 select chrom, cast(g.i as int) as bin, count(*) as n from b, range(0, 60) g(i) where g.i between (start - 1) >> 20 and ("end" - 1) >> 20 group by 1, 2""",
     "genome_chunks": f"""with r as ({GENOME_DUCK}), c as (select chrom, seq, cast(i as int) as chunk, greatest(i * 256 - 640, 0) as lo, least((i + 1) * 256 + 640, 2048) as hi from r, range(0, 8) t(i))
 select chrom, chunk, cast(lo as bigint) as lo, md5(seq[lo + 1:hi]) as sum, cast(2048 as bigint) as length from c""",
+    "pruned_reference": f"""with r as ({GENOME_DUCK}), c as (select chrom, seq, cast(i as int) as chunk, greatest(i * 256 - 640, 0) as lo, least((i + 1) * 256 + 640, 2048) as hi from r, range(0, 8) t(i)),
+  n as (select cast(n_nationkey as varchar) as name, n_regionkey, cast(row_number() over (order by n_nationkey) - 1 as int) as ref_index from nation)
+select chrom, chunk, cast(lo as bigint) as lo, md5(seq[lo + 1:hi]) as sum, ref_index from c join n on chrom = name where n_regionkey in (1, 3)""",
     "scalar_ids": """with c as (select c_custkey as k, c_name, sha256(c_name) as h, 'ENSG' || lpad(c_custkey::varchar, 11, '0') as st from customer)
 select k as c_custkey, ('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::bigint as sha_id, k as number,
   case when k % 25 = 24 then case when k % 3 = 0 then 'MT' else 'M' end else (k % 25)::varchar end as contig, 'a,' || k || ';b%' as note,

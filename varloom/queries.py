@@ -19,6 +19,7 @@ from varloom.operators.shared import shared_folder
 from varloom.operators.transcripts import along_cigar, coding_regions, exon_regions, named_genes, shared_designations, with_introns
 from varloom.plans.annotate import annotated, classified
 from varloom.plans.positions import annotate_positions, annotate_records, json_lines
+from varloom.plans.reference import chromosomes, reference_chunks, write_reference
 from varloom.sources.bgzf import BgzfText
 from varloom.sources.flat import fasta_records, genbank_records, gene_names
 from varloom.sources.gff3 import cigar, features, hierarchy
@@ -60,8 +61,14 @@ def annotate_variants_anchored(spark, sf_dir):
     return v.select("l_orderkey", "l_linenumber", "vid")
 
 
+def annotate_over_chunks(spark, sf_dir):
+    """The same names over chunks so short that what an indel may rotate over is gathered from ten of them."""
+    v = annotated(bridge.variants(spark, sf_dir), cut_sequences(bridge.genome(spark, sf_dir), 64, 16), size=64)
+    return v.select("l_orderkey", "l_linenumber", "begin", "end", "vid", "hgvsg")
+
+
 def band_locus(spark, sf_dir):
-    v = bridge.variants(spark, sf_dir).select("l_orderkey", "l_linenumber", "chrom", "pos")
+    v = bridge.places(spark, sf_dir)
     return with_locus(v, bridge.table_sql(spark, sf_dir, bridge.BANDS_SPARK, "nation"))
 
 
@@ -181,7 +188,7 @@ def cigar_places(spark, sf_dir):
 
 
 def translated(spark, sf_dir):
-    v = bridge.variants(spark, sf_dir).select("l_orderkey", "l_linenumber", "chrom", "pos")
+    v = bridge.places(spark, sf_dir)
     v = v.join(bridge.genome(spark, sf_dir), "chrom")
     bases = F.substring(F.col("seq"), F.col("pos").cast("int"), (20 + F.col("l_orderkey") % 14).cast("int"))
     mt = F.col("chrom") == "24"
@@ -250,6 +257,21 @@ def genome_chunks(spark, sf_dir):
     return _chunks(spark, sf_dir).select("chrom", "chunk", "lo", F.md5("seq").alias("sum"), "length")
 
 
+def pruned_reference(spark, sf_dir):
+    """Chunks of the chromosomes of two regions, out of a reference that is built, written and opened for these alone."""
+    report = bridge.table_sql(
+        spark, sf_dir, "select cast(n_nationkey as string) as refseq, cast(n_nationkey as string) as ensembl, '' as genbank, '' as ucsc, "
+        "cast(2048 as bigint) as length, n_nationkey as line from nation", "nation",
+    )
+    sequences = bridge.genome(spark, sf_dir).withColumnRenamed("chrom", "accession")
+    mirna = bridge.table_sql(spark, sf_dir, "select cast(n_nationkey as string) as accession, cast(5 as bigint) as begin, cast(9 as bigint) as end from nation", "nation")
+    path = f"{shared_folder(spark)}/varloom-reference-{uuid.uuid4().hex}"
+    bands = bridge.table_sql(spark, sf_dir, bridge.BANDS_SPARK, "nation")
+    write_reference(chromosomes(report, sequences, "line"), sequences, bands, mirna, path, SIZE, MARGIN)
+    wanted = bridge.table_sql(spark, sf_dir, "select cast(n_nationkey as string) as chrom from nation where n_regionkey in (1, 3)", "nation")
+    return reference_chunks(spark, path, wanted).select("chrom", "chunk", "lo", F.md5("seq").alias("sum"), "ref_index")
+
+
 def scalar_ids(spark, sf_dir):
     c = bridge.table_sql(spark, sf_dir, "select c_custkey, c_name from customer", "customer")
     k = F.col("c_custkey")
@@ -328,6 +350,7 @@ QUERIES = {
     "variant_type_counts": variant_type_counts,
     "annotate_variants": annotate_variants,
     "annotate_variants_anchored": annotate_variants_anchored,
+    "annotate_over_chunks": annotate_over_chunks,
     "band_locus": band_locus,
     "vcf_records": vcf_records,
     "vcf_samples": vcf_samples,
@@ -347,6 +370,7 @@ QUERIES = {
     "span_overlaps": span_overlaps,
     "span_bins": span_bins,
     "genome_chunks": genome_chunks,
+    "pruned_reference": pruned_reference,
     "scalar_ids": scalar_ids,
     "gff3_models": gff3_models,
     "gene_name_joins": gene_name_joins,
