@@ -33,6 +33,7 @@ READ, LARGEST = 4 << 20, 1 << 16
 WRITTEN = 1 << 22
 #: Names of parts and of their jobs' marks.
 _PART, _MARK = re.compile(r"part-\d+-([0-9a-f]{32})\.bgz"), re.compile(r"_done-([0-9a-f]{32})")
+_VOID = re.compile(r"_void-([0-9a-f]{32})")
 #: Lines in a batch.
 ROWS = 4096
 #: A line's order is its split's number times this, plus its number in the split.
@@ -270,6 +271,10 @@ class _Writer(DataSourceArrowWriter):
     and then leaves the job's mark; readers pass over parts without one. So an append adds
     all its rows or none. Tasks without rows leave no part. In overwrite mode the parts of
     other jobs go after the mark is there.
+
+    Tasks may still run when their job is ended: ``abort`` leaves a mark that the job is
+    void, and a task that sees it drops what it has begun. What a task that was killed in
+    between has left goes with the next job that is committed.
     """
 
     def __init__(self, options, overwrite: bool):
@@ -279,8 +284,8 @@ class _Writer(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         system, path = _filesystem(self.path)
-        folder, number = f"{path}/_job-{self.job}", TaskContext.get().partitionId()
-        part = _Part(f"{folder}/{number:06d}-{uuid.uuid4().hex}", f"{path}/part-{number:06d}-{self.job}.bgz")
+        number = TaskContext.get().partitionId()
+        part = _Part(f"{path}/_job-{self.job}/{number:06d}-{uuid.uuid4().hex}", f"{path}/part-{number:06d}-{self.job}.bgz")
         out, held = None, []
         size = 0
         for b in batches:
@@ -288,20 +293,33 @@ class _Writer(DataSourceArrowWriter):
                 held.append((text or "").encode())
                 size += len(held[-1]) + 1
                 if size >= WRITTEN:
-                    out = out or self._opened(system, folder, part)
+                    out = out or self._opened(system, path, part)
                     held = [self._packed(out, held)]
                     size = len(held[0])
         if held or out:
-            out = out or self._opened(system, folder, part)
+            out = out or self._opened(system, path, part)
             self._packed(out, held, last=True)
             out.write(END)
             out.close()
         return part if out else _Part("", "")
 
-    @staticmethod
-    def _opened(system, folder: str, part: _Part):
-        system.create_dir(folder, recursive=True)
-        return system.open_output_stream(part.temporary)
+    def _opened(self, system, path: str, part: _Part):
+        self._refuse_void(system, path)
+        system.create_dir(f"{path}/_job-{self.job}", recursive=True)
+        out = system.open_output_stream(part.temporary)
+        try:
+            self._refuse_void(system, path)
+        except ValueError:
+            out.close()
+            self._tidy(system, path, self.job)
+            raise
+        return out
+
+    def _refuse_void(self, system, path: str) -> None:
+        from pyarrow import fs
+
+        if system.get_file_info(f"{path}/_void-{self.job}").type != fs.FileType.NotFound:
+            raise ValueError(f"job {self.job} was ended")
 
     @staticmethod
     def _packed(out, held: list[bytes], last: bool = False) -> bytes:
@@ -313,6 +331,8 @@ class _Writer(DataSourceArrowWriter):
         return text[upto:]
 
     def commit(self, messages):
+        from pyarrow import fs
+
         system, path = _filesystem(self.path)
         system.create_dir(path, recursive=True)
         for m in messages:
@@ -322,17 +342,25 @@ class _Writer(DataSourceArrowWriter):
             out.write(b"")
         if self.overwrite:
             self._drop(system, path, lambda job: job != self.job)
-        self._tidy(system, path)
+        self._tidy(system, path, self.job)
+        for i in system.get_file_info(fs.FileSelector(path)):
+            if m := _VOID.fullmatch(i.base_name):
+                self._tidy(system, path, m[1])
+                system.delete_file(i.path)
 
     def abort(self, messages):
         system, path = _filesystem(self.path)
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/_void-{self.job}") as out:
+            out.write(b"")
         self._drop(system, path, lambda job: job == self.job)
-        self._tidy(system, path)
+        self._tidy(system, path, self.job)
 
-    def _tidy(self, system, path):
+    @staticmethod
+    def _tidy(system, path, job):
         from pyarrow import fs
 
-        folder = f"{path}/_job-{self.job}"
+        folder = f"{path}/_job-{job}"
         if system.get_file_info(folder).type == fs.FileType.Directory:
             system.delete_dir(folder)
 
