@@ -7,18 +7,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varloom.functions.ids import bins
+from varloom.operators.shared import stored
 
 
 def numbered(rows: DataFrame, group: str, values: list[str], order: list[str], first_seen: str | None = None) -> DataFrame:
     """Distinct values of each group with an index from 0 in the given order, ties by first appearance.
 
-    Values are made distinct before the window, which then holds a chromosome's distinct values.
+    ``order``, or with ``first_seen`` the order and that, must tell the values of a group
+    apart. They are sorted in ranges and stored once; an index is the place in its range and
+    what earlier ranges hold of the group, so no task holds a whole group.
     """
     if first_seen is None:
-        d = rows.select(group, *values).distinct()
-        return d.withColumn("index", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1)
-    d = rows.groupBy(group, *values).agg(F.min(first_seen).alias("_first"))
-    return d.withColumn("index", F.row_number().over(W.partitionBy(group).orderBy(*order, "_first")) - 1).drop("_first")
+        d, by = rows.select(group, *values).distinct(), order
+    else:
+        d, by = rows.groupBy(group, *values).agg(F.min(first_seen).alias("_first")), [*order, "_first"]
+    # an id is the range's number and the place in the range
+    d = d.repartitionByRange(group, *by).sortWithinPartitions(group, *by).select(group, *values, F.monotonically_increasing_id().alias("_id"))
+    d = stored(d, "numbered").withColumn("_range", F.shiftright("_id", 33))
+    parts = d.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_of")).agg(F.min("_id").alias("_begin"), F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("_group").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    met = d.join(parts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    return met.select(group, *values, (F.col("_id") - F.col("_begin") + F.col("_before")).alias("index"))
 
 
 def binned(intervals: DataFrame) -> DataFrame:

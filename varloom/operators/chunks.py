@@ -35,6 +35,25 @@ def cut_sequences(sequences: DataFrame, size: int = CHUNK, margin: int = MARGIN)
     )
 
 
+def cut_pieces(pieces: DataFrame, size: int = CHUNK, margin: int = MARGIN) -> DataFrame:
+    """The chunks of ``cut_sequences`` from pieces (chrom, place, piece, length); ``place`` counts from 0, ``length`` is the chromosome's.
+
+    A piece gives each chunk that it reaches its part, so no row is longer than a piece or a chunk with its margins.
+    """
+    end = F.col("place") + F.length("piece")
+    first = F.expr(f"cast(greatest(place - {margin}, 0) div {size} as int)")
+    last = F.expr(f"cast(least(greatest(place + length(piece) - 1 + {margin}, 0), greatest(length - 1, 0)) div {size} as int)")
+    p = pieces.select("chrom", "place", "piece", "length", F.explode(F.sequence(first, F.greatest(first, last))).alias("chunk"))
+    at = F.col("chunk").cast("long") * size
+    lo = F.greatest(at - margin, F.lit(0))
+    begin = F.greatest(lo, F.col("place"))
+    n = F.least(at + (size + margin), F.col("length"), end) - begin
+    part = F.substring(F.col("piece"), (begin - F.col("place") + 1).cast("int"), n.cast("int"))
+    p = p.where((n > 0) | (F.col("length") == 0)).select("chrom", "chunk", lo.alias("lo"), "length", F.struct(begin.alias("at"), part.alias("part")).alias("part"))
+    seq = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["part"]), "")
+    return p.groupBy("chrom", "chunk", "lo", "length").agg(seq.alias("seq")).select("chrom", "chunk", "lo", "seq", "length")
+
+
 def chunk_of(position: Column, size: int = CHUNK) -> Column:
     """Chunk of a 1-based position."""
     return F.floor((F.greatest(position, F.lit(1)) - 1) / size).cast("int")

@@ -14,6 +14,7 @@ from varloom.plans.models import model_counts, refuse_unresolved, transcript_mod
 from varloom.plans.reference import aliases, chromosomes, reference_chunks, verified, write_reference
 from varloom.sources import flat, gff3
 from varloom.sources.bgzf import BgzfText
+from varloom.sources.fasta import pieces
 
 #: The chromosome that has its own code and whose transcripts take their bases from the reference.
 MITOCHONDRION = "MT"
@@ -34,9 +35,9 @@ def create_reference(
     differ from the report's and a masked Y; afterwards if what is read back has another
     digest than the sequences.
     """
-    sequences = stored(flat.read_fasta(spark, fasta).select("accession", "seq"), "sequences")
-    refuse(sequences.where("accession is null").select(F.length("seq")), "records without an accession")
-    flat.refuse_repeated(sequences, "accession", "accessions")
+    records, sequences = pieces(spark, fasta)
+    refuse(records.where("accession is null").select("record", "length"), "records without an accession")
+    flat.refuse_repeated(records, "accession", "accessions")
     found = flat.report_rows(text_lines(spark, report))
     flat.refuse_repeated(found.where("refseq <> ''"), "refseq", "accessions in the report")
     rows = stored(chromosomes(found, sequences, "order"), "chromosomes")

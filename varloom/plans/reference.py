@@ -6,26 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from varloom.operators.chunks import CHUNK, MARGIN, cut_sequences
+from varloom.operators.chunks import CHUNK, MARGIN, cut_pieces
 
 #: More unknown bases than this on chromosome Y mean a masked sequence (fixed value).
 Y_UNKNOWN = 33_720_001
 
 
+def as_pieces(sequences: DataFrame) -> DataFrame:
+    """(accession, place, piece, length) of pieces, see ``sources.fasta``, or of whole sequences (accession, seq) as one piece each."""
+    if "piece" in sequences.columns:
+        return sequences.select("accession", "place", "piece", "length")
+    return sequences.select("accession", F.lit(0).cast("long").alias("place"), F.col("seq").alias("piece"), F.length("seq").cast("long").alias("length"))
+
+
 def chromosomes(report: DataFrame, sequences: DataFrame, order: str) -> DataFrame:
-    """Report rows that have a sequence (accession, seq), numbered from 0 in report order.
+    """Report rows that have a sequence (whole or in pieces, see ``as_pieces``), numbered from 0 in report order.
 
     Numbering happens over the report's rows, which are few; sequences stay where they are.
     """
-    have = sequences.select(F.col("accession").alias("refseq"), F.length("seq").cast("long").alias("bases"))
+    have = as_pieces(sequences).groupBy(F.col("accession").alias("refseq")).agg(F.max("length").alias("bases"))
     r = report.join(have, "refseq")
     return r.withColumn("ref_index", F.row_number().over(W.orderBy(order)) - 1)
 
 
 def problems(rows: DataFrame, sequences: DataFrame) -> DataFrame:
     """(refseq, problem) of chromosomes with another length than reported and of a masked Y."""
-    unknown = F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit("")))
-    y = rows.join(sequences.select(F.col("accession").alias("refseq"), unknown.alias("unknown")), "refseq")
+    unknown = F.sum(F.length("piece") - F.length(F.replace("piece", F.lit("N"), F.lit(""))))
+    y = rows.join(as_pieces(sequences).groupBy(F.col("accession").alias("refseq")).agg(unknown.alias("unknown")), "refseq")
     problem = F.when(F.col("bases") != F.col("length"), "length").when((F.col("ensembl") == "Y") & (F.col("unknown") > Y_UNKNOWN), "masked Y")
     return y.select("refseq", problem.alias("problem")).where("problem is not null")
 
@@ -44,7 +51,7 @@ def write_reference(rows: DataFrame, sequences: DataFrame, bands: DataFrame, mir
         raise ValueError(", ".join(f"{r.refseq}: {r.problem}" for r in bad))
     rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chromosomes")
     key = rows.select(F.col("refseq").alias("accession"), F.col("ensembl").alias("chrom"), "ref_index")
-    chunks = cut_sequences(sequences.join(key, "accession").select("chrom", "seq"), size, margin)
+    chunks = cut_pieces(as_pieces(sequences).join(key.select("accession", "chrom"), "accession"), size, margin)
     chunks = chunks.join(key.select("chrom", "ref_index"), "chrom")
     chunks.write.mode("overwrite").option("compression", "zstd").partitionBy("ref_index").parquet(f"{path}/chunks")
     # ideograms name chromosomes as the report's first names do
@@ -69,7 +76,7 @@ def verified(path: str, rows: DataFrame, sequences: DataFrame | None = None, siz
     off = key.join(found.withColumnsRenamed({"bases": "end"}), "chrom", "left").where(~F.col("bases").eqNullSafe(F.col("end")))
     if sequences is None or not off.isEmpty():
         return off.isEmpty()
-    given = digests(cut_sequences(sequences.join(key, "accession").select("chrom", "seq"), size, margin))
+    given = digests(cut_pieces(as_pieces(sequences).join(key.select("accession", "chrom"), "accession"), size, margin))
     same = given.select(F.col("chrom").alias("g_chrom"), F.col("chunks").alias("g_chunks"), F.col("digest").alias("g_digest"))
     met = found.join(same, F.col("chrom") == F.col("g_chrom"), "full")
     return met.where(~F.col("digest").eqNullSafe(F.col("g_digest")) | ~F.col("chunks").eqNullSafe(F.col("g_chunks"))).isEmpty()
