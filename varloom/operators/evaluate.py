@@ -36,24 +36,45 @@ def protein_of(bases: bytes, code: str) -> bytes:
     return table[place].tobytes() + (b"X" if len(d) % 3 else b"")
 
 
+#: Comparisons of residues beyond which matches are counted by convolution.
+PLAIN = 1 << 18
+
+
+def matches(long: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Equal residues of ``short`` laid at each place of ``long``.
+
+    Long proteins take a convolution of each common residue's indicators, n log n in all;
+    its sums are whole numbers far below what doubles tell apart.
+    """
+    n, m = len(long), len(short)
+    if (n - m + 1) * m <= PLAIN:
+        return (np.lib.stride_tricks.sliding_window_view(long, m) == short).sum(axis=1)
+    size, total = 1 << n.bit_length(), 0.0
+    for residue in np.intersect1d(long, short):
+        total = total + np.fft.rfft(long == residue, size) * np.conj(np.fft.rfft(short == residue, size))
+    if np.isscalar(total):
+        return np.zeros(n - m + 1, np.int64)
+    return np.rint(np.fft.irfft(total, size)[: n - m + 1]).astype(np.int64)
+
+
 def best_offset(long: bytes, short: bytes) -> int | None:
     """Where ``short`` lies best in ``long`` without gaps, the first place on ties; null if the mean score is too low."""
-    n, m = len(long), len(short)
-    if not m or m > n:
+    m = len(short)
+    if not m or m > len(long):
         return None
-    a, b = np.frombuffer(long, np.uint8), np.frombuffer(short, np.uint8)
-    best, at = -1, 0
-    step = max(1, (1 << 22) // m)
-    windows = np.lib.stride_tricks.sliding_window_view(a, m)
-    for lo in range(0, len(windows), step):
-        same = (windows[lo : lo + step] == b).sum(axis=1)
-        k = int(same.argmax())
-        if same[k] > best:
-            best, at = int(same[k]), lo + k
-    score = best * MATCH + (m - best) * MISMATCH
+    same = matches(np.frombuffer(long, np.uint8), np.frombuffer(short, np.uint8))
+    at = int(same.argmax())
+    score = int(same[at]) * MATCH + (m - int(same[at])) * MISMATCH
     return at if score / m >= ENOUGH else None
 
 
+def agreeing(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    off = np.flatnonzero(np.frombuffer(a, np.uint8)[:n] != np.frombuffer(b, np.uint8)[:n])
+    return int(off[0]) if len(off) else n
+
+
 def _edits(outer: bytes, inner: bytes, offset: int, want_outer: bool) -> list[tuple[int, str]]:
     """Differences of ``inner`` laid at ``offset`` in ``outer``: 1-based place in inner, and the expected residue."""
     n = min(len(inner), len(outer) - offset)
@@ -68,18 +89,9 @@ def slippage(cds: bytes, expected: bytes, got: bytes) -> tuple[int, int] | None:
         return None
     if (expected[1:11] == got[1:11]) == (expected[-11:] == got[-11:]):
         return None
-    head = 1
-    while head < min(len(expected), len(got)) and expected[head] == got[head]:
-        head += 1
-    tail = 0
-    for skip in (1, 2):
-        rest = protein_of(cds[head * 3 + skip :], STANDARD)[::-1] if head * 3 + skip < len(cds) else b""
-        k = 0
-        for x, y in zip(rest, expected[::-1], strict=False):
-            if x != y:
-                break
-            k += 1
-        tail = max(tail, k)
+    head = 1 + agreeing(expected[1:], got[1:])
+    rests = [protein_of(cds[head * 3 + skip :], STANDARD) for skip in (1, 2) if head * 3 + skip < len(cds)]
+    tail = max((agreeing(r[::-1], expected[::-1]) for r in rests), default=0)
     return head * 3 + 1, min(max(len(cds) - head * 3 - tail * 3, 0), 255)
 
 

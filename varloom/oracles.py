@@ -223,4 +223,11 @@ from customer left join n on n.key = (c_custkey % 1000)::varchar""",
     "genbank_regions": """select 'NM_' || s_suppkey || '.1' as id, cast(s_suppkey + case when s_suppkey % 2 = 0 then 1 else 2 end as int) as start,
   cast(s_suppkey + case when s_suppkey % 2 = 0 then 300 else 200 end as int) as "end", cast(s_suppkey % 3 + 1 as int) as codon_start
 from supplier where s_suppkey % 5 <> 0""",
+    "fasta_pieces": """with r as (select 'D' || doc_id as accession, upper(regexp_replace(text, '[^A-Za-z]+', '', 'g')) as seq from documents where text is not null),
+c as (select accession, seq, unnest(range(0, (greatest(length(seq), 1) - 1) // 1024 + 1)) as i from r)
+select accession, cast(i as int) as chunk, cast(greatest(i * 1024 - 100, 0) as bigint) as lo, md5(seq[greatest(i * 1024 - 100, 0) + 1:least((i + 1) * 1024 + 100, length(seq))]) as sum,
+  cast(length(seq) as bigint) as length from c""",
+    "streamed_counts": _LINES
+    + """select chrom, count(*) filter (k) as positions, cast(sum(case when k then len(alts) else 0 end) as bigint) as variants, count(*) filter (not k) as skipped
+from (select *, chrom in (select 'chr' || i from range(0, 20) t(i)) as k from p where not is_reference and len(alts) > 0) group by 1""",
 }

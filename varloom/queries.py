@@ -13,7 +13,7 @@ from varloom.functions.codons import translate
 from varloom.functions.ids import after_colon, bin_of, contig, ensembl_number, fingerprint_id, gene_flags, release_date, transcript_flags, versioned
 from varloom.functions.text import unescape
 from varloom.operators.cache import binned, numbered, overlaps
-from varloom.operators.chunks import cut_sequences
+from varloom.operators.chunks import cut_pieces, cut_sequences
 from varloom.operators.evaluate import evaluated
 from varloom.operators.shared import shared_folder
 from varloom.operators.transcripts import along_cigar, coding_regions, exon_regions, named_genes, shared_designations, with_introns
@@ -21,10 +21,12 @@ from varloom.plans.annotate import annotated, classified
 from varloom.plans.positions import annotate_positions, annotate_records, json_lines
 from varloom.plans.reference import chromosomes, reference_chunks, write_reference
 from varloom.sources.bgzf import BgzfText
+from varloom.sources.fasta import pieces
 from varloom.sources.flat import fasta_records, genbank_records, gene_names
 from varloom.sources.gff3 import cigar, features, hierarchy
 from varloom.sources.records import read_vcf
 from varloom.sources.vcf import informative, parse_lines, scattered_chromosomes, with_alias, with_locus
+from varloom.streaming.annotate import annotate_stream, stream_counts
 
 #: Small chunks, so that the short synthetic chromosomes have several.
 SIZE, MARGIN = 256, 640
@@ -334,6 +336,34 @@ def fasta_sequences(spark, sf_dir):
     return fasta_records(r).select("accession", "seq")
 
 
+def fasta_pieces(spark, sf_dir):
+    """The letters of all documents written as a block-compressed FASTA folder, read in byte ranges as pieces, and cut into chunks."""
+    r = bridge.table_sql(
+        spark, sf_dir,
+        "select concat('>D', doc_id, ' some words\\n', regexp_replace(regexp_replace(text, '[^A-Za-z]+', ''), '(.{60})', '$1\\n')) as value from documents where text is not null", "documents",
+    )
+    spark.dataSource.register(BgzfText)
+    path = f"{shared_folder(spark)}/varloom-fasta-{uuid.uuid4().hex}"
+    r.write.format("bgzf").mode("append").save(path)
+    _, found = pieces(spark, path, 1 << 20, 1500)
+    # by record, should an accession come twice
+    chunks = cut_pieces(found.withColumn("chrom", F.concat_ws(" ", "record", "accession")), 1024, 100)
+    return chunks.select(F.substring_index("chrom", " ", -1).alias("accession"), "chunk", "lo", F.md5("seq").alias("sum"), "length")
+
+
+def streamed_counts(spark, sf_dir):
+    """Lines written as text files, annotated as a stream of several micro-batches, and what was counted over all of them."""
+    name = f"{shared_folder(spark)}/varloom-stream-{uuid.uuid4().hex}"
+    _lines(spark, sf_dir).select("value").repartition(3).write.text(f"{name}/in")
+    aliases = spark.range(20).select(F.concat(F.lit("chr"), "id").alias("name"), F.col("id").cast("int").alias("ref_index"))
+    bands = bridge.table_sql(spark, sf_dir, bridge.BANDS_SPARK, "nation")
+    run = annotate_stream(
+        spark, f"{name}/in", f"{name}/out", f"{name}/progress", _chunks(spark, sf_dir), bands, aliases, 2, SIZE, options={"maxFilesPerTrigger": "2"}
+    )
+    run.awaitTermination()
+    return stream_counts(spark, f"{name}/out")
+
+
 def genbank_regions(spark, sf_dir):
     r = bridge.table_sql(
         spark, sf_dir,
@@ -376,4 +406,6 @@ QUERIES = {
     "gene_name_joins": gene_name_joins,
     "fasta_sequences": fasta_sequences,
     "genbank_regions": genbank_regions,
+    "fasta_pieces": fasta_pieces,
+    "streamed_counts": streamed_counts,
 }
