@@ -36,7 +36,7 @@ def test_pieces_make_the_sequences_of_whole_records(spark, tmp_path, kind, split
     path.write_bytes({"gzip": gzip.compress(text), "bgzf": blocks}.get(kind, text))
     records, found = pieces(spark, str(path), split, 100)
     assert [(r.record, r.accession, r.length) for r in records.orderBy("record").collect()] == [(i + 1, n, len(s)) for i, (n, s) in enumerate(_records())]
-    rows = found.collect()
+    rows = found.join(records, "record").collect()
     assert max(len(r.piece) for r in rows) <= 100
     made = {n: "" for n, _ in _records()}
     for r in sorted(rows, key=lambda r: (r.record, r.place, len(r.piece))):
@@ -48,11 +48,11 @@ def test_pieces_make_the_sequences_of_whole_records(spark, tmp_path, kind, split
 def test_chunks_of_pieces_are_those_of_whole_sequences(spark, tmp_path):
     (tmp_path / "x.fa").write_bytes(_text(70))
     whole = read_fasta(spark, str(tmp_path / "x.fa")).withColumnRenamed("accession", "chrom")
-    _, found = pieces(spark, str(tmp_path / "x.fa"), 333, 90)
-    found = found.withColumnRenamed("accession", "chrom")
+    records, found = pieces(spark, str(tmp_path / "x.fa"), 333, 90)
+    lines = records.select("record", F.col("accession").alias("chrom"), "length")
     columns = ["chrom", "chunk", "lo", "seq", "length"]
     for size, margin in ((64, 16), (256, 640), (100, 0), (1 << 20, 1 << 13)):
-        want, got = (sorted(map(tuple, d.select(columns).collect())) for d in (cut_sequences(whole, size, margin), cut_pieces(found, size, margin)))
+        want, got = (sorted(map(tuple, d.select(columns).collect())) for d in (cut_sequences(whole, size, margin), cut_pieces(found, lines, size, margin, "record")))
         assert got == want
 
 
@@ -64,9 +64,9 @@ def test_bases_without_a_header_and_several_files(spark, tmp_path):
     folder.mkdir()
     (folder / "a.fa").write_text(">a\nACGT\nAC\n")
     (folder / "b.fa").write_text("\n>b\nGG\n")
-    _, found = pieces(spark, str(folder), 4)
+    records, found = pieces(spark, str(folder), 4)
     got = {}
-    for r in sorted(found.collect(), key=lambda r: (r.record, r.place, len(r.piece))):
+    for r in sorted(found.join(records, "record").collect(), key=lambda r: (r.record, r.place, len(r.piece))):
         got[r.accession] = got.get(r.accession, "") + r.piece
     assert got == {"a": "ACGTAC", "b": "GG"}
 

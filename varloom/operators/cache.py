@@ -26,7 +26,8 @@ def numbered(rows: DataFrame, group: str, values: list[str], order: list[str], f
     d = stored(d, "numbered").withColumn("_range", F.shiftright("_id", 33))
     parts = d.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_of")).agg(F.min("_id").alias("_begin"), F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy("_group").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    # stored, so that these lines, one for each group of a range, are known to be few before the values are shuffled to meet them
+    parts = stored(parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))), "ranges")
     met = d.join(parts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
     return met.select(group, *values, (F.col("_id") - F.col("_begin") + F.col("_before")).alias("index"))
 

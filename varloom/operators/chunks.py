@@ -35,23 +35,27 @@ def cut_sequences(sequences: DataFrame, size: int = CHUNK, margin: int = MARGIN)
     )
 
 
-def cut_pieces(pieces: DataFrame, size: int = CHUNK, margin: int = MARGIN) -> DataFrame:
-    """The chunks of ``cut_sequences`` from pieces (chrom, place, piece, length); ``place`` counts from 0, ``length`` is the chromosome's.
+def cut_pieces(pieces: DataFrame, lengths: DataFrame, size: int = CHUNK, margin: int = MARGIN, key: str = "chrom") -> DataFrame:
+    """The chunks of ``cut_sequences`` from pieces (key, place, piece), ``place`` from 0, and one line a sequence (key, length, ...).
 
-    A piece gives each chunk that it reaches its part, so no row is longer than a piece or a chunk with its margins.
+    A piece gives each chunk that it reaches its part, and a sequence each of its chunks a
+    line with its other columns, so that pieces are shuffled once and joined with nothing;
+    no row is longer than a piece or a chunk with its margins. Pieces without a line go.
     """
-    end = F.col("place") + F.length("piece")
-    first = F.expr(f"cast(greatest(place - {margin}, 0) div {size} as int)")
-    last = F.expr(f"cast(least(greatest(place + length(piece) - 1 + {margin}, 0), greatest(length - 1, 0)) div {size} as int)")
-    p = pieces.select("chrom", "place", "piece", "length", F.explode(F.sequence(first, F.greatest(first, last))).alias("chunk"))
+    more = [c for c in lengths.columns if c not in (key, "length")]
+    first, last = (F.expr(f"cast(greatest({x}, 0) div {size} as int)") for x in (f"place - {margin}", f"place + length(piece) - 1 + {margin}"))
+    p = pieces.where(F.length("piece") > 0).select(key, "place", "piece", F.explode(F.sequence(first, last)).alias("chunk"))
     at = F.col("chunk").cast("long") * size
     lo = F.greatest(at - margin, F.lit(0))
     begin = F.greatest(lo, F.col("place"))
-    n = F.least(at + (size + margin), F.col("length"), end) - begin
-    part = F.substring(F.col("piece"), (begin - F.col("place") + 1).cast("int"), n.cast("int"))
-    p = p.where((n > 0) | (F.col("length") == 0)).select("chrom", "chunk", lo.alias("lo"), "length", F.struct(begin.alias("at"), part.alias("part")).alias("part"))
+    n = F.least(at + (size + margin), F.col("place") + F.length("piece")) - begin
+    part = F.struct(begin.alias("at"), F.substring(F.col("piece"), (begin - F.col("place") + 1).cast("int"), n.cast("int")).alias("part"))
+    line = F.struct("length", *more)
+    whole = lengths.select(key, F.explode(F.sequence(F.lit(0), F.expr(f"cast(greatest(length - 1, 0) div {size} as int)"))).alias("chunk"), line.alias("line"))
+    both = p.select(key, "chunk", part.alias("part")).unionByName(whole, allowMissingColumns=True)
     seq = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["part"]), "")
-    return p.groupBy("chrom", "chunk", "lo", "length").agg(seq.alias("seq")).select("chrom", "chunk", "lo", "seq", "length")
+    met = both.groupBy(key, "chunk").agg(F.first("line", ignorenulls=True).alias("line"), seq.alias("seq")).where("line is not null")
+    return met.select(key, *[f"line.{c}" for c in more], "chunk", lo.alias("lo"), "seq", "line.length")
 
 
 def chunk_of(position: Column, size: int = CHUNK) -> Column:

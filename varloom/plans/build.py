@@ -35,12 +35,13 @@ def create_reference(
     differ from the report's and a masked Y; afterwards if what is read back has another
     digest than the sequences.
     """
-    records, sequences = pieces(spark, fasta)
+    records, found = pieces(spark, fasta)
+    sequences = found.join(records.select("record", "accession"), "record").drop("record")
     refuse(records.where("accession is null").select("record", "length"), "records without an accession")
     flat.refuse_repeated(records, "accession", "accessions")
-    found = flat.report_rows(text_lines(spark, report))
-    flat.refuse_repeated(found.where("refseq <> ''"), "refseq", "accessions in the report")
-    rows = stored(chromosomes(found, sequences, "order"), "chromosomes")
+    listed = flat.report_rows(text_lines(spark, report))
+    flat.refuse_repeated(listed.where("refseq <> ''"), "refseq", "accessions in the report")
+    rows = stored(chromosomes(listed, sequences, "order"), "chromosomes")
     if rows.isEmpty():
         raise ValueError("no sequence is in the report")
     write_reference(rows, sequences, flat.band_rows(text_lines(spark, bands)), flat.mirna_rows(text_lines(spark, mirna)), path, size, margin)

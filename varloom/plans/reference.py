@@ -13,10 +13,10 @@ Y_UNKNOWN = 33_720_001
 
 
 def as_pieces(sequences: DataFrame) -> DataFrame:
-    """(accession, place, piece, length) of pieces, see ``sources.fasta``, or of whole sequences (accession, seq) as one piece each."""
+    """(accession, place, piece) of pieces, see ``sources.fasta``, or of whole sequences (accession, seq) as one piece each."""
     if "piece" in sequences.columns:
-        return sequences.select("accession", "place", "piece", "length")
-    return sequences.select("accession", F.lit(0).cast("long").alias("place"), F.col("seq").alias("piece"), F.length("seq").cast("long").alias("length"))
+        return sequences.select("accession", "place", "piece")
+    return sequences.select("accession", F.lit(0).cast("long").alias("place"), F.col("seq").alias("piece"))
 
 
 def chromosomes(report: DataFrame, sequences: DataFrame, order: str) -> DataFrame:
@@ -24,7 +24,7 @@ def chromosomes(report: DataFrame, sequences: DataFrame, order: str) -> DataFram
 
     Numbering happens over the report's rows, which are few; sequences stay where they are.
     """
-    have = as_pieces(sequences).groupBy(F.col("accession").alias("refseq")).agg(F.max("length").alias("bases"))
+    have = as_pieces(sequences).groupBy(F.col("accession").alias("refseq")).agg(F.max(F.col("place") + F.length("piece")).alias("bases"))
     r = report.join(have, "refseq")
     return r.withColumn("ref_index", F.row_number().over(W.orderBy(order)) - 1)
 
@@ -50,9 +50,8 @@ def write_reference(rows: DataFrame, sequences: DataFrame, bands: DataFrame, mir
     if bad:
         raise ValueError(", ".join(f"{r.refseq}: {r.problem}" for r in bad))
     rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chromosomes")
-    key = rows.select(F.col("refseq").alias("accession"), F.col("ensembl").alias("chrom"), "ref_index")
-    chunks = cut_pieces(as_pieces(sequences).join(key.select("accession", "chrom"), "accession"), size, margin)
-    chunks = chunks.join(key.select("chrom", "ref_index"), "chrom")
+    key = rows.select(F.col("refseq").alias("accession"), F.col("ensembl").alias("chrom"), "ref_index", F.col("bases").alias("length"))
+    chunks = cut_pieces(as_pieces(sequences), key, size, margin, "accession").drop("accession")
     chunks.write.mode("overwrite").option("compression", "zstd").partitionBy("ref_index").parquet(f"{path}/chunks")
     # ideograms name chromosomes as the report's first names do
     bands.join(key.select("chrom"), "chrom", "left_semi").write.mode("overwrite").parquet(f"{path}/bands")
@@ -76,7 +75,7 @@ def verified(path: str, rows: DataFrame, sequences: DataFrame | None = None, siz
     off = key.join(found.withColumnsRenamed({"bases": "end"}), "chrom", "left").where(~F.col("bases").eqNullSafe(F.col("end")))
     if sequences is None or not off.isEmpty():
         return off.isEmpty()
-    given = digests(cut_pieces(as_pieces(sequences).join(key.select("accession", "chrom"), "accession"), size, margin))
+    given = digests(cut_pieces(as_pieces(sequences), key.withColumnRenamed("bases", "length"), size, margin, "accession"))
     same = given.select(F.col("chrom").alias("g_chrom"), F.col("chunks").alias("g_chunks"), F.col("digest").alias("g_digest"))
     met = found.join(same, F.col("chrom") == F.col("g_chrom"), "full")
     return met.where(~F.col("digest").eqNullSafe(F.col("g_digest")) | ~F.col("chunks").eqNullSafe(F.col("g_chunks"))).isEmpty()

@@ -345,10 +345,9 @@ def fasta_pieces(spark, sf_dir):
     spark.dataSource.register(BgzfText)
     path = f"{shared_folder(spark)}/varloom-fasta-{uuid.uuid4().hex}"
     r.write.format("bgzf").mode("append").save(path)
-    _, found = pieces(spark, path, 1 << 20, 1500)
-    # by record, should an accession come twice
-    chunks = cut_pieces(found.withColumn("chrom", F.concat_ws(" ", "record", "accession")), 1024, 100)
-    return chunks.select(F.substring_index("chrom", " ", -1).alias("accession"), "chunk", "lo", F.md5("seq").alias("sum"), "length")
+    records, found = pieces(spark, path, 1 << 20, 1500)
+    chunks = cut_pieces(found, records.drop("header"), 1024, 100, "record")
+    return chunks.select("accession", "chunk", "lo", F.md5("seq").alias("sum"), "length")
 
 
 def streamed_counts(spark, sf_dir):

@@ -91,7 +91,7 @@ def cut_lines(rows: Iterator[bytes], most: int, first: bool) -> Iterator[tuple[i
 
 
 def pieces(spark: SparkSession, path: str, split_bytes: int = SPLIT, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
-    """(records, pieces) of a FASTA file or folder: (record, accession, header, length) and (record, accession, place, piece, length).
+    """(records, pieces) of a FASTA file or folder: (record, accession, header, length) and (record, place, piece).
 
     Records are numbered from 1 in the order of the files, places count from 0. The file is
     read once, into the shared folder.
@@ -107,11 +107,12 @@ def pieces(spark: SparkSession, path: str, split_bytes: int = SPLIT, piece: int
         F.coalesce(F.sum("last.end").over(earlier), F.lit(0)).alias("bases"),
     )
     since = F.max(F.when(F.col("heads") > 0, F.col("bases"))).over(earlier)
-    ends = ends.select("split", "before", (F.col("bases") - F.coalesce(since, F.lit(0))).alias("carried"))
+    # stored, so that its size is known before pieces are shuffled to meet it
+    ends = stored(ends.select("split", "before", (F.col("bases") - F.coalesce(since, F.lit(0))).alias("carried")), "splits")
     placed = rows.join(ends, "split").select(
         (F.col("record") + F.col("before")).alias("record"), (F.col("place") + F.when(F.col("record") == 0, F.col("carried")).otherwise(0)).alias("place"),
         "header", "piece", "n",
     )
     lengths = placed.groupBy("record").agg(F.sum("n").alias("length"), F.max("header").alias("header"))
     records = stored(lengths.select("record", accession(F.col("header")).alias("accession"), "header", "length"), "records")
-    return records, placed.drop("header", "n").join(records.drop("header"), "record").select("record", "accession", "place", "piece", "length")
+    return records, placed.select("record", "place", "piece")
