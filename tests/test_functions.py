@@ -198,3 +198,34 @@ def test_slip_of_one_base():
     got = protein_of(code.encode()[:297], codons.STANDARD)
     place = slippage(code.encode()[:298], want, got)
     assert place is None or place[0] >= 150
+
+
+def test_coding_regions_are_judged_together_as_each_alone():
+    import random
+
+    from varloom.functions.codons import STANDARD
+    from varloom.operators.evaluate import best_offsets, judged
+
+    r = random.Random(3)
+    pick = lambda n, letters: "".join(r.choices(letters, k=n))
+    rows = []
+    for k in range(400):
+        cdna = pick(r.choice((0, 4, 120, 121, 300)), "ACGTN")
+        start, end = r.choice((0, 1, 2, 10)), r.choice((len(cdna), len(cdna) - 3, len(cdna) + 1))
+        p = protein_of(cdna[max(start - 1, 0) : end].encode(), STANDARD).decode().rstrip("X")
+        other = protein_of(cdna[max(start - 2, 0) : end].encode(), STANDARD).decode()
+        p = r.choice((p, p[3:40], p[:5] + "?" + p[6:], p[::-1], other[1:30], "", pick(70, STANDARD)))
+        rows.append((cdna, start, end, p, k % 7 == 0, k % 5 == 0))
+    one = [judge(*x) for x in rows]
+    assert judged(rows) == one and judged([]) == []
+    assert {"perfect", "contained", "edits", "unresolvable"} <= {x["outcome"] for x in one}
+    pairs = [(pick(90, "AC").encode(), pick(r.choice((0, 30, 90, 91)), "A" * 12 + "C").encode()) for _ in range(200)]
+    pairs += [(long, long[7:67]) for long, _ in pairs]
+    assert best_offsets(pairs) == [best_offset(*x) for x in pairs]
+
+
+def test_translation_of_odd_texts(spark):
+    rows = [(1, None, False), (2, "", True), (3, "ATAa", True), (4, "auaTG", None), (5, "éAAATG", False), (6, "ATéATGc", True)]
+    d = spark.createDataFrame(rows, "k int, s string, mt boolean").coalesce(1)
+    got = {x.k: x.p for x in d.select("k", codons.translate(F.col("s"), F.col("mt")).alias("p")).collect()}
+    assert got == {1: None, 2: "", 3: "MX", 4: "IX", 5: "XM", 6: "XMX"}

@@ -1,20 +1,23 @@
 """Translated coding regions held against the expected proteins.
 
-Nearly all agree at once, which an expression decides; only the rest goes to Python,
-where each is aligned with numpy in Arrow batches.
+Rows go to Python once, in Arrow batches: a batch is translated as a whole, and those of
+its proteins that don't agree at once are aligned with numpy, those of equal lengths together.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from varloom.functions.codons import STANDARD, is_selenoprotein, mitochondrial, translate, without_trailing_x
+from varloom.functions.codons import STANDARD, is_selenoprotein, residues
 
 #: Alignment scores and the mean score that is enough (fixed values).
 MATCH, MISMATCH, ENOUGH = 15, -7, 10.0
@@ -95,79 +98,123 @@ def slippage(cds: bytes, expected: bytes, got: bytes) -> tuple[int, int] | None:
     return head * 3 + 1, min(max(len(cds) - head * 3 - tail * 3, 0), 255)
 
 
+def best_offsets(pairs: list[tuple[bytes, bytes]]) -> list[int | None]:
+    """``best_offset`` of many (long, short); pairs of the same two lengths are laid on each other together."""
+    out: list[int | None] = [None] * len(pairs)
+    alike = defaultdict(list)
+    for i, (long, short) in enumerate(pairs):
+        if short and len(short) <= len(long):
+            alike[len(long), len(short)].append(i)
+    for (n, m), places in alike.items():
+        if len(places) == 1 or (n - m + 1) * m > PLAIN:
+            for i in places:
+                out[i] = best_offset(*pairs[i])
+            continue
+        step = max(1, PLAIN // n)
+        for first in range(0, len(places), step):
+            some = places[first : first + step]
+            long, short = (np.frombuffer(b"".join(pairs[i][k] for i in some), np.uint8).reshape(len(some), -1) for k in (0, 1))
+            same = np.stack([np.count_nonzero(long[:, k : k + m] == short, axis=1) for k in range(n - m + 1)], axis=1)
+            at = same.argmax(axis=1)
+            top = same[np.arange(len(some)), at]
+            enough = (top * MATCH + (m - top) * MISMATCH) / m >= ENOUGH
+            for k in np.flatnonzero(enough).tolist():
+                out[some[k]] = int(at[k])
+    return out
+
+
+def proteins_of(parts: list[bytes], mt: list[bool]) -> list[bytes]:
+    """``protein_of`` of many coding sequences, without the X at their ends."""
+    length = np.array([len(p) for p in parts], np.int64)
+    out, ends = residues(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(length) - length, length, np.array(mt, np.int64))
+    held = out.tobytes()
+    return [held[a:b].rstrip(b"X") for a, b in pairwise(ends.tolist())]
+
+
 def judge(cdna: str, start: int, end: int, expected: str, mt: bool, seleno: bool) -> dict:
     """Outcome of one coding region: outcome, frame padding, protein offset, edits, slip place and length."""
-    out = {"outcome": "unresolvable", "wrong_frame": False, "padding": 0, "offset": 0, "edits": [], "slip_place": None, "slip_length": None}
-    bases, want = cdna.encode(), expected.encode()
-    code, most = mitochondrial() if mt else STANDARD, SELENO_EDITS if seleno else EDITS
-    if start - 1 >= len(bases) or end > len(bases) or start < 1:
-        return out
-    cds = bases[start - 1 : end]
-    got = protein_of(cds, code).rstrip(b"X")
-    if got == want:
-        return out | {"outcome": "perfect"}
-
-    def fitted(protein: bytes, keep_reverse_offset: bool) -> dict | None:
-        ways = [(want, protein, True)] + ([(protein, want, False)] if len(protein) > len(want) else [])
-        for outer, inner, forward in ways:
-            at = best_offset(outer, inner)
-            if at is None:
-                continue
-            e = _edits(outer, inner, at, forward)
-            if len(e) <= most:
-                return {"outcome": "edits" if e else "contained", "edits": e, "offset": at if forward or keep_reverse_offset else 0}
-        return None
+    return judged([(cdna, start, end, expected, mt, seleno)])[0]
 
-    if found := fitted(got, False):
-        return out | found
-    slip = slippage(cds, want, got)
-    if slip and slip[1] <= 2:
-        return out | {"outcome": "slippage", "slip_place": slip[0], "slip_length": slip[1]}
+
+def judged(rows: list[tuple[str, int, int, str, bool, bool]]) -> list[dict]:
+    """Outcomes of coding regions (cdna, start, end, expected, mt, seleno); each step takes all rows that no step before has settled."""
+    out = [
+        {"outcome": "unresolvable", "wrong_frame": False, "padding": 0, "offset": 0, "edits": [], "slip_place": None, "slip_length": None} for _ in rows
+    ]
+    bases, want = [r[0].encode() for r in rows], [r[3].encode() for r in rows]
+
+    def translations(left: list[int], parts: list[bytes]) -> list[bytes]:
+        return proteins_of(parts, [rows[i][4] for i in left])
+
+    def fitted(left: list[int], proteins: list[bytes], keep_reverse_offset: bool, more: dict) -> list[int]:
+        """Settles rows whose protein fits and returns the others; the shorter of both proteins is laid on the longer."""
+        forward = [len(p) <= len(want[i]) for i, p in zip(left, proteins, strict=True)]
+        ways = [(want[i], p) if f else (p, want[i]) for i, p, f in zip(left, proteins, forward, strict=True)]
+        others = []
+        for i, (outer, inner), f, at in zip(left, ways, forward, best_offsets(ways), strict=True):
+            e = None if at is None else [] if outer[at : at + len(inner)] == inner else _edits(outer, inner, at, f)
+            if e is None or len(e) > (SELENO_EDITS if rows[i][5] else EDITS):
+                others.append(i)
+            else:
+                out[i] |= {"outcome": "edits" if e else "contained", "edits": e, "offset": at if f or keep_reverse_offset else 0, **more}
+        return others
+
+    left = [i for i, (_, start, end, *_) in enumerate(rows) if not (start - 1 >= len(bases[i]) or end > len(bases[i]) or start < 1)]
+    cds = {i: bases[i][rows[i][1] - 1 : rows[i][2]] for i in left}
+    got = dict(zip(left, translations(left, [cds[i] for i in left]), strict=True))
+    for i in left:
+        if got[i] == want[i]:
+            out[i]["outcome"] = "perfect"
+    left = [i for i in left if got[i] != want[i]]
+    left = fitted(left, [got[i] for i in left], False, {})
+    others = []
+    for i in left:
+        slip = slippage(cds[i], want[i], got[i])
+        if slip and slip[1] <= 2:
+            out[i] |= {"outcome": "slippage", "slip_place": slip[0], "slip_length": slip[1]}
+        else:
+            others.append(i)
+    left = others
     for padding in (1, 2):
-        first = start - 1 - padding
-        longer = b"N" * max(-first, 0) + bases[max(first, 0) : end]
-        protein = protein_of(longer, code).rstrip(b"X")
-        if not seleno and b"*" in protein:
-            protein = protein[: protein.index(b"*") + 1]
-        for some in (protein, protein[1:]):
-            if some and (found := fitted(some, True)):
-                return out | found | {"padding": padding, "wrong_frame": True}
+        first = [rows[i][1] - 1 - padding for i in left]
+        longer = [b"N" * max(-k, 0) + bases[i][max(k, 0) : rows[i][2]] for i, k in zip(left, first, strict=True)]
+        found = dict(zip(left, translations(left, longer), strict=True))
+        for i, p in found.items():
+            if not rows[i][5] and b"*" in p:
+                found[i] = p[: p.index(b"*") + 1]
+        for skip in (0, 1):
+            left = fitted(left, [found[i][skip:] for i in left], True, {"padding": padding, "wrong_frame": True})
     return out
 
 
+#: Coding regions that are evaluated together.
+ROWS = 4096
+
+
 def evaluated(coding: DataFrame) -> DataFrame:
     """Adds outcome, wrong_frame, padding, offset, edits, slip_place, slip_length to coding transcripts.
 
     Needs tx, cdna, cdna_start, cdna_end, protein, mt and hgnc_id; other columns are kept.
-    Perfect translations are found by expression; the others alone are sent to Python.
+    Rows go to Python once, in Arrow batches.
     """
-    bases = F.substring(F.col("cdna"), F.col("cdna_start"), F.col("cdna_end") - F.col("cdna_start") + 1)
-    inside = (F.col("cdna_start") >= 1) & (F.col("cdna_end") <= F.length("cdna")) & (F.col("cdna_start") <= F.length("cdna"))
-    d = coding.withColumns({"seleno": is_selenoprotein(F.col("hgnc_id")), "_got": without_trailing_x(translate(bases, F.col("mt")))})
-    d = d.withColumn("_same", F.coalesce(inside & (F.col("_got") == F.col("protein")), F.lit(False))).drop("_got")
-    kinds = "outcome string, wrong_frame boolean, padding int, offset int, edits array<struct<position:int,residue:string>>, slip_place int, slip_length int"
-    done = d.where("_same").drop("_same")
-    perfect = {
-        "outcome": F.lit("perfect"), "wrong_frame": F.lit(False), "padding": F.lit(0), "offset": F.lit(0),
-        "edits": F.array().cast("array<struct<position:int,residue:string>>"),
-        "slip_place": F.lit(None).cast("int"), "slip_length": F.lit(None).cast("int"),
-    }
-    done = done.withColumns(perfect)
-    rest = d.where("not _same").drop("_same")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    d = coding.withColumn("seleno", is_selenoprotein(F.col("hgnc_id")))
+    kinds = T.StructType.fromDDL(
+        "outcome string, wrong_frame boolean, padding int, offset int, edits array<struct<position:int,residue:string>>, slip_place int, slip_length int"
+    )
+    needed, types = ("cdna", "cdna_start", "cdna_end", "protein", "mt", "seleno"), [to_arrow_type(f.dataType) for f in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [
-                judge(c or "", int(s or 0), int(e or 0), p or "", bool(m), bool(x))
-                for c, s, e, p, m, x in zip(b["cdna"], b["cdna_start"], b["cdna_end"], b["protein"], b["mt"], b["seleno"], strict=True)
-            ]
-            found = pd.DataFrame(rows, columns=["outcome", "wrong_frame", "padding", "offset", "edits", "slip_place", "slip_length"])
-            found["edits"] = [[{"position": p, "residue": r} for p, r in e] for e in found["edits"]]
-            found = found.astype({"slip_place": "Int32", "slip_length": "Int32"})
-            yield pd.concat([b.reset_index(drop=True), found], axis=1)
-
-    schema = T.StructType([*rest.schema.fields, *T.StructType.fromDDL(kinds).fields])
-    return done.unionByName(rest.mapInPandas(run, schema))
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
+                given = zip(*(some.column(c).to_pylist() for c in needed), strict=True)
+                found = judged([(c or "", int(s or 0), int(e or 0), p or "", bool(m), bool(x)) for c, s, e, p, m, x in given])
+                for f in found:
+                    f["edits"] = [{"position": p, "residue": r} for p, r in f["edits"]]
+                made = [pa.array([f[k.name] for f in found], t) for k, t in zip(kinds, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*some.columns, *made], names=[*some.schema.names, *kinds.names])
+
+    return d.mapInArrow(run, T.StructType([*d.schema.fields, *kinds.fields]))
 
 
 def outcome_counts(e: DataFrame) -> DataFrame:
