@@ -20,3 +20,19 @@ def test_sums_over_overlaps_need_no_pairs(spark):
     assert overlap_sums(a, b.limit(0), "chrom", "id", {"ids": "id"}).count() == 0
     # all overlap all: the plan makes a few lines for each interval and no join
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bases_over_chunks_are_gathered_once_a_chunk(spark):
+    from varloom.operators import chunks as C
+
+    r = random.Random(8)
+    seq = "".join(r.choices("ACGT", k=3000))
+    c = C.cut_sequences(spark.createDataFrame([("1", seq)], "chrom string, seq string"), 64, 16).localCheckpoint()
+    rows = [(i, "1", p := r.randrange(1, 2900), seq[p - 1 : p - 1 + n], n, min(n, 2980 - p)) for i in range(500) for n in (r.randrange(1, 40),)]
+    d = spark.createDataFrame(rows, "i int, chrom string, position long, ref string, n int, _left long").withColumn("down", F.lit(""))
+    found = C.widened(d, c, 64)
+    for x in found.collect():
+        at = x.position - 1 + len(x.ref)
+        assert x.down == seq[at : at + x._left]
+    # rows with the same chunk make one line, not one for each row and chunk
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The shortest start of the first line after which the second line goes on differently.
-_PARTING = "^(.*?)(.).*\n\\1(?!\\2)"
+#: The shortest start of the first line after which the second line goes on differently; only one line end follows
+#: the first line's rest, so that it is taken as a whole and never given back.
+_PARTING = "^(.*?)(.).*+\n\\1(?!\\2)"
 
 
 def common_prefix(x: Column, y: Column) -> Column:

@@ -64,14 +64,17 @@ def chunk_of(position: Column, size: int = CHUNK) -> Column:
 
 
 def bases(lo: Column, seq: Column, start0: Column, n: Column) -> Column:
-    """Bases from 0-based ``start0``, clipped at the chunk's end; null outside of it."""
+    """Bases (``seq`` as bytes) from 0-based ``start0``, clipped at the chunk's end; null outside of it."""
     inside = (start0 >= lo) & (start0 < lo + F.length(seq)) & (n > 0)
-    return F.when(inside, F.substring(seq, (start0 - lo + 1).cast("int"), n.cast("int")))
+    return F.when(inside, F.substring(seq, (start0 - lo + 1).cast("int"), n.cast("int")).cast("string"))
 
 
 def placed(variants: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Adds lo, seq and length of the variant's chunk (nulls where the chromosome or place is unknown)."""
-    c = chunks.select(F.col("chrom").alias("c_chrom"), F.col("chunk").alias("c_chunk"), "lo", "seq", "length")
+    """Adds lo, seq and length of the variant's chunk (nulls where the chromosome or place is unknown).
+
+    ``seq`` comes as bytes, as characters of a text are found by counting from its start.
+    """
+    c = chunks.select(F.col("chrom").alias("c_chrom"), F.col("chunk").alias("c_chunk"), "lo", F.col("seq").cast("binary").alias("seq"), "length")
     at = chunk_of(F.col("position"), size)
     return variants.join(c, (F.col("chrom") == F.col("c_chrom")) & (at == F.col("c_chunk")), "left").drop("c_chrom", "c_chunk")
 
@@ -84,11 +87,11 @@ def stretches(places: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFr
     """
     names = places.columns
     p = places.withColumn("_chunk", F.explode(F.sequence(chunk_of(F.col("start"), size), chunk_of(F.col("end"), size))))
-    c = chunks.select(F.col("chrom").alias("c_chrom"), F.col("chunk").alias("c_chunk"), "lo", "seq", "length")
+    c = chunks.select(F.col("chrom").alias("c_chrom"), F.col("chunk").alias("c_chunk"), "lo", F.col("seq").cast("binary").alias("seq"), "length")
     p = p.join(c, (F.col("chrom") == F.col("c_chrom")) & (F.col("_chunk") == F.col("c_chunk")))
     begin = F.greatest(F.col("start") - 1, F.col("_chunk").cast("long") * size)
     stop = F.least(F.col("end").cast("long"), (F.col("_chunk").cast("long") + 1) * size)
-    part = F.substring(F.col("seq"), (begin - F.col("lo") + 1).cast("int"), (stop - begin).cast("int"))
+    part = F.substring(F.col("seq"), (begin - F.col("lo") + 1).cast("int"), (stop - begin).cast("int")).cast("string")
     p = p.withColumn("_part", part).groupBy(*names).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))), lambda x: x["_part"]), "").alias("bases"), F.max("length").alias("_length")
     )
@@ -122,11 +125,13 @@ def left_aligned(v: DataFrame, moves: Column | None = None, window: int = 48) ->
             "_before": F.when(indel, F.col("position") - 1 - F.col("lo")).otherwise(F.lit(0)).cast("int"),
         }
     )
-    v = v.withColumn("_near", tail(head(F.col("seq"), F.col("_before")), F.lit(window)))
+    ahead = F.greatest(F.col("_before"), F.lit(0))  # none outside of the chunk
+    near = F.substring(F.col("seq"), F.greatest(ahead - window, F.lit(0)) + 1, F.least(ahead, F.lit(window))).cast("string")
+    v = v.withColumn("_near", near)
     v = v.withColumn("_shift", F.when(F.col("_allele") != "", left_shift(F.col("_allele"), F.col("_near"))).otherwise(F.lit(0)))
     far = (F.col("_allele") != "") & (F.col("_shift") == F.length("_near")) & (F.col("_before") > F.length("_near"))
     v = v.withColumn(
-        "_shift", F.when(far, left_shift(F.col("_allele"), head(F.col("seq"), F.col("_before")))).otherwise(F.col("_shift"))
+        "_shift", F.when(far, left_shift(F.col("_allele"), F.substring(F.col("seq"), F.lit(1), F.col("_before")).cast("string"))).otherwise(F.col("_shift"))
     )
     n = F.length("_allele")
     # the allele read from the moved place on: bases before, then the allele itself
@@ -164,13 +169,19 @@ def with_bases(v: DataFrame) -> DataFrame:
 
 
 def widened(rows: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
-    """``rows`` with ``down`` put together from all chunks that it reaches into."""
-    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "wide")
-    start = F.col("position") + F.length("ref")
-    places = rows.select("_row", "chrom", start.alias("start"), (start + F.col("_left") - 1).alias("end"))
-    found = stretches(places, chunks, size).select(F.col("_row").alias("w_row"), F.col("bases").alias("w_down"))
-    made = rows.join(found, F.col("_row") == F.col("w_row"), "left").withColumn("down", F.coalesce("w_down", "down"))
-    return made.drop("_row", "w_row", "w_down")
+    """``rows`` with ``down`` put together from all chunks that it reaches into.
+
+    Rows that begin in the same chunk share one stretch, from their first to their last
+    base, so what is gathered grows with the chunks that are reached, not with the rows.
+    It is stored, so that it is known to be small, where it is, before rows meet it.
+    """
+    rows = rows.withColumn("_start", F.col("position") + F.length("ref")).withColumn("_begin", chunk_of(F.col("_start"), size))
+    ends = rows.groupBy("chrom", "_begin").agg(F.min("_start").alias("start"), F.max(F.col("_start") + F.col("_left") - 1).alias("end"))
+    found = stretches(ends, chunks, size)
+    found = stored(found.select(F.col("chrom").alias("w_chrom"), F.col("_begin").alias("w_begin"), F.col("start").alias("w_start"), F.col("bases").cast("binary").alias("bases")), "stretches")
+    made = rows.join(found, (F.col("chrom") == F.col("w_chrom")) & (F.col("_begin") == F.col("w_begin")), "left")
+    down = F.substring(F.col("bases"), (F.col("_start") - F.col("w_start") + 1).cast("int"), F.col("_left").cast("int")).cast("string")
+    return made.withColumn("down", F.coalesce(down, "down")).drop("_start", "_begin", "w_chrom", "w_begin", "w_start", "bases")
 
 
 def align(variants: DataFrame, chunks: DataFrame, moves: Column | None = None, size: int = CHUNK) -> DataFrame:
@@ -195,7 +206,7 @@ def align(variants: DataFrame, chunks: DataFrame, moves: Column | None = None, s
     return met.drop("open_left", "open_right", "length", "_left")
 
 
-def rotated(v: DataFrame) -> DataFrame:
+def rotated(v: DataFrame, window: int = 48) -> DataFrame:
     """Adds shift, turned and upstream for genomic HGVS of normalized variants (position, ref, alt; down).
 
     Indels rotate right as far as the bases after them repeat the allele, DOWNSTREAM bases
@@ -206,8 +217,12 @@ def rotated(v: DataFrame) -> DataFrame:
     indel = (F.col("ref") == "") != (F.col("alt") == "")
     v = v.withColumn("_allele", F.when(indel, F.concat("ref", "alt")).otherwise(F.lit("")))
     n = F.length("_allele")
-    v = v.withColumn("shift", F.when(F.col("down").isNotNull(), right_shift(F.col("_allele"), F.col("down"))).otherwise(F.lit(0)))
+    # a short window decides nearly all, as in left_aligned
+    v = v.withColumn("_near", F.coalesce(head(F.col("down"), F.lit(window)), F.lit("")))
+    v = v.withColumn("shift", F.when(F.col("_near") != "", right_shift(F.col("_allele"), F.col("_near"))).otherwise(F.lit(0)))
+    far = (F.col("_near") != "") & (F.col("shift") == F.length("_near")) & (F.length("down") > F.length("_near"))
+    v = v.withColumn("shift", F.when(far, right_shift(F.col("_allele"), F.col("down"))).otherwise(F.col("shift")))
     turn = F.col("shift") % F.greatest(n, F.lit(1))
     v = v.withColumn("turned", F.concat(F.substring(F.col("_allele"), turn + 1, n), head(F.col("_allele"), turn)))
     repeats = (F.col("ref") == "") & (n > 0) & (F.col("shift") >= n)
-    return v.withColumn("upstream", F.when(repeats, F.substring(F.col("down"), F.col("shift") - n + 1, n))).drop("_allele")
+    return v.withColumn("upstream", F.when(repeats, F.substring(F.col("down"), F.col("shift") - n + 1, n))).drop("_allele", "_near")
