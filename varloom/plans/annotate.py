@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from varloom.functions import alleles as A
 from varloom.functions.naming import hgvs_genomic, span, variant_id
 from varloom.operators.chunks import CHUNK, align, rotated
-from varloom.operators.shared import settled
+from varloom.operators.shared import settled, stored
 
 
 def classified(v: DataFrame) -> DataFrame:
@@ -107,7 +107,8 @@ def annotated(
     HGVS; where it is empty there is none.
     """
     accession = default_accession() if accession is None else accession
-    v = classified(variants)
+    # stored, as both ways below read them
+    v = stored(classified(variants), "classified")
     needs = (F.col("ref") == "") | (F.col("alt") == "") | (F.col("ref") == "N")
     text = F.lit(None).cast("string")
     plain = {"base": text, "shift": F.lit(0), "turned": F.concat("ref", "alt"), "upstream": text}
