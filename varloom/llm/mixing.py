@@ -36,8 +36,9 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + symbols / F.greatest(size, F.lit(1)).cast("double"))
 
 
-def exponential_key(doc_id: Column, text: Column, weight: Column, seed: str = SEED) -> Column:
-    """``-ln(u) / weight``; u in (0, 1) from 48 bits of an md5 of seed, id (null: empty) and the text's md5 (null: that of no text)."""
+def exponential_key(doc_id: Column, weight: Column, text: Column | None = None, seed: str = SEED) -> Column:
+    """``-ln(u) / weight``; u in (0, 1) from 48 bits of an md5 of seed, id (null: empty) and the text's md5 (null or not given: that of no text)."""
+    text = F.lit("") if text is None else text
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
     return -F.log(u) / weight
@@ -88,7 +89,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         quality_weight(F.col(text_col), size).alias("weight"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return rows.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), F.col("text"), F.col("weight")).alias("key"), "row")
+    return rows.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), F.col("weight"), F.col("text")).alias("key"), "row")
 
 
 def cell(key: Column, cells: int) -> Column:
@@ -225,7 +226,7 @@ def mixed_documents(docs: DataFrame, share: float = 1.0) -> DataFrame:
         word_count(F.col("whole.text")).alias("size"),
         F.monotonically_increasing_id().alias("row"),
     )
-    key = exponential_key(F.col("doc_id"), F.col("whole.text"), quality_weight(F.col("whole.text"), F.col("size")))
+    key = exponential_key(F.col("doc_id"), quality_weight(F.col("whole.text"), F.col("size")), F.col("whole.text"))
     wide = with_copies(wide.withColumn("key", key), plan, cells).where((F.col("size") > 0) & (F.col("copies") > 0))
     repeated = wide.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return repeated.select([F.col("whole").getField(c).alias(c) for c in names])
