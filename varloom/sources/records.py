@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
@@ -58,10 +59,13 @@ COLUMNS = {
     "filters": pa.list_(pa.string()), "info": INFO, "is_reference": pa.bool_(), "end_pos": pa.int64(), "samples": pa.list_(SAMPLE), "error": pa.string(),
 }
 
+#: Texts of fields whose values are kept by a task, as few texts come very often.
+CACHED = 1 << 14
 _INTEGER = re.compile(r"[+-]?[0-9]+", re.ASCII)
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|inf|infinity)|nan", re.ASCII | re.IGNORECASE)
 
 
+@lru_cache(CACHED)
 def integer(x: str | None, bits: int = 32) -> int | None:
     """Digits with an optional sign and nothing else; None for all else and out of range."""
     if x is None or not _INTEGER.fullmatch(x):
@@ -70,6 +74,7 @@ def integer(x: str | None, bits: int = 32) -> int | None:
     return n if -(1 << bits - 1) <= n < 1 << bits - 1 else None
 
 
+@lru_cache(CACHED)
 def number(x: str | None) -> float | None:
     """Decimal, exponent, infinity and not-a-number spellings; no white space, no type suffix."""
     return float(x) if x is not None and _NUMBER.fullmatch(x) else None
@@ -79,6 +84,7 @@ def _every(values: list) -> list | None:
     return None if None in values else values
 
 
+@lru_cache(CACHED)
 def _pair(x: str | None) -> dict | None:
     parts = x.split(",") if x is not None else ()
     if len(parts) != 2 or None in (found := [integer(p, 64) for p in parts]):
@@ -90,6 +96,16 @@ def _length(x: str | None) -> int | None:
     return None if (n := integer(x, 64)) is None else abs(n)
 
 
+@lru_cache(CACHED)
+def _integers(x: str | None, sign: str = ",") -> list | None:
+    return None if x is None else _every([integer(v) for v in x.split(sign)])
+
+
+@lru_cache(CACHED)
+def _numbers(x: str | None) -> list | None:
+    return None if x is None else _every([number(v) for v in x.split(",")])
+
+
 _READ: dict[str, Callable] = {
     "text": lambda x: x,
     "int": integer,
@@ -97,9 +113,9 @@ _READ: dict[str, Callable] = {
     "length": _length,
     "double": number,
     "pair": _pair,
-    "ints": lambda x: None if x is None else _every([integer(v) for v in x.split(",")]),
-    "repeats": lambda x: None if x is None else _every([integer(v) for v in x.split("/")]),
-    "doubles": lambda x: None if x is None else _every([number(v) for v in x.split(",")]),
+    "ints": _integers,
+    "repeats": lambda x: _integers(x, "/"),
+    "doubles": _numbers,
 }
 
 
@@ -155,30 +171,28 @@ class Records:
             raise ValueError(error)
         alts = None if alt is None else [a for a in alt.split(",") if a not in UNINFORMATIVE]
         tokens, flag = _info(c[7]) if self.needs_info and n > 7 else ({}, False)
-        for name in self.values:
-            if name == "chrom":
-                v = c[0]
-            elif name == "pos":
-                v = pos
-            elif name == "id":
-                v = c[2] if n > 2 and c[2] != "." else None
-            elif name == "ref":
-                v = c[3] if n > 3 else None
-            elif name == "alts":
-                v = alts
-            elif name == "quality":
-                v = number(c[5]) if n > 5 else None
-            elif name == "filters":
-                v = None if n < 7 else [] if c[6] in (".", "") else c[6].split(";")
-            elif name == "is_reference":
-                v = ref
-            elif name == "end_pos":
-                v = integer(tokens.get("END"), 64)
-                if v is None and pos is not None and n > 3:
-                    v = pos + len(c[3]) - 1
-            else:
-                v = error
-            self.values[name].append(v)
+        v = self.values
+        if "chrom" in v:
+            v["chrom"].append(c[0])
+        if "pos" in v:
+            v["pos"].append(pos)
+        if "id" in v:
+            v["id"].append(c[2] if n > 2 and c[2] != "." else None)
+        if "ref" in v:
+            v["ref"].append(c[3] if n > 3 else None)
+        if "alts" in v:
+            v["alts"].append(alts)
+        if "quality" in v:
+            v["quality"].append(number(c[5]) if n > 5 else None)
+        if "filters" in v:
+            v["filters"].append(None if n < 7 else [] if c[6] in (".", "") else c[6].split(";"))
+        if "is_reference" in v:
+            v["is_reference"].append(ref)
+        if "end_pos" in v:
+            end = integer(tokens.get("END"), 64)
+            v["end_pos"].append(pos + len(c[3]) - 1 if end is None and pos is not None and n > 3 else end)
+        if "error" in v:
+            v["error"].append(error)
         if "info" in self.wanted:
             self.infos.append(tokens)
             self.flags.append(flag)
@@ -200,8 +214,9 @@ class Records:
             return None if i is None or i >= n or values[i] in (".", "") else values[i]
 
         for key, (name, kind) in SAMPLE_FIELDS.items():
-            x = text(key)
-            got[key] = v = None if x is None else _READ[kind](x)
+            i = at.get(key)
+            x = None if i is None or i >= n else values[i]
+            got[key] = v = None if x is None or x == "." or x == "" else _READ[kind](x)
             add[name].append(v)
         add["variantFrequencies"].append(_frequencies(number(text("VF")), got["AD"], got["DP"], n_alts))
         filters = text("FT")
