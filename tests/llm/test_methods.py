@@ -502,3 +502,26 @@ def test_crc_rule_of_held_out_rows(spark):
 
     r = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(x.h == (zlib.crc32(str(x.id).encode()) % 4 == 2) for x in r)
+
+
+def test_no_near_copies_are_missed_at_the_threshold(spark):
+    """Texts of 13 words that differ in the last, 8 of 10 shingles alike, and long ones with a group of copies between them."""
+    from varloom.llm import nearcopies
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(200):
+        words = [f"w{rng.randrange(5000)}" for _ in range(13)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:12], "other"]))]
+    base = [f"v{k}" for k in range(200)]
+    for i in range(60):  # a word in 50 changed, then in 12: those are similar to the base, not to each other
+        words = list(base)
+        for k in rng.sample(range(200), 4 if i % 2 else 7):
+            words[k] = f"u{i}-{k}"
+        rows.append((1000 + i, " ".join(words)))
+    sets = {i: set(nearcopies._shingles(t, 5).tolist()) for i, t in rows}
+    ids = sorted(sets)
+    similar = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {(2 * i, 2 * i + 1) for i in range(200)} <= set(similar)
+    found = {r.doc_id: int(r["head"]) for r in nearcopies.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == groups(similar, ids)
