@@ -525,3 +525,9 @@ def test_no_near_copies_are_missed_at_the_threshold(spark):
     assert {(2 * i, 2 * i + 1) for i in range(200)} <= set(similar)
     found = {r.doc_id: int(r["head"]) for r in nearcopies.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == groups(similar, ids)
+
+
+def test_no_table_of_fingerprints_goes_through_the_driver(docs):
+    found = simhash.near_duplicates(docs)
+    found.collect()
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -156,9 +156,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = cut(fingerprints(docs))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps))
-    named = fps.join(roots, F.col("fp") == F.col("node"), "left").select(
+    # tables of a row a fingerprint: merged, as a broadcast would hold them in the driver
+    named = fps.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select(F.col("fp").alias("fp2"), "component_id")
-    return rows.join(by_fp, F.col("fp") == F.col("fp2"), "left").select("doc_id", "fp", "component_id")
+    by_fp = named.join(least.hint("merge"), "root").select(F.col("fp").alias("fp2"), "component_id")
+    return rows.join(by_fp.hint("merge"), F.col("fp") == F.col("fp2"), "left").select("doc_id", "fp", "component_id")
