@@ -57,3 +57,29 @@ def test_stream_files_are_of_bounded_length(spark, monkeypatch):
     assert sorted(tuple(r) for r in queries.streamed_counts(spark, "/root/testdata/sf0.001").collect()) == want
     lines = spark.read.text(seen[0]).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
     assert lines <= 500
+
+
+def test_attributes_of_plain_lines_are_read_without_pairs(spark):
+    from varloom.sources import gff3
+
+    r = random.Random(11)
+    parts = ["ID=a", "ID=b ", " Parent=p", "Name=NM_1", "gene=S", "tag=MANE Select", "tag= MANE Select", "tag=RefSeq Select ", "Dbxref=GeneID:7,HGNC:HGNC:9",
+             "Target=t 4 9 +", "Gap=M3 D2", "Note=a%2Cb", "note=c", "transcript_id=", "experiment=x [ECO:0000269] [PMID:123456, PMID:7]", "gbkey=x", "", "  "]
+    odd = ["ID", "tag", "novel=1", "=x", "ID =x", "xID=4", "Gap"]
+    texts = [";".join(r.choices(parts + odd * (i % 4 == 0), k=r.randrange(1, 9))) for i in range(600)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", gff3.joined_parts(F.col("t"))).withColumn("a", gff3.pairs(F.col("t")))
+    d = d.withColumn("plain", gff3.is_plain(F.col("p"))).localCheckpoint()
+    none = F.lit(None).cast("array<struct<k:string,v:string>>")
+    both = d.select("t", "plain", gff3.refseq_attributes(F.col("a"), F.col("p")).alias("x"), gff3.refseq_attributes(none, F.col("p")).alias("y")).collect()
+    assert all(b.x == b.y for b in both if b.plain) and sum(b.plain for b in both) > 200
+    # what isn't plain is what has an unknown key or both kinds of notes
+    assert all(b.plain == (b.x.unknown_key is None) for b in both if not ("Note=" in b.t and "note=" in b.t))
+
+
+def test_parts_of_features_read_only_their_columns(spark):
+    from varloom import queries
+    from varloom.sources import gff3
+
+    genes = gff3.hierarchy(queries.gff3_features(spark, "/root/testdata/sf0.001"), "refseq")["genes"]
+    plan = genes.groupBy("ref_index").count()._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<ref_index:int,biotype:string,category:string>" in plan

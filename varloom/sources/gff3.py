@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.text import strict_int, unescape
-from varloom.operators.shared import checkpointed, refuse, repeated, settled
+from varloom.operators.shared import refuse, repeated, settled, stored
 from varloom.sources.biotypes import dimension
 
 #: Attribute keys that are known and passed over (fixed values).
@@ -83,37 +83,65 @@ def experiment(text: Column) -> Column:
     )
 
 
-def refseq_attributes(a: Column) -> Column:
-    """Attributes from the pairs, which should be a column of their own, as each attribute looks through it."""
-    xref = last_value(a, "Dbxref")
-    t = target(last_value(a, "Target"))
-    known = [*REFSEQ_READ, *REFSEQ_SKIPPED]
-    return F.struct(
-        last_value(a, "ID").alias("id"),
-        last_value(a, "Parent").alias("parent"),
-        last_value(a, "Name").alias("name"),
-        last_value(a, "gene").alias("symbol"),
-        dbxref(xref, "GeneID").alias("gene_id"),
-        strict_int(dbxref(xref, "HGNC:HGNC"), "long").alias("hgnc_id"),
-        last_value(a, "transcript_id").alias("transcript_id"),
-        F.lit(None).cast("string").alias("protein_id"),
-        F.lit(None).cast("int").alias("version"),
-        F.lit(None).cast("string").alias("biotype_attr"),
-        any_value(a, "tag", "MANE Select").alias("mane_select"),
-        any_value(a, "tag", "MANE Plus Clinical").alias("mane_plus_clinical"),
-        any_value(a, "tag", "RefSeq Select").alias("refseq_select"),
-        F.lit(False).alias("ensembl_canonical"),
-        t["id"].alias("target_id"),
-        t["start"].alias("target_start"),
-        t["end"].alias("target_end"),
-        cigar(last_value(a, "Gap")).alias("cigar"),
-        unescape(last_value(a, "Note", "note")).alias("note"),
-        experiment(last_value(a, "experiment")).alias("experiment"),
-        F.try_element_at(F.filter(a, lambda p: ~p["k"].isin(*known) | p["v"].isNull()), F.lit(1))["k"].alias("unknown_key"),
+def joined_parts(attributes: Column) -> Column:
+    """The parts of key=value;... without spaces around them, a semicolon before and after each."""
+    t = F.concat(F.lit(";"), attributes, F.lit(";"))
+    return F.when(t.contains("; ") | t.contains(" ;"), F.regexp_replace(t, " *; *", ";")).otherwise(t)
+
+
+def is_plain(parts: Column) -> Column:
+    """Whether all joined parts are read or passed over keys with a value, and notes are spelled in one way."""
+    odd = parts.rlike(";(?!;|\\z|(?:" + "|".join([*REFSEQ_READ, *REFSEQ_SKIPPED]) + ")=)")
+    return ~odd & ~(parts.contains(";Note=") & parts.contains(";note="))
+
+
+def part_value(parts: Column, key: str) -> Column:
+    """What ``last_value`` gives, of plain parts; found in the text itself, without looking through an array."""
+    return F.when(parts.contains(f";{key}="), F.substring_index(F.substring_index(parts, f";{key}=", -1), ";", 1))
+
+
+def refseq_attributes(a: Column, parts: Column) -> Column:
+    """Attributes of joined parts, or of the pairs where these are not null, both columns of their own.
+
+    Pairs are wanted only where parts aren't plain, see ``is_plain``.
+    """
+
+    def read(value, has, unknown) -> Column:
+        xref = value("Dbxref")
+        t = target(value("Target"))
+        return F.struct(
+            value("ID").alias("id"),
+            value("Parent").alias("parent"),
+            value("Name").alias("name"),
+            value("gene").alias("symbol"),
+            dbxref(xref, "GeneID").alias("gene_id"),
+            strict_int(dbxref(xref, "HGNC:HGNC"), "long").alias("hgnc_id"),
+            value("transcript_id").alias("transcript_id"),
+            F.lit(None).cast("string").alias("protein_id"),
+            F.lit(None).cast("int").alias("version"),
+            F.lit(None).cast("string").alias("biotype_attr"),
+            has("MANE Select").alias("mane_select"),
+            has("MANE Plus Clinical").alias("mane_plus_clinical"),
+            has("RefSeq Select").alias("refseq_select"),
+            F.lit(False).alias("ensembl_canonical"),
+            t["id"].alias("target_id"),
+            t["start"].alias("target_start"),
+            t["end"].alias("target_end"),
+            cigar(value("Gap")).alias("cigar"),
+            unescape(value("Note", "note")).alias("note"),
+            experiment(value("experiment")).alias("experiment"),
+            unknown.alias("unknown_key"),
+        )
+
+    plain = read(
+        lambda *keys: F.coalesce(*[part_value(parts, k) for k in keys]), lambda tag: parts.contains(f";tag={tag};"), F.lit(None).cast("string")
     )
+    known = [*REFSEQ_READ, *REFSEQ_SKIPPED]
+    unknown = F.try_element_at(F.filter(a, lambda p: ~p["k"].isin(*known) | p["v"].isNull()), F.lit(1))["k"]
+    return F.when(a.isNull(), plain).otherwise(read(lambda *keys: last_value(a, *keys), lambda tag: any_value(a, "tag", tag), unknown))
 
 
-def ensembl_attributes(a: Column) -> Column:
+def ensembl_attributes(a: Column, parts: Column) -> Column:
     tags = F.flatten(F.transform(F.filter(a, lambda p: p["k"] == "tag"), lambda p: F.split(p["v"], ",")))
     has = lambda t: F.array_contains(tags, t)
     none = F.lit(None).cast("string")
@@ -162,10 +190,12 @@ def features(lines: DataFrame, aliases: DataFrame, style: str, order: str | None
     d = d.join(t, F.get(F.col("_c"), 2) == F.col("spelling"), "left")
     d = d.where(F.coalesce(~F.col("category").isin("not_useful", "unsupported"), F.lit(True)))
     read = refseq_attributes if style == "refseq" else ensembl_attributes
-    d = d.withColumn("_pairs", pairs(F.coalesce(F.get(F.col("_c"), 8), F.lit(""))))
+    d = d.withColumn("_parts", joined_parts(F.coalesce(F.get(F.col("_c"), 8), F.lit(""))))
+    made = pairs(F.col("_parts"))
+    d = d.withColumn("_pairs", F.when(~is_plain(F.col("_parts")), made) if style == "refseq" else made)
     d = d.withColumns(
         {
-            "attr": read(F.col("_pairs")),
+            "attr": read(F.col("_pairs"), F.col("_parts")),
             "start": strict_int(F.get(F.col("_c"), 3)),
             "end": strict_int(F.get(F.col("_c"), 4)),
             "reverse": F.coalesce(F.get(F.col("_c"), 6) == "-", F.lit(False)),
@@ -178,7 +208,7 @@ def features(lines: DataFrame, aliases: DataFrame, style: str, order: str | None
         .when(F.coalesce(F.col("attr.id"), F.lit("")) == "", "no ID")
         .when(F.col("attr.unknown_key").isNotNull(), F.concat(F.lit("key "), F.col("attr.unknown_key")))
     )
-    d = d.withColumn("error", error).drop("_c", "_pairs", "a_name", "spelling")
+    d = d.withColumn("error", error).drop("_c", "_parts", "_pairs", "a_name", "spelling")
     return settled(d, "attr", "start", "end", "reverse", "error")
 
 
@@ -196,7 +226,7 @@ def hierarchy(f: DataFrame, style: str) -> dict[str, DataFrame]:
     have (see ``refuse_unsound``).
     """
     rows = f.where(F.col("error").isNull()).select("ref_index", "biotype", "category", "coding", "code", "start", "end", "reverse", "attr", *[c for c in ("order",) if c in f.columns])
-    rows = checkpointed(rows)  # read many times below
+    rows = stored(rows, "features")  # read many times below, each time for a few columns
     genes = rows.where("category = 'gene'")
     tx = rows.where("category = 'transcript'")
     if style == "refseq":
