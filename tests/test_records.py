@@ -126,3 +126,26 @@ def test_settled_positions_are_not_shuffled(spark):
     assert got[0] == [("1-10-C-G", "NC_000001.1:g.10C>G"), ("1-10-C-T", "NC_000001.1:g.10C>T")]
     assert got[1] == [("1-21-C-T", "NC_000001.1:g.21C>T"), ("1-20-ACG-CCC", "NC_000001.1:g.20_22delinsCCC")] or got[1][0][0] == "1-21-C-T"
     assert got[2] is None and got[3] == [("1-41-90-A-<DUP>-DUP", None)]
+
+
+def test_single_alleles_meet_the_genome_as_rows(spark):
+    from varloom.operators.chunks import cut_sequences
+    from varloom.plans.annotate import SHOWN, annotated
+    from varloom.plans.positions import annotate_records
+    from varloom.sources.vcf import informative
+
+    seq = "ACGGTTAAAACCCATG" * 20
+    alleles = ["G", "GT", "GTTT", "G,GT", "GT,GTTT,C", "<DUP>", "<DEL>,G", "*,GA", "N"]
+    lines = [f"1\t{p}\t.\t{seq[p - 1 : p + n]}\t{a}\t.\t.\tEND={p + 9}" for p in (3, 4, 9, 40, 44) for n in (0, 2) for a in alleles] + ["1\t7\t.\tN\tA\t.\t.\t."]
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "order long, value string")
+    rows = informative(parse_lines(lines)).drop("value", "error").localCheckpoint()
+    chunks = cut_sequences(spark.createDataFrame([("1", seq)], "chrom string, seq string"), 64, 32).localCheckpoint()
+    aliases = spark.createDataFrame([("1", 0)], "name string, ref_index int")
+    bands = spark.createDataFrame([("1", 1, 300, "p1")], "chrom string, begin long, end long, name string")
+    run = lambda r: annotate_records(r, chunks, bands, aliases, 64)
+    each = rows.select("order", "chrom", "pos", "ref", F.col("info.svtype").alias("svtype"), "end_pos", F.posexplode("alts").alias("k", "alt"))
+    want = {(a.order, a.k): tuple(a[c] for c in SHOWN) for a in annotated(each, chunks, size=64).collect()}
+    got = {(r.order, k): tuple(v[c] for c in SHOWN.values()) for r in run(rows).collect() for k, v in enumerate(r.variants)}
+    assert got == want and len(got) > 100
+    # nothing is grouped where no row has several alleles
+    assert "Aggregate" not in run(rows.where(F.size("alts") == 1))._jdf.queryExecution().optimizedPlan().toString()

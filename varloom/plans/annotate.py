@@ -81,6 +81,46 @@ def settled_alleles(rows: DataFrame, accession: Column | None = None) -> Column:
     return F.get(out, F.lit(0))
 
 
+def with_variants(rows: DataFrame, accession: Column | None = None) -> DataFrame:
+    """Adds variants, as of ``settled_alleles``, to rows, and first: the trimmed allele of a row with a single one that needs a base.
+
+    Single alleles, which most rows have, go by columns in steps; only rows with several by passes over their array.
+    """
+    accession = default_accession() if accession is None else accession
+    v = rows.withColumn("_several", F.when(F.size("alts") != 1, settled_alleles(rows, accession)))
+    row = F.struct(*rows.columns).alias("_row")
+    v = classified(v.select(row, "_several", "chrom", "pos", "end_pos", "ref", F.col("info.svtype").alias("svtype"), F.get("alts", F.lit(0)).alias("alt")))
+    single = F.size("_row.alts") == 1
+    first = F.struct("position", "ref", "alt", "category", "repeat_count", "variant_type")
+    found = _finished(v.withColumns({"first": F.when(single & _needs(), first), **_plain()}), accession)
+    made = F.when(single, F.when(~_needs(), F.array(shown_struct()))).otherwise(F.col("_several"))
+    return settled(found.select("_row.*", made.alias("variants"), "first"), "variants", "first")
+
+
+def shown_struct() -> Column:
+    return F.struct(*[F.col(c).alias(n) for c, n in SHOWN.items()])
+
+
+def _needs() -> Column:
+    """Whether a trimmed allele needs a base."""
+    return (F.col("ref") == "") | (F.col("alt") == "") | (F.col("ref") == "N")
+
+
+def _plain() -> dict[str, Column]:
+    """What ``_finished`` wants of alleles that need no base."""
+    text = F.lit(None).cast("string")
+    return {"base": text, "shift": F.lit(0), "turned": F.concat("ref", "alt"), "upstream": text}
+
+
+def looked_up(v: DataFrame, chunks: DataFrame, accession: Column | None = None, vid_anchor: str = "compat", size: int = CHUNK) -> DataFrame:
+    """Names of classified variants that need a base, as of ``annotated``; whatever else is there stays."""
+    # only small variants move left; the others just need a base
+    met = align(v, chunks, F.col("category") == A.SMALL, size)
+    met = met.withColumn("base", F.col({"compat": "at", "anchored": "before"}[vid_anchor]))
+    met = settled(rotated(met), "base", "shift", "turned", "upstream")
+    return _finished(met, default_accession() if accession is None else accession)
+
+
 def default_accession() -> Column:
     return F.concat(F.lit("NC_"), F.lpad("chrom", 6, "0"), F.lit(".1"))
 
@@ -109,15 +149,7 @@ def annotated(
     accession = default_accession() if accession is None else accession
     # stored, as both ways below read them
     v = stored(classified(variants), "classified")
-    needs = (F.col("ref") == "") | (F.col("alt") == "") | (F.col("ref") == "N")
-    text = F.lit(None).cast("string")
-    plain = {"base": text, "shift": F.lit(0), "turned": F.concat("ref", "alt"), "upstream": text}
-    direct = _finished(v.where(~needs).withColumns(plain), accession)
-    rows = v.where(needs)
-    names = rows.columns
-    # only small variants move left; the others just need a base
-    met = align(rows, chunks, F.col("category") == A.SMALL, size)
-    met = met.withColumn("base", F.col({"compat": "at", "anchored": "before"}[vid_anchor]))
-    looked_up = _finished(rotated(met), accession)
-    keep = [*names, "begin", "end", "vid", "hgvsg", "ref_allele", "alt_allele"]
-    return direct.select(*keep).unionByName(looked_up.select(*keep))
+    direct = _finished(v.where(~_needs()).withColumns(_plain()), accession)
+    met = looked_up(v.where(_needs()), chunks, accession, vid_anchor, size)
+    keep = [*v.columns, "begin", "end", "vid", "hgvsg", "ref_allele", "alt_allele"]
+    return direct.select(*keep).unionByName(met.select(*keep))

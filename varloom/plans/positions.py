@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from varloom.functions.ids import contig
 from varloom.operators.chunks import CHUNK
-from varloom.operators.shared import refuse, stored
-from varloom.plans.annotate import SHOWN, annotated, settled_alleles
+from varloom.operators.shared import refuse, settled, stored
+from varloom.plans.annotate import annotated, looked_up, shown_struct, with_variants
 from varloom.sources.bgzf import BgzfText
 from varloom.sources.records import read_vcf
 from varloom.sources.vcf import infer_assembly, informative, parse_lines, read_header, scattered_chromosomes, with_alias, with_locus
@@ -27,20 +27,32 @@ def annotate_positions(
 def annotate_records(rows: DataFrame, chunks: DataFrame, bands: DataFrame, aliases: DataFrame, size: int = CHUNK) -> DataFrame:
     """Positions of records (order, chrom, pos, ref, alts, ...) with locus and annotated variants; rows of unknown chromosomes go.
 
-    Rows are annotated where they are and kept in the shared folder. Only those with an
-    allele that needs a base are exploded, meet the genome and are put together again by
-    their order, alleles in their order; all others are never shuffled for it.
+    Rows are annotated where they are and kept in the shared folder. Those with a single
+    allele that needs a base meet the genome as they are. Only those with several are
+    exploded and put together again by their order, alleles in their order; all others are
+    never shuffled for it.
     """
     rows = with_alias(rows, aliases).where(F.col("ref_index").isNotNull()).withColumn("chrom", contig(F.col("chrom")))
-    rows = stored(rows.withColumn("variants", settled_alleles(rows)), "positions")
-    open_rows = rows.where("variants is null").drop("variants")
+    names = rows.columns
+    rows = stored(with_variants(rows), "positions")
+    made = rows.where("variants is not null").drop("first")
+    single = rows.where("first is not null").select(F.struct(*names).alias("_row"), "chrom", "pos", "end_pos", "first.*")
+    # settled, as filters on variants would make the names again
+    met = looked_up(single, chunks, size=size).select("_row.*", F.array(shown_struct()).alias("variants"))
+    made = made.unionByName(settled(met, "variants"))
+    open_rows = rows.where((F.size("alts") > 1) & F.col("variants").isNull()).select(*names)
+    if not open_rows.isEmpty():
+        made = made.unionByName(_put_together(open_rows, chunks, size))
+    return with_locus(made.withColumn("chromosome", F.col("chrom")), bands)
+
+
+def _put_together(open_rows: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
+    """Rows with several alleles, exploded, annotated and grouped again."""
     v = open_rows.select("order", "chrom", "pos", "ref", F.col("info.svtype").alias("svtype"), "end_pos", F.posexplode("alts").alias("k", "alt"))
     a = annotated(v, chunks, size=size)
-    shown = F.struct(*[F.col(c).alias(n) for c, n in SHOWN.items()])
-    per = a.groupBy("order").agg(F.array_sort(F.collect_list(F.struct("k", shown.alias("v")))).alias("vs"))
+    per = a.groupBy("order").agg(F.array_sort(F.collect_list(F.struct("k", shown_struct().alias("v")))).alias("vs"))
     per = per.select("order", F.transform("vs", lambda x: x["v"]).alias("variants"))
-    made = rows.where("variants is not null").unionByName(open_rows.join(per, "order"))
-    return with_locus(made.withColumn("chromosome", F.col("chrom")), bands)
+    return open_rows.join(per, "order")
 
 
 def json_lines(positions: DataFrame, *more: Column) -> DataFrame:

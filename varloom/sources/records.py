@@ -229,7 +229,9 @@ class Records:
         out = []
         for name in self.wanted:
             if name == "info":
-                parts = [pa.array([_READ[kind](t.get(key)) for t in self.infos], _KINDS[kind]) for key, (_, kind) in INFO_FIELDS.items()]
+                n, seen = len(self.infos), set().union(*self.infos)
+                made = lambda key, kind: pa.array([_READ[kind](t.get(key)) for t in self.infos], _KINDS[kind]) if key in seen else pa.nulls(n, _KINDS[kind])
+                parts = [made(key, kind) for key, (_, kind) in INFO_FIELDS.items()]
                 out.append(pa.StructArray.from_arrays([*parts, pa.array(self.flags, pa.bool_())], fields=list(INFO)))
             elif name == "samples":
                 parts = [pa.array(self.fields[f], _KINDS[kind]) for f, kind in _SAMPLE_ORDER]
