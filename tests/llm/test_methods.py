@@ -531,3 +531,12 @@ def test_no_table_of_fingerprints_goes_through_the_driver(docs):
     found = simhash.near_duplicates(docs)
     found.collect()
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shingle_sets_are_not_kept(docs, monkeypatch):
+    from varloom.llm import nearcopies
+
+    kept, run = [], nearcopies.cut
+    monkeypatch.setattr(nearcopies, "cut", lambda df: kept.append(df.dtypes) or run(df))
+    assert nearcopies.deduplicated(docs).count() > 0
+    assert len(kept) > 4 and not any(t.startswith("array") for c in kept for _, t in c)
