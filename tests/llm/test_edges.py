@@ -108,3 +108,11 @@ def test_image_edges(spark):
     assert len(found) == len(rows)
     assert by[2].class_id == 1 and by[3].component_id == 1 and by[4].component_id == 4 and by[5].component_id == 5
     assert images.copies(d.limit(0)).count() == 0
+
+
+def test_different_texts_under_one_id_all_stay(spark):
+    """Only near copies go: a text isn't left out for sharing its doc_id with another, or with one that goes."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(0, a), (1, a + " end"), (1, b), (2, c), (2, d), (2, d), (3, b), (None, c), (None, "alone")]
+    kept = nearcopies.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("0", a), ("1", b), ("2", c), ("2", d), ("None", "alone")])
