@@ -540,3 +540,64 @@ def test_shingle_sets_are_not_kept(docs, monkeypatch):
     monkeypatch.setattr(nearcopies, "cut", lambda df: kept.append(df.dtypes) or run(df))
     assert nearcopies.deduplicated(docs).count() > 0
     assert len(kept) > 4 and not any(t.startswith("array") for c in kept for _, t in c)
+
+
+def test_texts_that_meet_by_chance_are_not_cut_into_sets(spark, monkeypatch):
+    """Long texts any two of which share a passage of their own: none is near another, and no set is made to see that."""
+    from varloom.llm import nearcopies
+
+    rng = random.Random(8)
+    parts = [[[f"t{i}-{k}" for k in range(800)]] for i in range(30)]
+    for i in range(30):
+        for j in range(i):
+            passage = [f"p{i}-{j}-{k}" for k in range(6)]
+            parts[i].append(passage)
+            parts[j].append(passage)
+    rows = []
+    for i, some in enumerate(parts):
+        rng.shuffle(some)
+        rows.append((i, " ".join(w for p in some for w in p)))
+    rows += [(100 + i, f"new {i} " + rows[i][1]) for i in range(3)]
+    wanted, run = [], nearcopies.with_line_of
+
+    def seen(rows, lines, keys, *a):
+        if keys == [("mark", "w")]:
+            wanted.append(lines.count())
+        return run(rows, lines, keys, *a)
+
+    monkeypatch.setattr(nearcopies, "with_line_of", seen)
+    kept = nearcopies.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(30))
+    assert sum(wanted) == 6
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    from varloom.llm import nearcopies
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 31, 33, 500, 3000):
+        s = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for k in sorted({0, 1, n // 10, n // 3, n}):
+            t = np.unique(np.concatenate([s[k:], rng.integers(0, 1 << 63, k // 2, np.uint64)]))
+            apart = len(np.setxor1d(s, t))
+            bits = nearcopies.bits_apart(nearcopies.sketch(s).tobytes(), nearcopies.sketch(t).tobytes())
+            assert bits <= apart and (bits - apart) % 2 == 0
+            if n == 3000 and k == n // 3:
+                assert bits > apart / 2
+
+
+def test_similar_texts_share_as_many_keys_as_their_prefixes_hold():
+    from varloom.llm import nearcopies
+
+    rng = np.random.default_rng(5)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    for n in (1, 4, 9, 63, 64, 65, 200, 1000):
+        for _ in range(40):
+            s = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            gone = int(rng.integers(0, n // 5 + 1))
+            t = np.sort(s[gone:] if rng.random() < 0.5 else np.delete(s, rng.choice(n, gone, replace=False)))  # the worst: all differences come first
+            o = int(np.ceil(len(np.union1d(s, t)) * 0.8))
+            if len(t) < o:
+                continue
+            met = np.intersect1d(nearcopies.first_shingles(s, none), nearcopies.first_shingles(t, none))
+            assert len(met) > min(len(s), len(t)) // nearcopies.MORE
