@@ -83,3 +83,26 @@ def test_parts_of_features_read_only_their_columns(spark):
     genes = gff3.hierarchy(queries.gff3_features(spark, "/root/testdata/sf0.001"), "refseq")["genes"]
     plan = genes.groupBy("ref_index").count()._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ref_index:int,biotype:string,category:string>" in plan
+
+
+def test_a_stream_keeps_only_compressed_lines_and_its_state(spark, monkeypatch):
+    """Tables of a micro-batch go with it, lines that come and go are compressed, and batches are of a bounded number of files."""
+    from pathlib import Path
+
+    from varloom import queries
+    from varloom.operators.shared import shared_folder
+
+    monkeypatch.setattr(queries, "LINES_A_FILE", 900)
+    monkeypatch.setattr(queries, "FILES_A_BATCH", 2)
+    seen, run = [], queries.annotate_stream
+    monkeypatch.setattr(queries, "annotate_stream", lambda s, source, target, *a, **k: seen.append((source, target)) or run(s, source, target, *a, **k))
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("varloom-*"))
+    found = queries.streamed_counts(spark, "/root/testdata/sf0.001")
+    (source, target), left = seen[0], set(folder.glob("varloom-*")) - before
+    assert [p.name.rsplit("-", 1)[0] for p in left] == ["varloom-stream"]
+    source, target = (Path(x.removeprefix("file://")) for x in (source, target))
+    files = [p for f in (source, *target.glob("batch=*")) for p in f.glob("part-*")]
+    assert len(list(target.glob("batch=*"))) > 2 and files and all(p.name.endswith(".gz") for p in files)
+    counts = found.agg(F.sum("positions")).first()[0]
+    assert spark.read.text(f"{target}/*").count() == counts > 0

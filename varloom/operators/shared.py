@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +42,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: made once, whatever reads it, and columns are pruned."""
     path = f"{shared_folder(df.sparkSession)}/varloom-{name}-{uuid.uuid4().hex}"
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths of tables that go at the end of a ``passing_tables``.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes inside are removed at its end; nothing that reads them may leave it."""
+    mark, context = _PASSING.set([]), spark.sparkContext
+    try:
+        yield
+    finally:
+        for name in _PASSING.get():
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _PASSING.reset(mark)
+
+
 def refuse(found: DataFrame, what: str) -> None:
     """Raises if there is any row, naming a few of them."""
     some = found.limit(5).collect()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.operators.chunks import CHUNK
-from varloom.operators.shared import refuse, stored
+from varloom.operators.shared import passing_tables, refuse, stored
 from varloom.plans.positions import annotate_records, json_lines
 from varloom.sources.vcf import informative, parse_lines, scattered_chromosomes, with_alias
 
@@ -36,19 +36,24 @@ def annotate_stream(
     spark: SparkSession, source: str, target: str, progress: str, chunks: DataFrame, bands: DataFrame, aliases: DataFrame,
     n_samples: int = 0, size: int = CHUNK, one_file: bool = False, options: dict | None = None, **trigger,
 ):
-    """Starts a query that reads new text files under ``source`` and writes JSON lines to ``target``.
+    """Starts a query that reads new text files under ``source`` and writes JSON lines, as compressed text, to ``target``.
 
     Each micro-batch goes to a folder of its own number, so one that runs again after a
     failure replaces what it wrote before. So do the counts and places of chromosomes under
     ``<target>_state``: a batch adds to those of the batch before it, whatever was restarted
     in between. With ``one_file`` the files, by arrival and name, are parts of one file, and
     a chromosome that comes again after another ends the query before its batch is written.
+    What a batch keeps in the shared folder on its way goes with it.
     ``options`` are those of the file source, such as ``maxFilesPerTrigger``.
     """
     lines = spark.readStream.options(**(options or {})).text(source).select("value", "_metadata.file_path", "_metadata.file_block_start")
     state = f"{target.rstrip('/')}_state"
 
     def batch(rows: DataFrame, number: int) -> None:
+        with passing_tables(rows.sparkSession):
+            written(rows, number)
+
+    def written(rows: DataFrame, number: int) -> None:
         order = F.struct("file_path", "file_block_start", F.monotonically_increasing_id().alias("line"))
         some = rows.select("value", order.alias("order")).where(~F.col("value").startswith("#"))
         records = stored(informative(parse_lines(some, n_samples)).drop("value", "error"), "arrived")
@@ -57,7 +62,7 @@ def annotate_stream(
         if one_file:
             refuse(returned(before, now), "chromosomes that come again")
         positions = annotate_records(records, chunks, bands, aliases, size)
-        json_lines(positions).select("value").write.mode("overwrite").text(f"{target}/batch={number}")
+        json_lines(positions).select("value").write.mode("overwrite").option("compression", "gzip").text(f"{target}/batch={number}")
         carried(before, now).coalesce(1).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", progress).trigger(**(trigger or {"availableNow": True})).start()
