@@ -601,3 +601,13 @@ def test_similar_texts_share_as_many_keys_as_their_prefixes_hold():
                 continue
             met = np.intersect1d(nearcopies.first_shingles(s, none), nearcopies.first_shingles(t, none))
             assert len(met) > min(len(s), len(t)) // nearcopies.MORE
+
+
+def test_points_and_keys_of_few_fingerprints_are_not_broadcast(spark):
+    """A few fingerprints, which Spark knows to be small, have 2,146 points and 16 keys each; these don't go through the driver."""
+    fps = spark.range(1, 200).select((F.col("id") * 8).alias("fp")).distinct()
+    for found in (simhash.dense_links(fps), simhash.links(simhash.cut(fps))):
+        assert found.count() > 0
+        found = found.select("a", "b")
+        found.collect()
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -125,7 +125,8 @@ def dense_links(fps: DataFrame) -> DataFrame:
 
     visits = fps.select("fp").mapInPandas(visit, "point long, fp long, near boolean")
     centre = visits.where("near").groupBy("point").agg(F.min("fp").alias("centre"))
-    return visits.join(centre, "point").where("fp <> centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
+    # merged: by the size of ``fps`` Spark would take 2,146 rows of each for few, and broadcast them through the driver
+    return visits.hint("merge").join(centre.hint("merge"), "point").where("fp <> centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
 
 
 def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
@@ -135,6 +136,7 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     full = cut(load.select("key"))
     if full.isEmpty():
         return _met(q, i)
+    full = F.broadcast(full)  # one key for ``dense`` rows at most
     crowded = q.join(full, "key").select("fp").union(i.join(full, "key").select("fp")).distinct()
     return _met(q.join(full, "key", "left_anti"), i.join(full, "key", "left_anti")).union(dense_links(crowded))
 
@@ -142,7 +144,7 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
 def _met(q: DataFrame, i: DataFrame) -> DataFrame:
     i = i.withColumnRenamed("fp", "fp2")
     on = (q["key"] == i["key"]) & (F.col("fp") < F.col("fp2")) & (_hamming("fp", "fp2") <= MAX_BITS)
-    return q.join(i, on).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+    return q.hint("merge").join(i.hint("merge"), on).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
